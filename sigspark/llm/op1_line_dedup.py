@@ -103,7 +103,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     frequent = written(runs.frequent(min_docs), "frequent")
     dropped = lines.join(frequent, KEY).where(F.col("doc_id") < F.col("top_doc"))
     dropped = dropped.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    rows = docs.select("doc_id", text_of().alias("text")).join(dropped, "doc_id", "left")
+    rows = docs.select("doc_id", text_of().alias("text")).join(dropped.hint("merge"), "doc_id", "left")
     split = F.split(F.col("text"), "\n", -1)
     gone = F.transform(F.filter(line_keys(F.col("text"), min_chars), lambda x: F.array_contains(F.col("gone"), F.struct(x["h1"], x["h2"]))), lambda x: x["at"])
     rows = rows.select("doc_id", "text", F.size(split).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.array().cast("array<int>")).otherwise(gone).alias("gone"))

@@ -1,7 +1,8 @@
 """Near-duplicate classes by Order MinHash, verified by banded alignment.
 
 A text's k-mers are its five-word shingles, each labelled with its occurrence number, so labels are unique in a text. A
-sketch takes the `tuple_size` labels of smallest hash and keeps them in text order; equal sketches make a candidate. The
+sketch takes the `tuple_size` labels of smallest hash and keeps them in text order; equal sketches make a candidate. Short
+texts take a fifth of their labels instead, in every tuple size that a similar text might have. The
 similarity of two texts is |LCS| / (n + m - |LCS|) over their labelled shingles: the shingles' Jaccard index, counting
 only those in common order. As labels are unique, the longest common subsequence is a longest increasing run of matched
 positions; positions further apart than a similar pair allows lie outside the band and are left out.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import least_neighbour, text_of, texts_as_bytes, written
 
-SKETCHES, TUPLE, K = 32, 4, 5
+SKETCHES, TUPLE, K = 48, 8, 5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -83,18 +84,26 @@ def multipliers(n: int) -> np.ndarray:
     return np.random.default_rng(7).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def sketches(labels: np.ndarray, factors: np.ndarray, size: int) -> np.ndarray:
-    """One hash for each factor: of the `size` labels of smallest product, in text order. All labels where there are fewer."""
-    if len(labels) > size:
-        h = labels[None, :] * factors[:, None]
-        picked = np.sort(np.argpartition(h, size - 1, axis=1)[:, :size], axis=1)
-        rows = labels[picked]
-    else:
-        rows = np.broadcast_to(labels, (len(factors), len(labels)))
-    out = factors.copy()
-    for j in range(rows.shape[1]):
-        out = _scramble(out + rows[:, j])
-    return out.view(np.int64)
+def tuple_sizes(n: int, largest: int, least: float) -> range:
+    """The tuple sizes a text of n labels is sketched in: those of all lengths that a similar text can have."""
+    size = lambda x: min(largest, max(1, x // 5))
+    return range(size(int(np.ceil(n * least))), size(int(n / least)) + 1)
+
+
+def sketches(labels: np.ndarray, factors: np.ndarray, largest: int, least: float) -> np.ndarray:
+    """For each factor and tuple size one hash: of the labels of smallest product, in text order."""
+    sizes, out = tuple_sizes(len(labels), largest, least), []
+    h = labels[None, :] * factors[:, None]
+    for size in sizes:
+        if size < len(labels):
+            rows = labels[np.sort(np.argpartition(h, size - 1, axis=1)[:, :size], axis=1)]
+        else:
+            rows = np.broadcast_to(labels, (len(factors), len(labels)))
+        key = factors + np.uint64(size)
+        for j in range(rows.shape[1]):
+            key = _scramble(key + rows[:, j])
+        out.append(key)
+    return np.concatenate(out).view(np.int64)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -121,7 +130,7 @@ def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
     return len(tails) / (n + m - len(tails))
 
 
-def _sketched(docs: DataFrame, k: int, n: int, size: int) -> DataFrame:
+def _sketched(docs: DataFrame, k: int, n: int, size: int, least: float) -> DataFrame:
     """(doc_id, same: hash of the word sequence, n: shingles, keys)."""
 
     def kernel(batches):
@@ -132,7 +141,7 @@ def _sketched(docs: DataFrame, k: int, n: int, size: int) -> DataFrame:
                 labels = shingler.labels(text, k)
                 lengths.append(len(labels))
                 same.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())) if len(labels) else None)
-                keys.append(sketches(labels, factors, size) if len(labels) else np.empty(0, np.int64))
+                keys.append(sketches(labels, factors, size, least) if len(labels) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(lengths, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "n", "keys"])
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(kernel, "doc_id long, same binary, n long, keys array<long>")
@@ -148,11 +157,8 @@ def _labelled(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(kernel, "id long, labels binary")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) that are similar. Only texts in pairs move, each once; their labels are then joined to both sides."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    labels = written(_labelled(texts, k), "labels")
+def _verified(pairs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that are similar."""
     both = pairs.join(labels.select(F.col("id").alias("a"), F.col("labels").alias("la")), "a").join(labels.select(F.col("id").alias("b"), F.col("labels").alias("lb")), "b")
 
     def kernel(batches):
@@ -167,7 +173,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFr
 def near_classes(docs: DataFrame, least: float = 0.8, k: int = K, n_sketches: int = SKETCHES, tuple_size: int = TUPLE) -> DataFrame:
     """doc_id, class_id (the largest doc_id of the class), class_size, kept for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", text_of().alias("text"))
-    made = written(_sketched(docs, k, n_sketches, tuple_size), "sketches")
+    made = written(_sketched(docs, k, n_sketches, tuple_size, least), "sketches")
     # Equal word sequences are one vertex, its smallest doc_id.
     first = made.where("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
     first = written(first, "vertices")
@@ -176,8 +182,11 @@ def near_classes(docs: DataFrame, least: float = 0.8, k: int = K, n_sketches: in
     heads = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("bucket"), F.col("head.id").alias("a"), F.col("head.n").alias("na"))
     rows = written(keys.join(heads, F.xxhash64("key") == F.xxhash64("bucket")).where("key = bucket").select("key", "id", "n", "a", "na"), "buckets")
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
+    # Only texts in buckets move, once; merge: the way that also holds when the ids are too many to broadcast.
+    texts = docs.join(rows.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    labelled = written(_labelled(texts, k), "labels")
     stars = written(rows.where(F.col("id") > F.col("a")).where(fits(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct(), "stars")
-    links = written(_verified(stars, docs, k, least), "links")
+    links = written(_verified(stars, labelled, least), "links")
     labels = least_neighbour(links)
     # Second round: buckets that still hold several classes, and in these the pairs across classes.
     classed = rows.join(labels, "id", "left").select("key", "id", "n", "a", F.coalesce("label", "id").alias("label"))
@@ -190,7 +199,7 @@ def near_classes(docs: DataFrame, least: float = 0.8, k: int = K, n_sketches: in
     inner = members.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("label").eqNullSafe(F.col("head_label")).alias("headed"))
     across = outer.join(inner, "key").where("lx <> ly AND (headed OR x < y)").where(fits(F.col("nx"), F.col("ny")))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_verified(written(across, "across"), docs, k, least), "links")
+    more = written(_verified(written(across, "across"), labelled, least), "links")
     if more.take(1):
         labels = least_neighbour(links.union(more))
     vertex = made.select("doc_id", "same").join(first.select("same", "id"), "same", "left")

@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, mask: int = 1023, digest_size: int = 16) -> DataFrame
     twice = made.groupBy("recipe_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("recipe_key")
     # One document of each repeated text is enough to name its chunks: sha256 tells the contents apart that a digest confuses.
     named = made.join(twice, "recipe_key", "left_semi").groupBy("text_sha256").agg(F.max("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = docs.select("doc_id", text_of().alias("text")).join(named, "doc_id", "left_semi").select("text")
+    texts = docs.select("doc_id", text_of().alias("text")).join(named.hint("merge"), "doc_id", "left_semi").select("text")
     dictionary = chunks(texts, mask, digest_size).groupBy("digest").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     unsure = written(dictionary.where("low <> high").select("digest"), "unsure")
     # Recipes with an unsure digest are told apart by their texts' own digests too: the digest's number is its content.
