@@ -12,7 +12,7 @@ from sigspark.llm.common import read_table, written
 
 def _chosen(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     """Documents whose doc_id the verdict (doc_id, kept) keeps."""
-    return docs.join(verdict.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(verdict.where("kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document that the mix takes n times is in the result n times."""
     taken = op9_mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    rows = docs.join(taken, F.col("doc_id") == F.col("taken_id"))
+    rows = docs.join(taken.hint("merge"), F.col("doc_id") == F.col("taken_id"))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
 
 
