@@ -1,13 +1,14 @@
 """Line dedup over levelled sorted runs of line hashes.
 
 A run holds one row per line key, sorted by its 128-bit hash: in how many documents the batch had it and the largest
-doc_id. Each batch of input files adds a run to level 0; when a level has `fan_out` runs they are merged into one run of
-the next level, so a key is rewritten a logarithmic number of times. A new batch is merge-anti-joined with the runs to
-find its unseen lines (`unseen`); for the frequency rule the runs' totals decide (`frequent`), and a document's lines that
-do not survive the anti-join with them are dropped.
+doc_id. Each batch of documents is merge-anti-joined with the runs, which leaves the keys whose verdict is still open, and
+adds these as a run of level 0. When a level has `fan_out` runs they are merged into one run of the next level, so a key
+is rewritten a logarithmic number of times. A key is settled once a run holds it in `min_docs` documents and with a doc_id
+no smaller than the batch's: it is frequent and the batch cannot change which document keeps it. Plain presence would not
+do, as the rule counts documents.
 
 Only DataFrame functions are used. Defined results: null or empty text is one empty line; repeated rows of a doc_id
-count as one document and are each answered; null doc_id rows keep all their lines; an empty table gives no rows; extra
+count as one document and are each answered from their own text; null doc_id rows keep all their lines; an empty table gives no rows; extra
 columns are ignored; lines may be of any length.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, delete_path, text_of, written
+from .common import SPACE, ascii_lower, bound, delete_path, text_of, written
 
 KEY = ["h1", "h2"]
 
@@ -33,9 +34,9 @@ def line_keys(text, min_chars: int):
 
 
 def keyed_lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, h1, h2, at): one row per line that is long enough."""
+    """(doc_id, own, h1, h2, at): one row per line that is long enough; own tells texts of the same doc_id apart."""
     lines = docs.select("doc_id", text_of().alias("text")).where(F.length("text") >= min_chars)
-    return lines.select("doc_id", F.inline(F.filter(line_keys(F.col("text"), min_chars), lambda x: x["h1"].isNotNull())))
+    return lines.select("doc_id", F.xxhash64("text").alias("own"), F.inline(F.filter(line_keys(F.col("text"), min_chars), lambda x: x["h1"].isNotNull())))
 
 
 class LineRuns:
@@ -74,11 +75,12 @@ class LineRuns:
         runs = self._all()
         return runs[0] if len(runs) == 1 else self._merged(runs)
 
-    def unseen(self, lines: DataFrame) -> DataFrame:
-        """The rows whose key no run holds: one merge anti-join for each run."""
+    def unsettled(self, keys: DataFrame, min_docs: int) -> DataFrame:
+        """The batch's keys (h1, h2, n_docs, top_doc) that no run settles: one merge anti-join for each run."""
         for run in self._all():
-            lines = lines.join(run.select(*KEY).hint("merge"), KEY, "left_anti")
-        return lines
+            settled = run.where(F.col("n_docs") >= min_docs).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"), F.col("top_doc").alias("r_top"))
+            keys = keys.join(settled.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")) & (F.col("top_doc") <= F.col("r_top")), "left_anti")
+        return keys
 
     def frequent(self, min_docs: int) -> DataFrame:
         return self.totals().where(F.col("n_docs") >= min_docs)
@@ -99,13 +101,17 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     runs = runs or LineRuns(docs.sparkSession)
     lines = written(keyed_lines(docs, min_chars), "lines")
     for batch in batches_of(lines, batches):
-        runs.add(batch_keys(batch))
+        runs.add(runs.unsettled(batch_keys(batch), min_docs))
     frequent = written(runs.frequent(min_docs), "frequent")
     dropped = lines.join(frequent, KEY).where(F.col("doc_id") < F.col("top_doc"))
-    dropped = dropped.groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("gone"))
-    rows = docs.select("doc_id", text_of().alias("text")).join(dropped.hint("merge"), "doc_id", "left")
-    split = F.split(F.col("text"), "\n", -1)
-    gone = F.transform(F.filter(line_keys(F.col("text"), min_chars), lambda x: F.array_contains(F.col("gone"), F.struct(x["h1"], x["h2"]))), lambda x: x["at"])
-    rows = rows.select("doc_id", "text", F.size(split).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), F.array().cast("array<int>")).otherwise(gone).alias("gone"))
-    kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split(F.col("text"), "\n", -1), lambda _, at: ~F.array_contains(F.col("gone"), at)), "\n"))
-    return rows.select("doc_id", "n_lines", F.size("gone").cast("long").alias("n_dropped"), kept.alias("kept_text")).withColumn("kept_sha256", F.sha2("kept_text", 256))
+    dropped = dropped.groupBy("doc_id", "own").agg(F.collect_set("at").alias("gone"))
+    rows = docs.select("doc_id", text_of().alias("text")).withColumn("own", F.xxhash64("text")).join(dropped.hint("merge"), ["doc_id", "own"], "left")
+    n_lines = F.regexp_count(F.col("text"), F.lit("\n")) + 1
+
+    def without(all_lines):
+        kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))
+        return F.array_join(F.transform(kept, lambda at: F.get(all_lines, at)), "\n")
+
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(bound(F.split(F.col("text"), "\n", -1), without))
+    rows = rows.select("doc_id", n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return rows.withColumn("kept_sha256", F.sha2("kept_text", 256))

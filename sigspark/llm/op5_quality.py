@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, text_of, written
+from .common import SPACE, ascii_lower, bound, text_of, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -38,11 +38,6 @@ COMMON = {
 }
 
 
-def bound(value: Column, use) -> Column:
-    """use(value) with value computed once for the row, also where use reads it inside a lambda."""
-    return F.transform(F.array(value), use)[0]
-
-
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, GAP), lambda w: w != "")
 

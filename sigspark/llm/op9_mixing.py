@@ -103,7 +103,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("size"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, seed: int = 17, carry: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), cap: int = 3, seed: int = 17) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for every row of docs (doc_id, text, source)."""
     rows = written(sizes(docs), "sizes")
     histogram = written(rows.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
