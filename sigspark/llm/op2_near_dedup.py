@@ -223,10 +223,13 @@ def near_classes(docs: DataFrame, least: float = 0.8, k: int = K, n_sketches: in
     across = outer.join(inner, "key").where("lx <> ly AND (headed OR x < y)").where(fits(F.col("nx"), F.col("ny"))).where(differ <= BITS - agreeing(least))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
     more = written(_verified(written(across, "across"), labelled, least), "links")
-    if more.take(1):
-        labels = least_neighbour(links.union(more))
+    # Only classes are joined further, so the second search runs over them and their few links.
+    one = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"class_{side}"))
+    joined = more.join(one("a"), "a", "left").join(one("b"), "b", "left").select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
+    labels_of_classes = least_neighbour(joined).select(F.col("id").alias("first_label"), F.col("label").alias("last_label"))
     vertex = made.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("same")).alias("same")).join(first.select("same", "id"), "same", "left")
-    out = vertex.select("doc_id", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    out = vertex.select("doc_id", "id").join(labels, "id", "left").withColumn("first_label", F.coalesce("label", "id"))
+    out = out.join(labels_of_classes, "first_label", "left").withColumn("label", F.coalesce("last_label", "first_label"))
     out = written(out.select("doc_id", F.coalesce(F.col("label"), F.col("doc_id")).alias("vertex"), F.col("id").isNull().alias("alone")), "classes")
     sums = out.where("NOT alone").groupBy("vertex").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
     sums = sums.select(F.xxhash64(F.col("vertex")).alias("vk"), F.col("vertex").alias("v"), "top", "class_size")
