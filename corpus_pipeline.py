@@ -1,5 +1,10 @@
 """A corpus pipeline of five stages, each over all that its predecessor kept: quality rules, exact dedup, near-dedup,
-mixing and packing. Null and empty texts fail the quality rules; each stage's edge cases are its operator's."""
+mixing and packing.
+
+Defined results: null and empty texts fail the quality rules; a row with a null doc_id has no identity that a verdict could
+name and leaves at the first stage; rows that repeat a doc_id are one document and stay or go together; columns besides
+those of documents are carried along, whatever their names; an empty table gives no rows. All else is as the stages' operators
+say."""
 
 from __future__ import annotations
 
@@ -29,9 +34,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document that the mix takes n times is in the result n times."""
-    taken = op9_mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("taken_id"), "copies")
-    rows = docs.join(taken.hint("merge"), F.col("doc_id") == F.col("taken_id"))
-    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    taken = op9_mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    rows = docs.select("doc_id", F.struct("*").alias("document")).join(taken.hint("merge"), "doc_id")
+    return rows.select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
