@@ -27,14 +27,14 @@ from bisect import bisect_left
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import least_neighbour, text_of, texts_as_bytes, written
 
 SKETCHES, TUPLE, K = 48, 8, 5
 #: One-bit minima of a text, 64 to a long, and the standard deviations that a pair may lie under the mean of its threshold.
-BITS, MARGIN = 1024, 3.5
+BITS, MARGIN = 2048, 3.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -214,14 +214,17 @@ def near_classes(docs: DataFrame, least: float = 0.8, k: int = K, n_sketches: in
     open_ = classed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select(F.col("key").alias("bucket"))
     members = classed.join(open_, F.xxhash64("key") == F.xxhash64("bucket")).where("key = bucket").drop("bucket")
     words = range(BITS // 64)
-    members = written(members.join(labelled.select("id", *[F.get("bits", F.lit(w)).alias(f"b{w}") for w in words]), "id"), "open")
+    members = members.join(labelled.select("id", *[F.get("bits", F.lit(w)).alias(f"b{w}") for w in words]), "id")
+    # A pair that shares several buckets is made in the one of the smallest key: no open bucket before it holds both.
+    earlier = Window.partitionBy("id").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    members = written(members.withColumn("earlier", F.collect_list("key").over(earlier)), "open")
     heads = members.where("id = a").select(F.col("key").alias("hk"), F.col("label").alias("head_label"))
     members = members.join(heads, F.col("key") == F.col("hk"), "left").drop("hk")
-    outer = members.where("label <> head_label").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), *[F.col(f"b{w}").alias(f"x{w}") for w in words])
-    inner = members.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("label").eqNullSafe(F.col("head_label")).alias("headed"), *[F.col(f"b{w}").alias(f"y{w}") for w in words])
+    outer = members.where("label <> head_label").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("earlier").alias("earlier_x"), *[F.col(f"b{w}").alias(f"x{w}") for w in words])
+    inner = members.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("label").eqNullSafe(F.col("head_label")).alias("headed"), F.col("earlier").alias("earlier_y"), *[F.col(f"b{w}").alias(f"y{w}") for w in words])
     differ = sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in words), F.lit(0))
-    across = outer.join(inner, "key").where("lx <> ly AND (headed OR x < y)").where(fits(F.col("nx"), F.col("ny"))).where(differ <= BITS - agreeing(least))
-    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    across = outer.join(inner, "key").where("lx <> ly AND (headed OR x < y)").where(fits(F.col("nx"), F.col("ny"))).where(differ <= BITS - agreeing(least)).where(~F.arrays_overlap("earlier_x", "earlier_y"))
+    across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(stars, ["a", "b"], "left_anti")
     more = written(_verified(written(across, "across"), labelled, least), "links")
     # Only classes are joined further, so the second search runs over them and their few links.
     one = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"class_{side}"))
