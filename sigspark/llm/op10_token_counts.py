@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, texts_as_bytes
+from .common import text_of, texts_as_bytes, written
 from .encode import encoder
 
 #: Lengths that share a block of the two-step running sums.
@@ -50,7 +50,9 @@ def with_suffix_sums(histogram: DataFrame) -> DataFrame:
 
 
 def token_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    return with_suffix_sums(lengths(docs, vocabulary))
+    """Texts are encoded once: both readers of the histogram get it from a written table of a row a length."""
+    counted = lengths(docs, vocabulary).groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return with_suffix_sums(written(counted, "lengths"))
 
 
 def truncated_total(table: DataFrame, limit: int) -> DataFrame:
