@@ -32,12 +32,16 @@ def bound(value: Column, use) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """A folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session (tests) gets a
+    temporary one; on a cluster that would be a different disk for each executor, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = held.get() if held.isDefined() else ""
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sigspark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/sigspark"
@@ -63,7 +67,15 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
     df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_path = path
+    return table
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables made by written() whose last reader has run."""
+    for table in tables:
+        delete_path(table.sparkSession, table.written_path)
 
 
 def arrow_rows(df: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -77,6 +89,13 @@ def texts_as_bytes(col: pa.Array) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary()).to_pylist()]
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in stretches of few rows, so that what a kernel makes of a stretch is small beside the batch itself."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 def least_neighbour(edges: DataFrame) -> DataFrame:
     """From edges (a, b), one row (id, label) per vertex: the smallest vertex of its connected class.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, texts_as_bytes, written
+from .common import small_batches, text_of, texts_as_bytes, written
 from .encode import encoder
 
 #: Lengths that share a block of the two-step running sums.
@@ -19,11 +19,11 @@ BLOCK = 1024
 
 
 def lengths(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """(n_tokens, n_docs) counted per Arrow batch, a partial aggregate on the map side."""
+    """(n_tokens, n_docs) counted per stretch of rows, a partial aggregate on the map side."""
 
     def kernel(batches):
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in small_batches(batches, 2048):
             n = np.fromiter((len(x) // 4 for x in enc.encode(texts_as_bytes(batch.column(0)))), np.int64, batch.num_rows)
             values, counts = np.unique(n, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], ["n_tokens", "n_docs"])

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts_as_bytes, text_of, written
+from .common import small_batches, text_of, texts_as_bytes, written
 from .encode import encoder
 
 END = 1
@@ -80,19 +81,24 @@ def pieces(docs: DataFrame, limit: int, vocabulary: str | None) -> DataFrame:
     def kernel(batches):
         enc, part, seen = encoder(vocabulary), TaskContext.get().partitionId(), Counter()
         end = END.to_bytes(4, "little")
-        for batch in batches:
-            out: list[tuple] = []
-            ids = batch.column(0).to_pylist()
-            for doc, packed in zip(ids, enc.encode(texts_as_bytes(batch.column(1))), strict=True):
+        for batch in small_batches(batches):
+            docs_of, nth = [], []
+            piece, start, length, crc = (array("q") for _ in range(4))
+            for row, packed in enumerate(enc.encode(texts_as_bytes(batch.column(1)))):
                 packed += end
                 for k, at in enumerate(range(0, len(packed), 4 * limit)):
                     own = packed[at : at + 4 * limit]
                     n = len(own) // 4
-                    out.append((doc, k, at // 4, n, zlib.crc32(own), part, seen[n]))
+                    docs_of.append(row)
+                    piece.append(k)
+                    start.append(at // 4)
+                    length.append(n)
+                    crc.append(zlib.crc32(own))
+                    nth.append(seen[n])
                     seen[n] += 1
-            columns = zip(*out, strict=True) if out else [[]] * 7
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
+            own = lambda x: pa.array(np.frombuffer(x, np.int64) if len(x) else np.empty(0, np.int64))
+            columns = [batch.column(0).take(pa.array(docs_of, pa.int64())), own(piece).cast(pa.int32()), own(start), own(length), own(crc), pa.array(np.full(len(docs_of), part, np.int32)), pa.array(nth, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"])
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(kernel, PIECES)
 
