@@ -15,11 +15,12 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_of
+from .common import small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -89,39 +90,60 @@ _GAP = r"[\s,/_-]{1,3}"
 _SPELLED = re.compile(rf"(?:(?<![^\W\d_])plus{_GAP}|\+\s?)?{_UNIT}(?:(?:{_GAP}|\s?\.\s?|\s?[()]\s?|\s(?:{_DOT_WORD})\s)?{_UNIT}){{3,}}", re.I)
 _ONE = re.compile(rf"({_WORD})|([0-9])|(plus)|({_DOT_WORD})|(\+)|(\.)|(.)", re.I | re.S)
 _SOME_WORD = re.compile(rf"(?<![^\W\d_])(?:{_WORD})(?:{_GAP}|[0-9])(?:{_GAP})?(?:{_UNIT})", re.I)
-#: Marks in brackets of any kind stand for themselves; bare words only between what looks like an address.
-_MARK = re.compile(rf"\s*[\[({{<|]\s*(?:(?P<at>{_AT_WORD}|@)|(?P<dot>{_DOT_WORD}|\.))\s*[\])}}>|]\s*", re.I)
-_BARE = re.compile(rf"[A-Za-z0-9._%+-]+(?P<at>\s+(?:{_AT_WORD})\s+|\s*@\s*)[A-Za-z0-9-]+(?:(?:\s+(?:{_DOT_WORD})\s+|\s*\.\s*)[A-Za-z0-9-]+)*\s+(?:{_DOT_WORD})\s+[A-Za-z0-9-]+(?:\s+(?:{_DOT_WORD})\s+[A-Za-z0-9-]+)*", re.I)
-_BARE_DOT = re.compile(rf"\s+(?:{_DOT_WORD})\s+", re.I)
-_DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}(?:\s*(?:{_DOT_WORD}|\.)\s*[0-9]{{1,3}}){{3}}", re.I)
+#: A mark in brackets of any kind stands for itself. Patterns begin with a rare character and never look back over white
+#: space, so that a text is read a bounded number of times whatever it holds.
+_MARK = re.compile(rf"[\[({{<|]\s*+(?:(?P<at>{_AT_WORD}|@)|(?P<dot>{_DOT_WORD}|\.))\s*+[\])}}>|]", re.I)
+_AT = re.compile(rf"(?<=\s)(?:{_AT_WORD})(?=\s)|@", re.I)
+_LABEL = re.compile(r"[A-Za-z0-9-]++")
+_STOP = re.compile(rf"(?P<word>\s++(?:{_DOT_WORD})\s++)|\s*+\.\s*+", re.I)
+_DOTTED = re.compile(rf"(?<![0-9])[0-9]{{1,3}}+(?:\s*+(?:{_DOT_WORD}|\.)\s*+[0-9]{{1,3}}+){{3}}", re.I)
+_BARE_DOT = re.compile(rf"\s++(?:{_DOT_WORD})\s++", re.I)
 _HAS_DOT = re.compile(rf"(?<![^\W\d_])(?:{_DOT_WORD})(?![^\W\d_])", re.I)
 
+#: Ascending, disjoint (start, end, new text) in the text that they change.
+Change = tuple[int, int, str]
+
 
 class Draft:
-    """Text with, for each character, the source characters it stands for."""
+    """A text made from the source by layers of changes; a layer keeps its changes only, not an offset for each character."""
 
-    def __init__(self, text: str):
-        self.text, self.start, self.end = text, None, None
+    def __init__(self, text: str, layers: tuple = ()):
+        self.text, self.layers = text, layers
 
     def source(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.start is None else (self.start[a], self.end[b - 1])
-
-    def replaced(self, changes: list[tuple[int, int, str]]) -> Draft:
-        """changes: ascending, disjoint (start, end, new text). New characters stand for the whole stretch they replace."""
+        """The source characters that characters a to b stand for. What replaces a stretch stands for all of it."""
+        for at, ends, old_start, old_end in reversed(self.layers):
+            i, j = bisect_right(at, a) - 1, bisect_right(at, b - 1) - 1
+            a, b = (
+                a if i < 0 else old_start[i] if a < ends[i] else a - ends[i] + old_end[i],
+                b if j < 0 else old_end[j] if b - 1 < ends[j] else b - ends[j] + old_end[j],
+            )
+        return a, b
+
+    def replaced(self, changes: list[Change]) -> Draft:
         if not changes:
             return self
-        n = len(self.text)
-        start = self.start or list(range(n))
-        end = self.end or list(range(1, n + 1))
-        text, starts, ends, at = [], [], [], 0
+        out, at, ends, shift, last = [], [], [], 0, 0
         for a, b, new in changes:
-            text += [self.text[at:a], new]
-            starts += start[at:a] + [start[a]] * len(new)
-            ends += end[at:a] + [end[b - 1]] * len(new)
-            at = b
-        out = Draft("".join([*text, self.text[at:]]))
-        out.start, out.end = starts + start[at:], ends + end[at:]
-        return out
+            out += [self.text[last:a], new]
+            at.append(a + shift)
+            ends.append(a + shift + len(new))
+            shift += len(new) - (b - a)
+            last = b
+        out.append(self.text[last:])
+        return Draft("".join(out), (*self.layers, (at, ends, [c[0] for c in changes], [c[1] for c in changes])))
+
+
+def _left_of(text: str, at: int, least: int) -> int:
+    while at > least and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _right_of(text: str, at: int) -> int:
+    while at < len(text) and text[at].isspace():
+        at += 1
+    return at
 
 
 def _homoglyphs(d: Draft) -> Draft:
@@ -138,15 +160,45 @@ def _homoglyphs(d: Draft) -> Draft:
     return d.replaced(changes)
 
 
+def _marks(text: str) -> list[Change]:
+    """Bracketed marks with the white space around them."""
+    out, last = [], 0
+    for m in _MARK.finditer(text):
+        if m.start() >= last:
+            end = _right_of(text, m.end())
+            out.append((_left_of(text, m.start(), last), end, "@" if m["at"] else "."))
+            last = end
+    return out
+
+
+def _bare(text: str) -> list[Change]:
+    """at and dot as bare words where an address would have its signs: a local part before, a chain of labels after, in
+    which at least one stop is a word. The chain ends with the label after its last such stop."""
+    out, last = [], 0
+    for m in _AT.finditer(text):
+        if m.start() < last:
+            continue
+        left, right = _left_of(text, m.start(), last), _right_of(text, m.end())
+        label = _LABEL.match(text, right)
+        if left == last or text[left - 1] not in LOCAL or not label:
+            continue
+        stops, kept, end = [], 0, label.end()
+        while (stop := _STOP.match(text, end)) and (label := _LABEL.match(text, stop.end())):
+            if stop["word"]:
+                stops.append((stop.start(), stop.end(), "."))
+                kept = label.end()
+            end = label.end()
+        if stops:
+            out += [(left, right, "@"), *stops]
+        last = kept if stops else end  # a chain without a stop word has none from any later place in it either
+    return out
+
+
 def _disguises(d: Draft) -> Draft:
-    d = d.replaced([(m.start(), m.end(), "@" if m["at"] else ".") for m in _MARK.finditer(d.text)])
+    d = d.replaced(_marks(d.text))
     if not _HAS_DOT.search(d.text):
         return d
-    changes = []
-    for m in _BARE.finditer(d.text):
-        a, b = m.span("at")
-        changes += [(a, b, "@"), *((x.start() + b, x.end() + b, ".") for x in _BARE_DOT.finditer(d.text[b : m.end()]))]
-    d = d.replaced(changes)
+    d = d.replaced(_bare(d.text))
     return d.replaced([(m.start() + x.start(), m.start() + x.end(), ".") for m in _DOTTED.finditer(d.text) for x in _BARE_DOT.finditer(m[0])])
 
 
@@ -182,17 +234,34 @@ def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:
     runs: list[tuple[int, int]] = []
     if _SOME_WORD.search(d.text):
         d, runs = _spelled(d)
-    if d.start is None:
+    if not d.layers:
         return base
     found = base_spans(d.text)
-    cards = [s for s in found if s[0] == "card"]
-    found += [("phone", a, b) for a, b in runs if not any(x < b and a < y for _, x, y in cards)]
-    out = list(base)
+    taken = _Taken([s for s in found if s[0] == "card"])
+    found += [("phone", a, b) for a, b in runs if taken.free("card", a, b)]
+    out = _Taken(base)
     for kind, a, b in sorted(found, key=lambda s: (KINDS.index(s[0]), s[1])):
-        a, b = d.source(a, b)
-        if not any(k == kind and x < b and a < y for k, x, y in out):
-            out.append((kind, a, b))
-    return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1]))
+        out.add(kind, *d.source(a, b))
+    return out.spans()
+
+
+class _Taken:
+    """Disjoint spans by kind, in order."""
+
+    def __init__(self, spans: list[Span]):
+        self.by = {k: sorted((a, b) for kind, a, b in spans if kind == k) for k in KINDS}
+
+    def free(self, kind: str, a: int, b: int) -> bool:
+        own = self.by[kind]
+        i = bisect_right(own, (a, b))
+        return (i == len(own) or own[i][0] >= b) and (i == 0 or own[i - 1][1] <= a)
+
+    def add(self, kind: str, a: int, b: int) -> None:
+        if self.free(kind, a, b):
+            insort(self.by[kind], (a, b))
+
+    def spans(self) -> list[Span]:
+        return [(k, a, b) for k in KINDS for a, b in self.by[k]]
 
 
 def joined(spans: list[Span]) -> str:
@@ -206,7 +275,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """Counts of base spans by kind, their digest, and all spans, for every row of docs (doc_id, text)."""
 
     def kernel(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 base = base_spans(text)
