@@ -2,12 +2,15 @@
 
 A record's nested field paths (list positions left out, sorted) are hashed; the hash selects a declarative mapping that
 turns the record into canonical turns. Layouts: message lists under several names, prompt and completion, instruction
-with input and output. The template marks turns and inserts one backslash after the < of every control string inside a
+with input and output. A layout fits where its paths are among the record's; of several the one with most paths, then the
+first listed; a hash that was not seen before is resolved so once and then looked up. Fields that the layout does not use
+are returned as `extra`. The template marks turns and inserts one backslash after the < of every control string inside a
 text, which reading back removes.
 
 Defined results: null text or role is empty; turns are ordered by turn number (nulls first), ties by role, then text;
-a record of no known layout has no turns and layout "unknown"; an empty table gives no rows; extra columns are ignored;
-repeated rows are turns of their own.
+a record of no known layout, malformed JSON included, is kept as one turn of the role "record" that holds its text, with
+layout "unknown"; a null record is an empty one; texts that are no strings are written as JSON; an empty table gives no
+rows; extra columns are ignored; repeated rows are turns of their own.
 """
 
 from __future__ import annotations
@@ -18,9 +21,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 START, STOP = "<|im_start|>", "<|im_end|>"
 Turn = tuple[str, str]
 
@@ -57,17 +62,47 @@ LAYOUTS = [
 ]
 MAPPINGS = {fingerprint(paths): (name, mapping) for name, paths, mapping in LAYOUTS}
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Fingerprints that a worker remembers besides those of the layouts.
+SEEN = 10_000
+_resolved: dict[str, tuple] = {}
+
+
+def selected(paths: set[str]) -> tuple:
+    """(name, mapping) for a record's field paths; mapping None: no layout fits."""
+    key = fingerprint(paths)
+    if key in MAPPINGS:
+        return MAPPINGS[key]
+    if key not in _resolved:
+        fits = [x for x in LAYOUTS if paths.issuperset(x[1])]
+        if len(_resolved) >= SEEN:
+            _resolved.clear()
+        best = max(fits, key=lambda x: len(x[1]), default=None)
+        _resolved[key] = (best[0], best[2]) if best else ("unknown", None)
+    return _resolved[key]
+
+
+def said(value) -> str:
+    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
 
 
-def canonical_turns(record: dict) -> tuple[str, list[Turn]]:
-    """(layout, turns). Foreign role names of from/value lists are mapped to the usual ones."""
-    name, mapping = MAPPINGS.get(fingerprint(field_paths(record)), ("unknown", None))
+def canonical_turns(record: dict) -> tuple[str, list[Turn], dict]:
+    """(layout, turns, fields not used). Foreign role names of from/value lists are mapped to the usual ones. The turns of
+    an unknown layout are None."""
+    name, mapping = selected(set(field_paths(record)))
     if mapping is None:
-        return name, []
+        return name, None, {}
     if "list" in mapping:
-        turns = [(x.get(mapping["role"]) or "", x.get(mapping["text"]) or "") for x in record[mapping["list"]]]
-        return name, [(ROLES.get(r, r), t) for r, t in turns] if name == "conversations" else turns
-    return name, [(role, "\n\n".join(str(record[f]) for f in fields if record[f])) for role, fields in mapping["turns"]]
+        role, text = mapping["role"], mapping["text"]
+        items = record[mapping["list"]]
+        turns = [(said(x.get(role)), said(x.get(text))) if isinstance(x, dict) else ("", said(x)) for x in items]
+        extra = {k: v for k, v in record.items() if k != mapping["list"]}
+        own = [{k: v for k, v in x.items() if k not in (role, text)} if isinstance(x, dict) else {} for x in items]
+        if any(own):
+            extra[mapping["list"]] = own
+        return name, [(ROLES.get(r, r), t) for r, t in turns] if name == "conversations" else turns, extra
+    used = {f for _, fields in mapping["turns"] for f in fields}
+    extra = {k: v for k, v in record.items() if k not in used}
+    return name, [(role, "\n\n".join(said(record[f]) for f in fields if record[f])) for role, fields in mapping["turns"]], extra
 
 
 def escape(text: str) -> str:
@@ -105,28 +140,35 @@ def parse(formatted: str) -> list[Turn]:
     return [(_line_role(m[1]), unescape(m[2])) for m in _TURN.finditer(formatted)]
 
 
-OUT = "conv_id long, layout string, formatted string, mask array<struct<start: long, end: long>>"
+OUT = "conv_id long, layout string, formatted string, mask array<struct<start: long, end: long>>, extra string"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, layout string"
 
 
+def read_record(raw: str | None) -> tuple[str, list[Turn], dict]:
+    try:
+        record = json.loads(raw) if raw else {}
+    except (ValueError, RecursionError):
+        record = None
+    layout, turns, extra = canonical_turns(record) if isinstance(record, dict) else ("unknown", None, {})
+    return layout, [("record", raw or "")] if turns is None else turns, extra
+
+
 def format_records(records: DataFrame) -> DataFrame:
-    """From (conv_id, record: JSON text): layout, formatted text and loss mask. Malformed JSON counts as unknown layout."""
+    """From (conv_id, record: JSON text): layout, formatted text, loss mask and the unused fields as JSON (null for none)."""
 
     def kernel(batches):
-        for batch in batches:
-            layouts, texts, masks = [], [], []
+        for batch in small_batches(batches):
+            layouts, texts, masks, extras = [], [], [], []
             for raw in batch.column(1).to_pylist():
-                try:
-                    record = json.loads(raw) if raw else {}
-                except ValueError:
-                    record = {}
-                layout, turns = canonical_turns(record if isinstance(record, dict) else {})
+                layout, turns, extra = read_record(raw)
                 text, mask = format_turns(turns)
                 layouts.append(layout)
                 texts.append(text)
                 masks.append([{"start": a, "end": b} for a, b in mask])
+                extras.append(json.dumps(extra, ensure_ascii=False) if extra else None)
             span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(layouts, pa.string()), pa.array(texts, pa.string()), pa.array(masks, pa.list_(span))], ["conv_id", "layout", "formatted", "mask"])
+            columns = [batch.column(0), pa.array(layouts, pa.string()), pa.array(texts, pa.string()), pa.array(masks, pa.list_(span)), pa.array(extras, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "layout", "formatted", "mask", "extra"])
 
     return records.select("conv_id", "record").mapInArrow(kernel, OUT)
 
@@ -135,7 +177,7 @@ def digests(formatted: DataFrame) -> DataFrame:
     """What the formatted texts say when they are read back."""
 
     def kernel(batches):
-        for batch in batches:
+        for batch in small_batches(batches):
             rows = []
             for conv, layout, text, mask in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 turns = parse(text)
@@ -149,14 +191,17 @@ def digests(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", "layout", "formatted", "mask").mapInArrow(kernel, DIGEST)
 
 
-def _messages(rows: Column) -> Column:
-    return F.to_json(F.struct(F.transform(rows, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
-
-
 def records_of(conversations: DataFrame) -> DataFrame:
-    """One record (conv_id, record) for each conversation; a conversation is one text in the end, so its turns meet."""
+    """One record (conv_id, record) for each conversation, in the plainest layout that holds it: prompt and response, these
+    with a system text, or a message list. A conversation is one text in the end, so its turns meet."""
     turns = conversations.select("conv_id", F.struct(F.col("turn").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias("one"))
-    return turns.groupBy("conv_id").agg(_messages(F.sort_array(F.collect_list("one"))).alias("record"))
+    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("one")).alias("rows"))
+    text = lambda i: F.col("rows")[i]["text"]
+    roles = lambda *names: F.transform("rows", lambda x: x["role"]) == F.array(*map(F.lit, names))
+    pair = F.to_json(F.struct(text(0).alias("prompt"), F.get("rows", F.lit(1))["text"].alias("response")))
+    three = F.to_json(F.struct(text(0).alias("system"), F.get("rows", F.lit(1))["text"].alias("prompt"), F.get("rows", F.lit(2))["text"].alias("response")))
+    listed = F.to_json(F.struct(F.transform("rows", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))).alias("messages")))
+    return rows.select("conv_id", F.when(roles("user", "assistant"), pair).when(roles("system", "user", "assistant"), three).otherwise(listed).alias("record"))
 
 
 def chat(conversations: DataFrame) -> DataFrame:

@@ -206,8 +206,32 @@ def test_chat_layouts():
     want = [("user", "q"), ("assistant", "a")]
     for record in ({"prompt": "q", "completion": "a"}, {"instruction": "q", "output": "a"}, {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}):
         assert canonical_turns(record)[1] == want
-    assert canonical_turns({"odd": 1}) == ("unknown", [])
+    assert canonical_turns({"odd": 1}) == ("unknown", None, {})
     assert parse(format_turns(want)[0]) == want
+    more = {"id": 7, "messages": [{"role": "user", "content": "q", "name": "ann"}, {"role": "assistant", "content": "a"}], "tags": ["x"]}
+    assert canonical_turns(more) == ("messages", want, {"id": 7, "tags": ["x"], "messages": [{"name": "ann"}, {}]})
+    assert canonical_turns({"system": "s", "prompt": "q", "response": "a", "id": None})[:2] == ("system_prompt_response", [("system", "s"), *want])
+    assert canonical_turns({"instruction": "q", "input": "", "output": "a", "score": 1}) == ("instruction_input", want, {"score": 1})
+
+
+def test_chat_records_lose_nothing(spark):
+    from sigspark.llm import op8_chat as op
+
+    raw = ['{"prompt": "q", "response": "a", "id": 3}', '{"odd": [1, 2]}', "no json", None, '{"messages": []}', '{"messages": [{"role": "user", "content": {"parts": ["x"]}}]}']
+    got = op.format_records(spark.createDataFrame(list(enumerate(raw)), "conv_id long, record string")).orderBy("conv_id").collect()
+    assert [r["layout"] for r in got] == ["prompt_response", "unknown", "unknown", "unknown", "no_messages", "unknown"]
+    assert got[0]["extra"] == '{"id": 3}'
+    assert [op.parse(r["formatted"]) for r in got[1:4]] == [[("record", '{"odd": [1, 2]}')], [("record", "no json")], [("record", "")]]
+    assert op.parse(got[5]["formatted"]) == [("record", raw[5])]
+
+
+def test_chat_selects_layouts_for_the_table(spark):
+    from sigspark.llm import op8_chat as op
+
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "system", "s"), (2, 1, "user", ""), (2, 2, "assistant", "a"), (3, 0, "assistant", "a")]
+    got = {r["conv_id"]: r for r in op.chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[k]["layout"] for k in (1, 2, 3)] == ["prompt_response", "system_prompt_response", "messages"]
+    assert got[2]["turns_sha256"] == brute.sha("system\ns\nuser\n\nassistant\na\n")
 
 
 def test_mixing_edges(tables):
