@@ -12,7 +12,11 @@ classes have the pairs across these classes compared, so no link of a bucket tha
 pairs inside a class, as in a large group of copies, are never made. Texts that share a long passage but little else meet
 in such buckets by the thousands; a pair is made only where BITS one-bit minima of the two agree as often as a similar
 pair's do. A pair at the threshold agrees in 0.9 of its bits on average and is missed where it lies MARGIN standard deviations
-lower, about twice in 10,000, as rarely as the sketches miss it; no bucket is capped.
+lower, about twice in 10,000, as rarely as the sketches miss it; no bucket is capped. With margin None every such pair is
+made and aligned, so that only the sketches can miss one.
+
+A vertex is a word sequence, not a doc_id: rows that repeat a doc_id with other texts are vertices of their own, joined
+because they share the doc_id.
 
 Defined results: null or empty texts, and other texts without a word, are each a class of their own; texts of under
 five words have one shingle, all their words; equal word sequences are one class without alignment; rows of the same
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import least_neighbour, text_of, texts_as_bytes, written
+from .common import least_neighbour, small_batches, text_of, texts_as_bytes, written
 
 SKETCHES, TUPLE, K = 48, 8, 5
 #: One-bit minima of a text, 64 to a long, and the standard deviations that a pair may lie under the mean of its threshold.
@@ -117,10 +121,10 @@ def one_bit_minima(labels: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return np.packbits((_scramble(np.concatenate(least)) >> np.uint64(63)).astype(np.uint8)).view(np.int64)
 
 
-def agreeing(least: float) -> int:
+def agreeing(least: float, margin: float) -> int:
     """Bits in which a pair agrees at least to be compared."""
     p = (1 + least) / 2
-    return int(BITS * p - MARGIN * (BITS * p * (1 - p)) ** 0.5)
+    return int(BITS * p - margin * (BITS * p * (1 - p)) ** 0.5)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float) -> float:
@@ -152,27 +156,41 @@ def _sketched(docs: DataFrame, k: int, n: int, size: int, least: float) -> DataF
 
     def kernel(batches):
         shingler, factors = Shingler(), multipliers(n)
-        for batch in batches:
+        for batch in small_batches(batches):
             same, lengths, keys = [], [], []
             for text in texts_as_bytes(batch.column(1)):
                 labels = shingler.labels(text, k)
                 lengths.append(len(labels))
-                same.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())) if len(labels) else None)
+                same.append(_word_sequence(text))
                 keys.append(sketches(labels, factors, size, least) if len(labels) else np.empty(0, np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(lengths, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "same", "n", "keys"])
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(kernel, "doc_id long, same binary, n long, keys array<long>")
 
 
+def _word_sequence(text: bytes) -> bytes | None:
+    words = text.lower().split()
+    return xxhash.xxh3_128_digest(b" ".join(words)) if words else None
+
+
 def _labelled(docs: DataFrame, k: int) -> DataFrame:
-    """(id, labels, bits) of docs (doc_id, text)."""
+    """(id, labels, bits) of docs (doc_id, text, id, same): the rows whose text is the word sequence `same`, once each as
+    rows of a doc_id follow one another."""
 
     def kernel(batches):
-        shingler, factors = Shingler(), multipliers(SKETCHES + BITS)[SKETCHES:]
-        for batch in batches:
-            labels = [shingler.labels(text, k) for text in texts_as_bytes(batch.column(1))]
-            bits = [one_bit_minima(x, factors) for x in labels]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in labels], pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["id", "labels", "bits"])
+        shingler, factors, doc, seen = Shingler(), multipliers(SKETCHES + BITS)[SKETCHES:], None, set()
+        for batch in small_batches(batches):
+            ids, labels, bits = [], [], []
+            for own, text, vertex, same in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if own != doc:
+                    doc, seen = own, set()
+                if vertex not in seen and _word_sequence(text) == same:
+                    seen.add(vertex)
+                    x = shingler.labels(text, k)
+                    ids.append(vertex)
+                    labels.append(x.tobytes())
+                    bits.append(one_bit_minima(x, factors))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], ["id", "labels", "bits"])
 
     return docs.mapInArrow(kernel, "id long, labels binary, bits array<long>")
 
@@ -190,23 +208,29 @@ def _verified(pairs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "la", "lb").mapInArrow(kernel, "a long, b long")
 
 
-def near_classes(docs: DataFrame, least: float = 0.8, k: int = K, n_sketches: int = SKETCHES, tuple_size: int = TUPLE) -> DataFrame:
+def near_classes(docs: DataFrame, least: float = 0.8, k: int = K, n_sketches: int = SKETCHES, tuple_size: int = TUPLE, margin: float | None = MARGIN) -> DataFrame:
     """doc_id, class_id (the largest doc_id of the class), class_size, kept for every row of docs (doc_id, text)."""
     docs = docs.select("doc_id", text_of().alias("text"))
     made = written(_sketched(docs, k, n_sketches, tuple_size, least), "sketches")
-    # Equal word sequences are one vertex, its smallest doc_id.
-    first = made.where("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("id"), F.max("n").alias("n"))
-    first = written(first, "vertices")
-    keys = made.join(first.select(F.col("same").alias("s"), F.col("id").alias("doc_id")), "doc_id").where("same = s").select(F.col("doc_id").alias("id"), "n", F.explode("keys").alias("key")).distinct()
+    # Equal word sequences are one vertex, numbered by its smallest doc_id; of several with one smallest doc_id the others
+    # get a hash.
+    first = made.where("same IS NOT NULL AND doc_id IS NOT NULL").groupBy("same").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"))
+    nth = F.row_number().over(Window.partitionBy("doc").orderBy("same"))
+    first = written(first.withColumn("id", F.when(nth == 1, F.col("doc")).otherwise(F.xxhash64("same", "doc"))), "vertices")
+    keys = made.join(first.select(F.col("same").alias("s"), F.col("doc").alias("doc_id"), "id"), "doc_id").where("same = s").select("id", "n", F.explode("keys").alias("key")).distinct()
     keys = written(keys, "keys")
     heads = keys.groupBy("key").agg(F.min(F.struct("id", "n")).alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1").select(F.col("key").alias("bucket"), F.col("head.id").alias("a"), F.col("head.n").alias("na"))
     rows = written(keys.join(heads, F.xxhash64("key") == F.xxhash64("bucket")).where("key = bucket").select("key", "id", "n", "a", "na"), "buckets")
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
     # Only texts in buckets move, once; merge: the way that also holds when the ids are too many to broadcast.
-    texts = docs.join(rows.select(F.col("id").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text").alias("text"))
+    needed = first.join(rows.select("id").distinct(), "id", "left_semi").select(F.col("doc").alias("doc_id"), "id", "same")
+    texts = docs.join(needed.hint("merge"), "doc_id").select("doc_id", "text", "id", "same")
     labelled = written(_labelled(texts, k), "labels")
     stars = written(rows.where(F.col("id") > F.col("a")).where(fits(F.col("n"), F.col("na"))).select("a", F.col("id").alias("b")).distinct(), "stars")
-    links = written(_verified(stars, labelled, least), "links")
+    # Rows of one doc_id share a class whatever their texts.
+    shared = made.join(first.select("same", "id"), "same").groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
+    shared = made.join(first.select("same", "id"), "same").join(shared, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
+    links = written(_verified(stars, labelled, least).union(shared), "links")
     labels = least_neighbour(links)
     # Second round: buckets that still hold several classes, and in these the pairs across classes.
     classed = rows.join(labels, "id", "left").select("key", "id", "n", "a", F.coalesce("label", "id").alias("label"))
@@ -223,7 +247,10 @@ def near_classes(docs: DataFrame, least: float = 0.8, k: int = K, n_sketches: in
     outer = members.where("label <> head_label").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("earlier").alias("earlier_x"), *[F.col(f"b{w}").alias(f"x{w}") for w in words])
     inner = members.select("key", F.col("id").alias("y"), F.col("n").alias("ny"), F.col("label").alias("ly"), F.col("label").eqNullSafe(F.col("head_label")).alias("headed"), F.col("earlier").alias("earlier_y"), *[F.col(f"b{w}").alias(f"y{w}") for w in words])
     differ = sum((F.bit_count(F.col(f"x{w}").bitwiseXOR(F.col(f"y{w}"))) for w in words), F.lit(0))
-    across = outer.join(inner, "key").where("lx <> ly AND (headed OR x < y)").where(fits(F.col("nx"), F.col("ny"))).where(differ <= BITS - agreeing(least)).where(~F.arrays_overlap("earlier_x", "earlier_y"))
+    across = outer.join(inner, "key").where("lx <> ly AND (headed OR x < y)").where(fits(F.col("nx"), F.col("ny")))
+    if margin is not None:
+        across = across.where(differ <= BITS - agreeing(least, margin))
+    across = across.where(~F.arrays_overlap("earlier_x", "earlier_y"))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(stars, ["a", "b"], "left_anti")
     more = written(_verified(written(across, "across"), labelled, least), "links")
     # Only classes are joined further, so the second search runs over them and their few links.
