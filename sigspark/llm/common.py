@@ -61,11 +61,12 @@ def _forget(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, name: str, *partition_by: str, codec: str = "snappy") -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read back: lineage ends here and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}"
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    writer = df.write.option("compression", codec)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     atexit.register(_forget, spark, path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_path = path
