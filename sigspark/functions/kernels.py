@@ -55,20 +55,12 @@ def sosfilt(sos, x: np.ndarray, settled: bool = True, states=None) -> tuple[np.n
     return x, out
 
 
-def settle_length(sos, share: float = 0.01, longest: int = 1 << 16) -> int:
+def settle_length(sos, share: float = 0.01, longest: int = 10_000) -> int:
     """Samples after which the impulse response stays under a share of its peak."""
     x = np.zeros((longest, 1))
     x[0] = 1
     h = np.abs(sosfilt(sos, x, settled=False)[0][:, 0])
-    return int(np.flatnonzero(h > share * h.max())[-1]) + 1
-
-
-def zero_phase(sos, x: np.ndarray) -> np.ndarray:
-    """Forward, then backward over the whole series; the last `settle_length` samples are not final and are left out."""
-    pad = max(settle_length(sos), 6 * len(np.atleast_2d(sos)))
-    forward, _ = sosfilt(sos, x)
-    back = sosfilt(sos, forward[::-1])[0][::-1]
-    return back[: max(0, len(x) - pad)]
+    return int(np.flatnonzero(h > share * h.max())[-1]) + 1 if h.max() else 0
 
 
 def convolve(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
@@ -80,37 +72,125 @@ def convolve(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
     return full if np.iscomplexobj(taps) else full.real
 
 
-def lattice_notch(x: np.ndarray, fs: float, gamma: float = 0.995, mu: float = 0.99, eta: float = 0.99, start: float | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Adaptive lattice notch, one sample at a time, all channels at once: (filtered, tracked frequency)."""
-    k = np.full(x.shape[1], -np.cos(2 * np.pi * (0.0718 * fs if start is None else start) / fs))
-    near = far = top = bottom = np.zeros(x.shape[1])
+class Lattice:
+    """State of an adaptive lattice notch for a vector of channels. The all-pole part s has poles at radius sqrt(gamma); its
+    coefficient k = -cos(notch) follows minus the smoothed ratio of s[n-1] (s[n] + s[n-2]) to 2 s[n-1]^2."""
+
+    def __init__(self, channels: int, fs: float, gamma: float, mu: float, eta: float, start: float | None):
+        self.fs, self.gamma, self.mu, self.eta = fs, gamma, mu, eta
+        self.k = np.full(channels, -np.cos(2 * np.pi * (0.0718 if start is None else start / fs)))
+        self.past = np.zeros((2, channels))  # s[n-1], s[n-2]
+        self.cross, self.power = np.zeros(channels), np.zeros(channels)
+
+    def adapt(self, now: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
+        self.cross = self.eta * self.cross + (1 - self.eta) * one * (now + two)
+        self.power = self.eta * self.power + (1 - self.eta) * 2 * one * one
+        self.k = self.mu * self.k + (1 - self.mu) * np.clip(-self.cross / (self.power + 1e-8), -1, 1)
+
+    def frequency(self) -> np.ndarray:
+        return np.arccos(-self.k) * self.fs / (2 * np.pi)
+
+    def sample(self, x: np.ndarray) -> np.ndarray:
+        one, two = self.past
+        now = x - (1 + self.gamma) * self.k * one - self.gamma * two
+        out = now + two + 2 * self.k * one
+        self.adapt(now, one, two)
+        self.past = np.stack([now, one])
+        return out
+
+    def chunk(self, x: np.ndarray) -> np.ndarray:
+        """A chunk under one coefficient, which then adapts by its last samples. The all-zero part starts each chunk from rest."""
+        out, own = np.empty(x.shape), np.concatenate([self.past[::-1], np.empty(x.shape)])
+        for i, v in enumerate(x):
+            own[i + 2] = v - (1 + self.gamma) * self.k * own[i + 1] - self.gamma * own[i]
+        fresh = np.concatenate([np.zeros((2, x.shape[1])), own[2:]])
+        out = fresh[2:] + 2 * self.k * fresh[1:-1] + fresh[:-2]
+        self.adapt(own[-1], own[-2], own[-3])
+        self.past = own[:-3:-1].copy()
+        return out
+
+
+def lattice_notch(x: np.ndarray, fs: float, gamma: float = 0.995, mu: float = 0.99, eta: float = 0.99, start: float | None = None, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Adaptive lattice notch over all channels at once: (filtered, tracked frequency)."""
+    state = Lattice(x.shape[1], fs, gamma, mu, eta, start)
     out, freq = np.empty(x.shape), np.empty(x.shape)
-    for i, v in enumerate(x):
-        now = v - gamma * far - (1 + gamma) * k * near
-        out[i] = now + far + 2 * k * near
-        top, bottom = eta * top + (1 - eta) * near * (now + far), eta * bottom + (1 - eta) * 2 * near**2
-        k = mu * k + (1 - mu) * np.clip(-top / (bottom + 1e-8), -1, 1)
-        far, near = near, now
-        freq[i] = np.arccos(-k) * fs / (2 * np.pi)
+    for at in range(0, len(x), chunk or 1):
+        own = slice(at, at + (chunk or 1))
+        out[own] = state.chunk(x[own]) if chunk else state.sample(x[at])
+        freq[own] = state.frequency()
     return out, freq
 
 
-def line_canceller(x: np.ndarray, fs: float, line: float = 60.0, harmonics: int = 1, adapt: float = 0.1, track: float | None = 0.5, deviation: float = 2.0) -> np.ndarray:
-    """Quadrature canceller; a frequency loop retunes it each mains period from the phasors' rotation over all channels."""
-    mu, omega = 2 * (1 - np.exp(-1 / (adapt * fs))), 2 * np.pi * line / fs
-    period = max(1, int(round(fs / line)))
-    weights = np.zeros((harmonics, x.shape[1]), complex)
-    phase, last, out = 0.0, None, np.empty(x.shape)
+class LineTracker:
+    """The frequency loop and phase of a line canceller; a window is one nominal mains period."""
+
+    def __init__(self, fs: float, line: float, track: float | None, deviation: float | None):
+        if deviation is not None and deviation < 0:
+            raise ValueError("the deviation must not be negative")
+        self.omega, self.phase, self.last = 2 * np.pi * line / fs, 0.0, None
+        self.window = max(1, int(round(fs / line)))
+        self.gain = 1 - np.exp(-self.window / fs / track) if track else 0.0
+        low, high = (-np.inf, np.inf) if deviation is None else (max(0.0, line - deviation), min(fs / 2, line + deviation))
+        self.limits = 2 * np.pi * low / fs, 2 * np.pi * high / fs
+
+    def angles(self, n: int) -> np.ndarray:
+        return self.phase + self.omega * np.arange(n)
+
+    def step(self, phasor: np.ndarray) -> None:
+        """The phasors' common rotation since the last window moves the frequency."""
+        if self.gain and self.last is not None and (turn := np.vdot(self.last, phasor)) != 0:
+            self.omega = float(np.clip(self.omega + self.gain * np.angle(turn) / self.window, *self.limits))
+        self.last = phasor
+
+
+def line_canceller(x: np.ndarray, fs: float, line: float = 60.0, harmonics: int = 1, adapt: float = 0.1, track: float | None = 0.5, deviation: float | None = 2.0, method: str = "notch") -> np.ndarray:
+    """Removes a mains line and its harmonics. "notch": the quadrature canceller in its closed form as sections, from rest,
+    retuned each window by the rotation of what it removes. "subtract": each window's line is rebuilt from the smoothed
+    phasors of the windows before, with one phase for all channels and an amplitude for each."""
+    if method == "passthrough":
+        return x
+    if method not in ("notch", "subtract"):
+        raise ValueError(f"unknown method {method!r}")
+    tracker, out = LineTracker(fs, line, track, deviation), np.empty(x.shape)
+    orders = np.arange(1, max(1, harmonics) + 1)
+    mu, share = 2 / (adapt * fs), 1 - np.exp(-tracker.window / fs / adapt)
+    delays = np.zeros((len(orders), 2, x.shape[1]))
+    phasors = None
+    for at in range(0, len(x), tracker.window):
+        own = x[at : at + tracker.window]
+        angles = tracker.angles(len(own))
+        if method == "notch":
+            out[at : at + len(own)] = _cascade(tracker.omega, mu, orders, own, delays)
+            seen = np.exp(-1j * angles) @ (own - out[at : at + len(own)])
+        else:
+            lines = np.exp(-1j * np.outer(orders, angles)) @ own
+            seen = lines[0] * 2 / tracker.window
+            if phasors is None:
+                out[at : at + len(own)] = own
+            else:
+                common = np.angle((phasors * np.abs(phasors)).sum(axis=1))[:, None]
+                size = np.maximum((phasors * np.exp(-1j * common)).real, 0)
+                out[at : at + len(own)] = own - np.cos(np.outer(orders, angles) + common).T @ size
+        tracker.phase += tracker.omega * len(own)
+        if len(own) == tracker.window:
+            if method == "subtract":
+                lines = lines * 2 / tracker.window
+                phasors = lines if phasors is None else (1 - share) * phasors + share * lines
+            tracker.step(seen)
+    return out
+
+
+def _cascade(omega: float, mu: float, orders: np.ndarray, x: np.ndarray, delays: np.ndarray) -> np.ndarray:
+    """One window through the sections of the harmonics in transposed direct form; delays are kept for the next one."""
+    out = np.empty(x.shape)
+    cosines = np.cos(orders * omega)
     for i, v in enumerate(x):
-        turn = np.exp(1j * phase * np.arange(1, harmonics + 1))[:, None]
-        out[i] = v - (weights * turn).real.sum(axis=0)
-        weights += mu * out[i] * turn.conj()
-        phase += omega
-        if track and (i + 1) % period == 0:
-            if last is not None and (cross := np.vdot(last, weights[0])) != 0:
-                omega += (1 - np.exp(-period / fs / track)) * np.angle(cross) / period
-                omega = np.clip(omega, 2 * np.pi * (line - deviation) / fs, 2 * np.pi * (line + deviation) / fs)
-            last = weights[0].copy()
+        for k, c in enumerate(cosines):
+            y = v + delays[k, 0]
+            delays[k, 0] = -2 * c * v + (2 - mu) * c * y + delays[k, 1]
+            delays[k, 1] = v - (1 - mu) * y
+            v = y
+        out[i] = v
     return out
 
 

@@ -76,6 +76,9 @@ def digitize_attributes(low: float, high: float, dtype: str = "int16") -> dict[s
 def quantize(x: Column, high: float, low: float = 0.0, bits: int = 8) -> Column:
     """Unsigned levels in the next wider signed type, as Spark has no unsigned ones; boolean for one bit."""
     level = F.rint(float(2**bits - 1) * (S.clip(x, low, high) - low) / (high - low))
+    if bits > 53:  # the doubles next to 2^bits - 1 are too large: the top level is the integer itself
+        top = F.lit(str(2**bits - 1)).cast("decimal(20,0)")
+        return F.when(S.clip(x, low, high) >= high, top).otherwise(F.least(level.cast("decimal(20,0)"), top))
     if bits <= 1:
         return level.cast("boolean")
     return level.cast("short" if bits <= 8 else "int" if bits <= 16 else "bigint" if bits <= 32 else "decimal(20,0)")

@@ -56,7 +56,7 @@ def aggregate(op: str, x: Column, order: Column, coordinate: Column | None = Non
         "nanstd": lambda: F.coalesce(F.stddev_pop(_skipping(x)), F.lit(NAN)),
         "nansum": lambda: F.coalesce(F.sum(_skipping(x)), F.lit(0.0)),
         "argmax": lambda: F.max_by(at, F.struct(x, -order)),
-        "argmin": lambda: F.min_by(at, F.struct(x, order)),
+        "argmin": lambda: F.min_by(at, F.struct(~F.isnan(x), x, order)),  # the first NaN comes before any number
     }
     if op not in known:
         raise ValueError(f"unknown aggregation {op!r}")

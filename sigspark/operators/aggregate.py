@@ -25,18 +25,27 @@ def trapezoid(df: DataFrame, by: Sequence[str], coordinate: str) -> DataFrame:
     return df.withColumn("__area", area).groupBy(*by).agg(F.coalesce(F.sum("__area"), F.lit(0.0)).alias("value"))
 
 
-def ranged_aggregate(df: DataFrame, by: Sequence[str], bands: Sequence[tuple[float, float]] | None, coordinate: str, operation: str = "mean") -> DataFrame:
-    """One row for each band, both ends included; bands may overlap. The band's coordinate is its members' mean."""
+def ranged_aggregate(df: DataFrame, by: Sequence[str], bands: Sequence[tuple[float, float]] | None, coordinate: str, operation: str = "mean", labels: str | None = None) -> DataFrame:
+    """One row for each band, both ends included; bands may overlap. The band's coordinate is its members' mean, or with
+    `labels` (a column of names along the axis) "first - last" of its members. A band without members is an error, raised
+    when the rows are computed."""
     if bands is None:
         return df
     # A row is copied to the bands that hold it, so the bands stay literals and nothing is joined.
     c = F.col(coordinate)
     held = F.array(*[F.when((c >= lo) & (c <= hi), F.lit(i)) for i, (lo, hi) in enumerate(bands)])
     rows = df.withColumn("band", F.explode(F.array_compact(held)))
+    at = F.avg(coordinate) if labels is None else F.concat(F.min_by(labels, coordinate), F.lit(" - "), F.max_by(labels, coordinate))
     if operation == "trapezoid":
-        mean = rows.groupBy(*by, "band").agg(F.avg(coordinate).alias("at"))
-        return trapezoid(rows, [*by, "band"], coordinate).join(mean, [*by, "band"])
-    return rows.groupBy(*by, "band").agg(F.avg(coordinate).alias("at"), S.aggregate(operation, F.col("value"), c, c).alias("value"))
+        mean = rows.groupBy(*by, "band").agg(at.alias("at"))
+        out = trapezoid(rows, [*by, "band"], coordinate).join(mean, [*by, "band"])
+    else:
+        out = rows.groupBy(*by, "band").agg(at.alias("at"), S.aggregate(operation, F.col("value"), c, c).alias("value"))
+    # The bands of the first group stand for all: every group has the whole axis. Their number is that of the literals.
+    found = F.size(F.collect_set("band").over(Window.partitionBy(*by)))
+    checked = out.withColumn("__bands", found)
+    wanted = F.when(F.col("__bands") == len(bands), F.col("band")).otherwise(F.raise_error(F.lit("a band holds no coordinate of the axis")).cast("int"))
+    return checked.withColumn("band", wanted).drop("__bands")
 
 
 def samples_per_bin(bin_duration: float, fs: float, fractional: bool = True) -> float:

@@ -60,24 +60,36 @@ def merge(a: DataFrame, b: DataFrame, gain: float, channels_a: int) -> DataFrame
     return concat(x, y, channels_a)
 
 
-def resample(df: DataFrame, reference: DataFrame, fill: str = "extrapolate") -> DataFrame:
-    """Linear interpolation at the reference times (key, t): one union and two passes over an ordered window, no range
-    join. Values up to the last sample's time; before the first sample the first two samples' line, or, with fill
-    "last", the first sample."""
-    rows = df.select("key", "ch", "t", "value", F.lit(False).alias("asked"))
-    channels = df.select("key", "ch").distinct()
-    asked = reference.select("key", "t").distinct().join(channels, "key").select("key", "ch", "t", F.lit(None).cast("double").alias("value"), F.lit(True).alias("asked"))
-    w = Window.partitionBy("key", "ch").orderBy("t", "asked")
-    own = F.when(~F.col("asked"), F.struct("t", "value"))
-    before = F.last(own, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(own, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    second = F.when(~F.col("asked"), F.lead(F.struct("t", "value")).over(Window.partitionBy("key", "ch", "asked").orderBy("t")))
-    rows = rows.unionByName(asked).withColumn("__s", second)
-    after2 = F.first("__s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    got = rows.select("key", "ch", "t", "asked", before.alias("p"), after.alias("q"), after2.alias("r")).where("asked AND q IS NOT NULL")
+def resample(df: DataFrame, reference: DataFrame, fill: str | float = "extrapolate", block_rows: int = 1 << 20) -> DataFrame:
+    """Linear interpolation at the reference times (key, t): one union and running windows, no range join. Values up to
+    the last sample's time. Before the first sample: the line through the first two samples; with fill "last" the first
+    sample; with a number that number. A series of fewer than three samples gives nothing.
+
+    A series is cut into stretches of time of about block_rows samples, so a long one is many tasks' work; the samples
+    next to a stretch come from one summary row for each stretch."""
+    series, part = ["key", "ch"], ["key", "ch", "__block"]
+    own_rows = df.select("key", "ch", "t", "value")
+    spans = own_rows.groupBy(*series).agg(F.min("t").alias("__a"), F.max("t").alias("__z"), F.count(F.lit(1)).alias("__c")).where("__c >= 3")
+    width = F.greatest((F.col("__z") - F.col("__a")) / F.ceil(F.col("__c") / F.lit(block_rows)), F.lit(1e-300))
+    block = F.greatest(F.lit(0), F.floor((F.col("t") - F.col("__a")) / F.col("__w"))).cast("long").alias("__block")
+    spans = spans.select(*series, "__a", "__z", width.alias("__w"))
+    asked = reference.select("key", "t").distinct().join(spans, "key").where(F.col("t") <= F.col("__z"))
+    rows = own_rows.join(spans, series).select(*series, "t", F.struct("t", "value").alias("own"), block)
+    rows = rows.unionByName(asked.select(*series, "t", F.lit(None).cast(rows.schema["own"].dataType).alias("own"), block)).repartition(*part)
+    # Samples come first among equal times in both directions, so that each asked time sees them.
+    up, down = (Window.partitionBy(*part).orderBy(t, F.col("own").isNull()) for t in (F.asc("t"), F.desc("t")))
+    so_far = lambda w, at=0: F.last("own", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, at))
+    rows = rows.select("*", so_far(down).alias("q"), F.when(F.col("own").isNotNull(), so_far(down, -1)).alias("next")).select("*", so_far(up).alias("p"))
+    ends = rows.groupBy(*part).agg(F.min_by(F.struct("own", "next"), F.col("own.t")).alias("low"), F.max("own").alias("last"))
+    over = Window.partitionBy(*series).orderBy("__block")
+    back = Window.partitionBy(*series).orderBy(F.desc("__block"))
+    later = F.last("low", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*part, F.last("last", ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"), later["own"].alias("__after"), F.coalesce(F.col("low")["next"], later["own"]).alias("__second"))
+    got = rows.where("own IS NULL").join(ends, part).select(*series, "t", F.coalesce("p", "__before").alias("p"), F.coalesce("q", "__after").alias("q"), F.col("__second").alias("r"))
     line = lambda x, y: F.when(y["t"] == x["t"], x["value"]).otherwise(x["value"] + (y["value"] - x["value"]) * F.try_divide(F.col("t") - x["t"], y["t"] - x["t"]))
-    early = F.col("q")["value"] if fill == "last" else F.when(F.col("r").isNull(), F.col("q")["value"]).otherwise(line(F.col("q"), F.col("r")))
-    return got.select("key", "ch", "t", F.when(F.col("p").isNull(), early).when(F.col("p")["t"] == F.col("t"), F.col("p")["value"]).otherwise(line(F.col("p"), F.col("q"))).alias("value"))
+    p, q, r = F.col("p"), F.col("q"), F.col("r")
+    early = line(q, r) if fill == "extrapolate" else q["value"] if fill == "last" else F.lit(float(fill))
+    return got.select(*series, "t", F.when(p.isNull(), early).when(p["t"] == F.col("t"), p["value"]).otherwise(line(p, q)).alias("value"))
 
 
 def regular_grid(df: DataFrame, rate: float) -> DataFrame:

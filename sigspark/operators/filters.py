@@ -1,8 +1,10 @@
-"""Filters. Short FIR filters are lag expressions; recurrences run as Arrow kernels, one group a series.
+"""Filters over signals of any length.
 
-Channels of a linear filter are independent, so its groups are (key, ch); operators that pool channels group by key.
-A group is one task's work: very long series are cut into keys by the caller (a series' segments), as its rows must
-pass one kernel in order.
+Short FIR filters are lag expressions. Long ones run in blocks of time, each with the samples before it as a halo. Linear
+recurrences run in blocks too: a first pass leaves one summary row for each block of a long series (its end state from
+rest), a small pass carries the states from block to block, and a second pass filters every block from its state. So a
+long series is many tasks' work. Recurrences that are not linear (lattice notch, tracking line canceller) keep one group
+a series, as each sample needs the one before.
 """
 
 from __future__ import annotations
@@ -18,30 +20,24 @@ from ..functions import design, kernels
 
 #: Taps up to which a FIR filter stays an expression.
 LAGS = 64
+#: Samples of a block of time.
+BLOCK = 1 << 17
 
+SIGNAL = "key long, ch int, n long, t double, value double"
+SERIES = ("key", "ch")
 
-def fir(df: DataFrame, taps: Sequence[float], start: str = "settled", by: tuple[str, ...] = ("key", "ch")) -> DataFrame:
-    """start "settled": as if the first sample had stood there for ever; "zeros": from rest."""
-    taps = [float(x) for x in taps]
-    if len(taps) > LAGS:
-        return series(df, lambda x: kernels.convolve(x - x[0], np.array(taps)) + x[0] * sum(taps) if start == "settled" else kernels.convolve(x, np.array(taps)), by)
-    w = Window.partitionBy(*by).orderBy("n")
-    before = F.first("value").over(w.rowsBetween(Window.unboundedPreceding, 0)) if start == "settled" else F.lit(0.0)
-    out = F.lit(0.0)
-    for k, b in enumerate(taps):
-        if b:
-            out = out + F.lit(b) * (F.col("value") if k == 0 else F.coalesce(F.lag("value", k).over(w), before))
-    return df.withColumn("value", out)
 
+def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in names]
 
-def series(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], by: tuple[str, ...] = ("key", "ch"), extra: Sequence[str] = ()) -> DataFrame:
-    """kernel: (time, channel) array to an array of the same channels and at most as many rows, or a tuple of such (value
-    and the columns `extra`). Rows come in any order; a series' samples are (n) by (ch) and complete."""
-    rows = df.select("key", "ch", "n", "t", "value")
-    schema = "key long, ch int, n long, t double, value double" + "".join(f", {c} double" for c in extra)
+
+def series(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], by: tuple[str, ...] = SERIES, extra: Sequence[str] = ()) -> DataFrame:
+    """A whole series in one group. kernel: (time, channel) array to an array of the same channels and at most as many rows,
+    or a tuple of such (value and the columns `extra`). Rows come in any order; a series' samples are (n) by (ch) and complete."""
+    schema = SIGNAL + "".join(f", {c} double" for c in extra)
 
     def run(table: pa.Table) -> pa.Table:
-        key, ch, n, t, v = (table.column(c).to_numpy() for c in ("key", "ch", "n", "t", "value"))
+        key, ch, n, t, v = _columns(table, "key", "ch", "n", "t", "value")
         order = np.lexsort((ch, n))
         m = len(np.unique(ch))
         got = kernel(v[order].reshape(-1, m).astype(float)) if len(v) else v.reshape(0, 1)
@@ -50,19 +46,141 @@ def series(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], by: tuple[
         columns = [pa.array(key[keep]), pa.array(ch[keep].astype(np.int32)), pa.array(n[keep]), pa.array(t[keep]), *(pa.array(np.asarray(x, float).reshape(-1)) for x in got)]
         return pa.table(columns, names=["key", "ch", "n", "t", "value", *extra])
 
-    return rows.groupBy(*by).applyInArrow(run, schema)
+    return df.select("key", "ch", "n", "t", "value").groupBy(*by).applyInArrow(run, schema)
+
+
+def blocked(df: DataFrame, halo: int, kernel: Callable[[np.ndarray, bool], np.ndarray], outputs: int = 0, block: int = BLOCK) -> DataFrame:
+    """kernel(x, first): the samples of a block with up to `halo` earlier ones before them, and whether the series starts with
+    them; its last rows are the block's results. With outputs, a result row has that many columns, numbered by `kernel`;
+    complex results leave their imaginary part in `imag`."""
+    rows = df.select("key", "ch", "n", "t", "value").withColumn("__b", F.floor(F.col("n") / block))
+    if halo:
+        spread = F.when(F.col("n") % block >= block - halo, F.array(F.col("__b"), F.col("__b") + 1)).otherwise(F.array("__b"))
+        rows = rows.withColumn("__b", F.explode(spread))
+    schema = SIGNAL + ", imag double" + (", kernel int" if outputs else "")
+    names = ["key", "ch", "n", "t", "value", "imag"] + ["kernel"] * bool(outputs)
+
+    def run(key, table):
+        own_key, ch, b = (k.as_py() for k in key)
+        n, t, v = _columns(table, "n", "t", "value")
+        order = np.argsort(n, kind="stable")
+        n, t, x = n[order], t[order], v[order].astype(float)
+        mine = n >= b * block
+        m = int(mine.sum())  # 0: only samples that a next block would need
+        got = np.asarray(kernel(x, bool(n[0] == 0))) if m else np.empty((0, max(outputs, 1)))
+        got = got[len(got) - m :].reshape(m, max(outputs, 1))
+        n, t = np.repeat(n[mine], got.shape[1]), np.repeat(t[mine], got.shape[1])
+        columns = [np.full(len(n), own_key), np.full(len(n), ch, np.int32), n, t, got.real.ravel().astype(float), got.imag.ravel().astype(float)]
+        if outputs:
+            columns.append(np.tile(np.arange(outputs, dtype=np.int32), m))
+        return pa.table([pa.array(c) for c in columns], names=names)
+
+    return rows.groupBy("key", "ch", "__b").applyInArrow(run, schema)
+
+
+def _past(x: np.ndarray, taps: int, first: bool, start: str) -> np.ndarray:
+    """x with what stood before the series' start."""
+    return np.concatenate([np.full(taps - 1, x[0] if start == "settled" else 0.0), x]) if first and len(x) else x
+
+
+def fir(df: DataFrame, taps: Sequence[float], start: str = "settled", by: tuple[str, ...] = SERIES, lags: int = LAGS) -> DataFrame:
+    """start "settled": as if the first sample had stood there for ever; "zeros": from rest. Up to `lags` taps the filter is
+    an expression over lags, beyond it a convolution by blocks; both give the same."""
+    taps = [float(x) for x in taps]
+    if len(taps) > lags:
+        h = np.array(taps)
+        return blocked(df, len(taps) - 1, lambda x, first: kernels.convolve(_past(x, len(h), first, start)[:, None], h)[:, 0]).drop("imag")
+    w = Window.partitionBy(*by).orderBy("n")
+    before = F.first("value").over(w.rowsBetween(Window.unboundedPreceding, 0)) if start == "settled" else F.lit(0.0)
+    return df.withColumn("value", _weighted_lags(taps, w, before))
+
+
+def _weighted_lags(taps: Sequence[float], w, before):
+    out = F.lit(0.0)
+    for k, b in enumerate(taps):
+        if b:
+            out = out + F.lit(float(b)) * (F.col("value") if k == 0 else F.coalesce(F.lag("value", k).over(w), before))
+    return out
+
+
+def _end_state(sections: np.ndarray, x: np.ndarray, states=None) -> np.ndarray:
+    """The cascade's states after x, as one vector; from rest without states."""
+    _, z = kernels.sosfilt(sections, x[:, None], settled=False, states=states)
+    return np.concatenate([s[:, 0] for s in z])
+
+
+def _as_states(vector: np.ndarray, sections: np.ndarray) -> list[np.ndarray]:
+    return [vector[2 * i : 2 * i + 2, None] for i in range(len(sections))]
+
+
+def sos(df: DataFrame, sections, settled: bool = True, block: int = BLOCK) -> DataFrame:
+    """A cascade of second-order sections; settled: it starts as if the first sample had stood there for ever."""
+    if sections is None:
+        return df
+    sections = np.atleast_2d(np.asarray(sections, float))
+    rows = df.select("key", "ch", "n", "t", "value").withColumn("__b", F.floor(F.col("n") / block))
+    # Only series that go on beyond one block have states to carry.
+    long_series = df.where(F.col("n") >= block).select("key", "ch").distinct()
+
+    def summary(key, table):
+        own_key, ch, b = (k.as_py() for k in key)
+        n, v = _columns(table, "n", "value")
+        x = v[np.argsort(n, kind="stable")].astype(float)
+        return pa.table({"key": [own_key], "ch": pa.array([ch], pa.int32()), "block": [b], "first": [x[0]], "state": [_end_state(sections, x).tolist()]})
+
+    ends = rows.join(long_series, list(SERIES), "left_semi").groupBy("key", "ch", "__b").applyInArrow(summary, "key long, ch int, block long, first double, state array<double>")
+
+    def carry(table: pa.Table) -> pa.Table:
+        """The state before each block but the first: the one before it, moved through an empty block, plus the block's own."""
+        order = np.argsort(table.column("block").to_numpy())
+        first, states = table.column("first").to_numpy(), table.column("state").to_pylist()
+        unit = np.eye(2 * len(sections))
+        _, z = kernels.sosfilt(sections, np.zeros((block, len(unit))), settled=False, states=[unit[2 * i : 2 * i + 2] for i in range(len(sections))])
+        step = np.concatenate(z)
+        at = _settled(sections, first[order[0]]) if settled else np.zeros(2 * len(sections))
+        out = []
+        for i in order:
+            at = step @ at + np.array(states[i])
+            out.append(at.tolist())
+        key, ch = table.column("key").to_pylist(), table.column("ch").to_pylist()
+        blocks = [table.column("block")[int(i)].as_py() + 1 for i in order]
+        return pa.table({"key": key, "ch": pa.array(ch, pa.int32()), "block": blocks, "state": out})
+
+    before = ends.groupBy(*SERIES).applyInArrow(carry, "key long, ch int, block long, state array<double>").withColumnRenamed("block", "__b")
+
+    def run(key, table, held):
+        own_key, ch, b = (k.as_py() for k in key)
+        n, t, v = _columns(table, "n", "t", "value")
+        order = np.argsort(n, kind="stable")
+        x = v[order].astype(float)[:, None]
+        if len(x):
+            if b and held.num_rows:
+                y = kernels.sosfilt(sections, x, settled=False, states=_as_states(np.array(held.column("state")[0].as_py()), sections))[0]
+            else:
+                y = kernels.sosfilt(sections, x, settled=settled)[0]
+        else:
+            y = x
+        return pa.table([pa.array(np.full(len(x), own_key)), pa.array(np.full(len(x), ch, np.int32)), pa.array(n[order]), pa.array(t[order]), pa.array(y[:, 0])], names=["key", "ch", "n", "t", "value"])
+
+    return rows.groupBy("key", "ch", "__b").cogroup(before.groupBy("key", "ch", "__b")).applyInArrow(run, SIGNAL)
+
+
+def _settled(sections: np.ndarray, level: float) -> np.ndarray:
+    out = []
+    for row in sections:
+        out.append(kernels.lfilter_zi(row[:3], row[3:]) * level)
+        level *= row[:3].sum() / row[3:].sum()
+    return np.concatenate(out)
 
 
 def ba(df: DataFrame, b, a) -> DataFrame:
-    """Given coefficients, from the settled state."""
+    """Given coefficients, from the settled state; None leaves the signal as it is."""
+    if b is None or a is None:
+        return df
     b, a = np.atleast_1d(b).astype(float), np.atleast_1d(a).astype(float)
     if len(a) == 1 or np.allclose(a[1:], 0):
         return fir(df, b / a[0])
-    return series(df, lambda x: kernels.lfilter(b, a, x, kernels.lfilter_zi(b, a)[:, None] * x[:1])[0])
-
-
-def sos(df: DataFrame, sections) -> DataFrame:
-    return df if sections is None else series(df, lambda x: kernels.sosfilt(sections, x)[0])
+    return sos(df, design.ba_to_sos(b, a))
 
 
 def butter(df: DataFrame, fs: float, order: int = 0, cuton: float | None = None, cutoff: float | None = None) -> DataFrame:
@@ -85,40 +203,100 @@ def decimate(df: DataFrame, fs: float, target_rate: float) -> DataFrame:
     return downsample(filtered, factor=max(1, q))
 
 
-def zero_phase(df: DataFrame, fs: float, order: int, cuton: float | None = None, cutoff: float | None = None) -> DataFrame:
+def zero_phase_pad(sections, fs: float, order: int, settle_cutoff: float = 0.01, max_pad_duration: float | None = None, coef_type: str = "sos") -> int:
+    """Samples after which the impulse response stays under a share of its peak, within the customary least and a given most."""
+    least = 3 * (order + 1) if coef_type == "ba" else 6 * ((order + 1) // 2)
+    most = None if max_pad_duration is None else int(max_pad_duration * fs)
+    length = max(10 * least, 10_000)
+    pad = kernels.settle_length(sections, settle_cutoff, length if most is None else min(length, most + 1))
+    pad = max(pad, least)
+    return pad if most is None else min(pad, most)
+
+
+def zero_phase(df: DataFrame, fs: float, order: int, cuton: float | None = None, cutoff: float | None = None, settle_cutoff: float = 0.01, max_pad_duration: float | None = None, coef_type: str = "sos") -> DataFrame:
+    """Forward, then backward over the whole series; the last samples, which later ones would still change, are left out."""
+    if not order:
+        return df
     sections = design.butter(order, fs, cuton, cutoff)
-    return series(df, lambda x: kernels.zero_phase(sections, x))
+    pad = zero_phase_pad(sections, fs, order, settle_cutoff, max_pad_duration, coef_type)
+    forward = sos(df, sections)
+    ends = df.groupBy(*SERIES).agg(F.max("n").alias("__end"))
+    turned = forward.join(ends, list(SERIES)).withColumn("n", F.col("__end") - F.col("n"))
+    back = sos(turned, sections).join(ends, list(SERIES)).where(F.col("n") >= pad)
+    return back.withColumn("n", F.col("__end") - F.col("n")).drop("__end").select("key", "ch", "n", "t", "value")
 
 
 def gaussian(df: DataFrame, fs: float, sigma: float = 0.01, width: float = 4, kernel_size: int | None = None) -> DataFrame:
-    return fir(df, design.gaussian(sigma, width, fs, kernel_size))
+    """Settings without a kernel (a spread, width or size that is not positive) leave the signal as it is."""
+    taps = design.gaussian_or_none(sigma, width, fs, kernel_size)
+    return df if taps is None else fir(df, taps)
 
 
-def hilbert_envelope(df: DataFrame, fs: float, order: int = 170, f_lo: float = 1.0, f_hi: float | None = None) -> DataFrame:
-    taps = design.fir_hilbert(order, fs, f_lo, f_hi)
+def hilbert_envelope(df: DataFrame, fs: float, order: int = 170, f_lo: float = 1.0, f_hi: float | None = None, **settings) -> DataFrame:
+    """Magnitude of the delayed signal and its transform, both from rest."""
+    taps = design.fir_hilbert(order, fs, f_lo, f_hi, **settings)
     delay = (len(taps) - 1) // 2
 
-    def kernel(x: np.ndarray) -> np.ndarray:
-        late = np.concatenate([np.zeros((delay, x.shape[1])), x])[: len(x)]
-        return np.hypot(late, kernels.convolve(x, taps))
+    def kernel(x: np.ndarray, first: bool) -> np.ndarray:
+        x = _past(x, len(taps), first, "zeros")
+        late = np.concatenate([np.zeros(delay), x])[: len(x)]
+        return np.hypot(late, kernels.convolve(x[:, None], taps)[:, 0])
+
+    return blocked(df, len(taps) - 1, kernel).drop("imag")
+
+
+def _phased(bank: Sequence, min_phase: str | bool | None) -> list[np.ndarray]:
+    bank = [np.asarray(h) for h in bank]
+    if not min_phase or min_phase == "none":
+        return bank
+    if any(np.iscomplexobj(h) for h in bank):
+        raise ValueError("complex kernels have no minimum-phase form here")
+    return [design.minimum_phase(h, "homomorphic" if min_phase is True else min_phase) for h in bank]
+
+
+def filterbank(df: DataFrame, bank: Sequence[Sequence[float]], min_phase: str | bool | None = None, mode: str = "conv", lags: int = LAGS) -> DataFrame:
+    """One output for each kernel, from rest; adds `kernel` (and `imag` for complex kernels). The signal is read once:
+    short banks are expressions over one window, longer ones convolutions by blocks. mode "fft" gives whole windows only, as
+    an overlap-add filter of the best transform size would; "auto" takes it for long banks."""
+    bank = _phased(bank, min_phase)
+    longest, is_complex = max(map(len, bank)), any(np.iscomplexobj(h) for h in bank)
+    if mode == "auto":
+        mode = "fft" if sum(map(len, bank)) > 1500 else "conv"
+    if mode == "fft" and longest > 1:
+        whole = design.overlap_add_window(longest - 1)
+        ends = df.groupBy(*SERIES).agg((F.floor((F.max("n") + 1) / whole) * whole).alias("__end"))
+        out = filterbank(df, bank, None, "conv", lags)
+        return out.join(ends, list(SERIES)).where(F.col("n") < F.col("__end")).drop("__end")
+    rows = df.select("key", "ch", "n", "t", "value")
+    if longest <= lags and not is_complex:
+        w = Window.partitionBy(*SERIES).orderBy("n")
+        sums = F.array(*[_weighted_lags(h, w, F.lit(0.0)) for h in bank])
+        return rows.select("key", "ch", "n", "t", sums.alias("__y")).select("key", "ch", "n", "t", F.posexplode("__y").alias("kernel", "value"))
 
-    return series(df, kernel)
+    def kernel(x: np.ndarray, first: bool) -> np.ndarray:
+        x = _past(x, longest, first, "zeros")[:, None]
+        return np.concatenate([kernels.convolve(x, h) for h in bank], axis=1)
 
+    out = blocked(rows, longest - 1, kernel, len(bank))
+    return out if is_complex else out.drop("imag")
 
-def filterbank(df: DataFrame, bank: Sequence[Sequence[float]], min_phase: bool = False) -> DataFrame:
-    """One output for each kernel, from rest; adds `kernel`. Short banks are lag expressions over one window."""
-    bank = [design.minimum_phase(np.asarray(h, float)) if min_phase else np.asarray(h, float) for h in bank]
-    out = None
-    for k, h in enumerate(bank):
-        own = fir(df.select("key", "ch", "n", "t", "value"), h, "zeros").withColumn("kernel", F.lit(k))
-        out = own if out is None else out.unionByName(own)
-    return out
+
+def filterbank_design(df: DataFrame, fs: float, filters: Sequence[dict], min_phase: str | None = None, mode: str = "conv") -> DataFrame:
+    """A bank of Kaiser filters, each given by the settings of design.kaiser_or_one."""
+    return filterbank(df, [design.kaiser_or_one(fs=fs, **f) for f in filters], min_phase, mode)
 
 
-def lattice_notch(df: DataFrame, fs: float, **settings) -> DataFrame:
-    return series(df, lambda x: kernels.lattice_notch(x, fs, **settings), extra=["freq"])
+def lattice_notch(df: DataFrame, fs: float, chunk: int | None = None, **settings) -> DataFrame:
+    """Adds `freq`. With a chunk length the coefficient moves once a chunk, from its last samples."""
+    return series(df, lambda x: kernels.lattice_notch(x, fs, chunk=chunk, **settings), extra=["freq"])
 
 
 def line_canceller(df: DataFrame, fs: float, **settings) -> DataFrame:
-    """All channels of a key together: the frequency loop pools them."""
+    """All channels of a key together: the frequency loop and the common line pool them. Method "passthrough" changes
+    nothing; a notch that does not track is a fixed cascade, so its channels are series of their own."""
+    if settings.get("method") == "passthrough":
+        return df
+    if settings.get("method", "notch") == "notch" and not settings.get("track", 0.5):
+        mu = 2 / (settings.get("adapt", 0.1) * fs)
+        return sos(df, design.lnc_sos(2 * np.pi * settings.get("line", 60.0) / fs, mu, settings.get("harmonics", 1)), settled=False)
     return series(df, lambda x: kernels.line_canceller(x, fs, **settings), by=("key",))

@@ -6,22 +6,22 @@ import re
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def parse_slice(text: str | None, size: int, labels: Sequence[str] | None = None, allow_empty: bool = True) -> list[int]:
-    """Positions that a selection names: all, a:b:c, an integer, a label, a pattern over whole labels, or a comma list.
-    A label that equals the text comes before an integer, which comes before a pattern."""
+    """Positions that a selection names: all, a:b:c, an integer, a label, a pattern over whole labels, or a comma list. A
+    colon always makes a slice; else a label that equals the text comes before an integer, which comes before a pattern."""
     text = (text or "").strip()
     if text.lower() in ("", ":", "none"):
         return list(range(size))
     if "," in text:
         return [i for part in text.split(",") for i in parse_slice(part, size, labels, allow_empty)]
-    if labels is not None and text in labels:
-        return [i for i, x in enumerate(labels) if x == text]
     if ":" in text:
         return list(range(size))[slice(*(int(x) if x.strip() else None for x in text.split(":")))]
+    if labels is not None and text in labels:
+        return [i for i, x in enumerate(labels) if x == text]
     if re.fullmatch(r"[+-]?\d+", text):
         at = int(text)
         if not -size <= at < size:
@@ -52,9 +52,14 @@ def slicer(df: DataFrame, selection: str, size: int, labels: Sequence[str] | Non
 
 
 def slice_field(df: DataFrame, axis: DataFrame, field: str, value: str, dim: str = "ch") -> DataFrame:
-    """Channels whose axis record has the value (exactly, or as a pattern) in a field."""
-    hit = axis.where((F.col(field).cast("string") == value) | F.col(field).cast("string").rlike(f"^(?:{value})$")).select(dim)
-    return df.join(hit, dim, "left_semi")
+    """Channels whose axis record has the value in a field, numbered anew; only where no record has it, those whose field
+    matches it as a pattern over the whole text. The axis table has one row a channel, so its window is as small."""
+    own = F.col(field).cast("string")
+    marked = axis.select(dim, (own == value).alias("exact"), own.rlike(f"^(?:{value})$").alias("like"))
+    every = Window.orderBy(dim).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    hit = marked.withColumn("hit", F.coalesce(F.when(F.bool_or("exact").over(every), F.col("exact")).otherwise(F.col("like")), F.lit(False))).where("hit")
+    numbered = hit.select(dim, (F.row_number().over(Window.orderBy(dim)) - 1).alias("__new"))
+    return df.join(numbered, dim).withColumn(dim, F.col("__new").cast("int")).drop("__new").select(*df.columns)
 
 
 def downsample_factor(gain: float, target_rate: float | None = None, factor: int | None = None) -> int:

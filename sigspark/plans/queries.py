@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import design, scalar
 from ..functions import semantics as S
+from ..functions.kernels import lfilter_zi
 from ..operators import aggregate as A
 from ..operators import combine as C
 from ..operators import filters as L
@@ -89,7 +90,7 @@ def _bank(d: DataFrame) -> DataFrame:
     return d.sparkSession.range(64).select(F.col("id").cast("int").alias("ch"), F.concat(F.lit("b"), F.col("id") % 4).alias("bank"))
 
 
-query("slice_field", "M", "n ch value", lambda d: P.slice_field(d, _bank(d), "bank", "b2"), "SELECT n, ch, value FROM m WHERE ch % 4 = 2")
+query("slice_field", "M", "n ch value", lambda d: P.slice_field(d, _bank(d), "bank", "b2"), "SELECT n, ch // 4 AS ch, value FROM m WHERE ch % 4 = 2")
 query("channel_clusters", "M", "cluster channels_n", lambda d: H.channel_clusters(_bank(d), "bank").withColumn("channels_n", F.size("channels")), "SELECT ch % 4 AS cluster, count(DISTINCT ch) AS channels_n FROM m GROUP BY 1")
 query("downsample_factor", "E", "key n value", lambda d: P.downsample(d, factor=3), "SELECT key, n // 3 AS n, value FROM e WHERE n % 3 = 0")
 query("downsample_rate", "M", "n ch value", lambda d: P.downsample(d, 0.01, 20), "SELECT n // 5 AS n, ch, value FROM m WHERE n % 5 = 0")
@@ -145,15 +146,17 @@ query("concat_new_axis", "M", "n feature ch value", lambda d: C.concat_new_axis(
 
 
 def _staggered(d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The first stream starts late; the second one's clock is 3.2 samples ahead."""
     a, b = _halves(d)
-    return a.where("n >= 7"), b.where("n < 400").withColumn("t", F.col("t") + 0.2)
+    return a.where("n >= 7"), b.withColumn("t", F.col("t") + 3.2)
 
 
-_S = "a AS (SELECT n, ch, value FROM m WHERE ch < 32 AND n >= 7), b AS (SELECT n, ch - 32 AS ch, value FROM m WHERE ch >= 32 AND n < 400)"
-query("align", "M", "n ch value", lambda d: C.align(*_staggered(d), 1.0, 1.0)[0], "SELECT n, ch, value FROM a WHERE n < 400", _S)
-query("merge", "M", "n ch value", lambda d: C.merge(*_staggered(d), 1.0, 32), "SELECT n, ch, value FROM a WHERE n < 400 UNION ALL SELECT n, ch + 32, value FROM b WHERE n >= 7", _S)
-_ASOF = """SELECT g.key, g.k, CASE WHEN p.t = g.t THEN p.value ELSE p.value + (q.value - p.value) * ((g.t - p.t) / (q.t - p.t)) END AS value
-    FROM g ASOF JOIN e AS p ON g.key = p.key AND g.t >= p.t ASOF JOIN e AS q ON g.key = q.key AND g.t <= q.t"""
+_S = "a AS (SELECT n, ch, value FROM m WHERE ch < 32 AND n >= 7), b AS (SELECT n, ch - 32 AS ch, value FROM m WHERE ch >= 32 AND n >= 4 AND n + 3 <= (SELECT max(n) FROM m))"
+query("align", "M", "n ch value", lambda d: C.align(*_staggered(d), 1.0, 1.0)[0], "SELECT n, ch, value FROM a", _S)
+query("merge", "M", "n ch value", lambda d: C.merge(*_staggered(d), 1.0, 32), "SELECT n, ch, value FROM a UNION ALL SELECT n, ch + 32, value FROM b", _S)
+_ASOF = """SELECT g.key, g.k, CASE WHEN p.t IS NULL THEN a.value + (b.value - a.value) * ((g.t - a.t) / (b.t - a.t)) WHEN p.t = g.t THEN p.value ELSE p.value + (q.value - p.value) * ((g.t - p.t) / (q.t - p.t)) END AS value
+    FROM g ASOF LEFT JOIN e AS p ON g.key = p.key AND g.t >= p.t ASOF JOIN e AS q ON g.key = q.key AND g.t <= q.t
+    JOIN e AS a ON a.key = g.key AND a.n = 0 JOIN e AS b ON b.key = g.key AND b.n = 1 JOIN e AS c ON c.key = g.key AND c.n = 2"""
 _STEP = 6 * 3600
 
 
@@ -164,7 +167,7 @@ def _grid(d: DataFrame) -> DataFrame:
 
 _numbered = lambda d: d.withColumn("k", F.round(F.col("t") / _STEP).cast("long"))
 _G = f"g AS (SELECT key, k, (k * {_STEP})::DOUBLE AS t FROM (SELECT key, unnest(generate_series(floor(min(t) / {_STEP})::BIGINT, floor(max(t) / {_STEP})::BIGINT)) AS k FROM e GROUP BY key))"
-query("resample_reference", "E", "key k value", lambda d: _numbered(C.resample(d, _grid(d)).join(d.groupBy("key").agg(F.min("t").alias("t0")), "key").where("t >= t0")), _ASOF, _G)
+query("resample_reference", "E", "key k value", lambda d: _numbered(C.resample(d, _grid(d))), _ASOF, _G)
 query("resample_rate", "E", "key k value", lambda d: C.resample(d, C.regular_grid(d, 1 / _STEP)).join(d.groupBy("key").agg(F.min("t").alias("t0")), "key").withColumn("k", F.round((F.col("t") - F.col("t0")) / _STEP).cast("long")),
       _ASOF, f"r AS (SELECT key, min(t) AS t0, max(t) AS t1 FROM e GROUP BY key), g AS (SELECT key, k, t0 + k / (1 / {_STEP}::DOUBLE) AS t FROM (SELECT key, t0, unnest(generate_series(0, floor((t1 - t0) * (1 / {_STEP}::DOUBLE))::BIGINT)) AS k FROM r))")
 
@@ -173,7 +176,7 @@ def _reference(d: DataFrame) -> DataFrame:
     return _grid(d).withColumn("ch", F.lit(0)).withColumn("value", F.col("t") / _STEP)
 
 
-query("resample_concat", "E", "key k ch value", lambda d: _numbered(C.resample_concat(d, _reference(d), 1).join(d.groupBy("key").agg(F.min("t").alias("t0")), "key").where("t >= t0")),
+query("resample_concat", "E", "key k ch value", lambda d: _numbered(C.resample_concat(d, _reference(d), 1)),
       f"SELECT key, k, 1 AS ch, value FROM ({_ASOF}) AS z UNION ALL SELECT key, k, 0, k::DOUBLE FROM ({_ASOF}) AS y", _G)
 query("sampler_epochs", "E", "key trigger_id n value", lambda d: C.epochs(d, d.where("event_type = 'purchase'").select("key", F.col("event_id").alias("trigger_id"), F.col("t").alias("ts"), F.lit(-86400.0).alias("p0"), F.lit(172800.0).alias("p1")), 259200.0),
       """SELECT e.key, p.event_id AS trigger_id, e.n, e.value FROM e JOIN e AS p ON e.key = p.key AND p.event_type = 'purchase' AND e.t > p.t - 86400 AND e.t <= p.t + 172800
@@ -192,12 +195,16 @@ _EW = "sum({0} * power(0.8::DOUBLE, -n)) OVER w / sum(power(0.8::DOUBLE, -n)) OV
 _OVER = "WINDOW w AS (PARTITION BY key ORDER BY n)"
 query("ewma", "E", "key n value", lambda d: N.ewma(d, 0.2), f"SELECT key, n, {_EW.format('value')} AS value FROM e {_OVER}")
 query("detrend", "E", "key n value", lambda d: N.detrend(d, 0.2), f"SELECT key, n, value - {_EW.format('value')} AS value FROM e {_OVER}")
-query("adaptive_scaler", "E", "key n value", lambda d: N.adaptive_scaler(d, 0.2).where("n >= 3"), f"SELECT key, n, CASE WHEN s > a * a THEN (value - a) / sqrt(s - a * a) ELSE 0 END AS value FROM (SELECT key, n, value, {_EW.format('value')} AS a, {_EW.format('value * value')} AS s FROM e {_OVER}) WHERE n >= 3")
+query("adaptive_scaler", "E", "key n value", lambda d: N.adaptive_scaler(d, 0.2),
+      f"SELECT key, n, CASE WHEN s - a * a > 1e-12 * s THEN (value - a) / sqrt(s - a * a) ELSE 0 END AS value FROM (SELECT key, n, value, {_EW.format('value')} AS a, {_EW.format('value * value')} AS s FROM e {_OVER})")
+_FADED = "(sum(CASE WHEN n = 0 THEN {0} ELSE 0.2::DOUBLE * {0} END * power(0.8::DOUBLE, -n)) OVER w) * power(0.8::DOUBLE, n)"
+query("sample_scaler", "E", "key n value", lambda d: N.sample_scaler(d, 0.2),
+      f"SELECT key, n, CASE WHEN s - a * a > 1e-12 * a * a THEN (value - a) / sqrt(s - a * a) ELSE 0 END AS value FROM (SELECT key, n, value, {_FADED.format('value')} AS a, {_FADED.format('value * value')} AS s FROM e {_OVER})")
 query("rolling_scaler", "E", "key n value", lambda d: N.rolling_scaler(T.chunked(d, 4), 3),
       """SELECT e.key, e.n, CASE WHEN c > 0 THEN greatest(-10::DOUBLE, least(10::DOUBLE, (value - s / c) / greatest(sqrt(greatest(q / c - (s / c) * (s / c), 0)), 1e-8))) ELSE value END AS value FROM e JOIN
          (SELECT key, k, coalesce(sum(c) OVER w, 0) AS c, sum(s) OVER w AS s, sum(q) OVER w AS q FROM (SELECT key, n // 4 AS k, count(*) AS c, sum(value) AS s, sum(value * value) AS q FROM e GROUP BY 1, 2)
           WINDOW w AS (PARTITION BY key ORDER BY k ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)) AS p ON p.key = e.key AND p.k = e.n // 4""")
-query("windowed_standardise", "E", "key n value", lambda d: N.windowed_standardise(d, 9).where("n >= 3"), f"SELECT key, n, (value - a) / greatest(sqrt(greatest(s - a * a, 0)), 1e-4) AS value FROM (SELECT key, n, value, {_EW.format('value')} AS a, {_EW.format('value * value')} AS s FROM e {_OVER}) WHERE n >= 3")
+query("windowed_standardise", "E", "key n value", lambda d: N.windowed_standardise(d, 9), f"SELECT key, n, (value - a) / greatest(sqrt(greatest(s - a * a, 0)), 1e-4) AS value FROM (SELECT key, n, value, {_EW.format('value')} AS a, {_EW.format('value * value')} AS s FROM e {_OVER})")
 
 FS = 100.0
 
@@ -216,28 +223,27 @@ _fir("fir_gaussian", design.gaussian(0.02, 4, FS))
 _fir("fir_hamming", design.firwin(21, 10, FS))
 _fir("fir_kaiser", design.kaiser(15, 40, 12, FS))
 _fir("fir_parks_mcclellan", design.parks_mcclellan(30, FS, 10, 30, 8))
-_fir("fir_hilbert", design.fir_hilbert(30, FS, 4))
+_fir("fir_hilbert", design.fir_hilbert(30, FS, 4, trans_lo=4, trans_hi=4))
 _BANK = [design.firwin(9, [a, b], FS, pass_zero=False) for a, b in ((5, 15), (15, 30), (30, 45))]
 query("filterbank", "E", "key kernel n value", lambda d: L.filterbank(d, _BANK), " UNION ALL ".join(f"SELECT key, {k} AS kernel, n, value FROM ({_fir_sql(h, 'zeros')}) AS z{k}" for k, h in enumerate(_BANK)))
 
 
-def _sos(name: str, sections, run=None) -> None:
-    """SQL: the cascade as one recursion over n, all sections' states carried along, from the settled state."""
-    run = run or (lambda d: L.sos(d, sections))
-    sections = np.atleast_2d(sections)
-    from ..functions.kernels import lfilter_zi
+def _number(x) -> str:
+    return f"{float(x)!r}::DOUBLE"
 
-    f = lambda x: f"{float(x)!r}::DOUBLE"
-    seed, states, level = [], [], 1.0
+
+def _recursion(sections, source: str = "e", name: str = "r", settled: bool = True, by: str = "key") -> str:
+    """A cascade as one recursion over n, all sections' states carried along. settled: from the state of a constant input."""
+    f, sections = _number, np.atleast_2d(sections)
+    seed, level = [], 1.0
     for row in sections:
-        z = lfilter_zi(row[:3], row[3:]) * level
+        seed.append(lfilter_zi(row[:3], row[3:]) * (level if settled else 0.0))
         level *= row[:3].sum() / row[3:].sum()
-        seed.append(z)
     k = len(sections)
 
-    def step(source: str, zs) -> tuple[str, list[str], str]:
+    def step(src: str, zs) -> tuple[str, list[str], str]:
         """One sample through all sections as nested selects; (from clause, new states, output)."""
-        src, x, out = source, "x", []
+        x, out = "x", []
         for i, row in enumerate(sections):
             src = f"(SELECT *, {f(row[0])} * {x} + {zs(i)[0]} AS y{i} FROM {src})"
             out += [f"{f(row[1])} * {x} - {f(row[4])} * y{i} + {zs(i)[1]}", f"{f(row[2])} * {x} - {f(row[5])} * y{i}"]
@@ -245,11 +251,16 @@ def _sos(name: str, sections, run=None) -> None:
         return src, out, x
 
     names = [f"{a}{i}" for i in range(k) for a in "uw"]
-    src, out, y = step("(SELECT key, n, value AS x FROM e WHERE n = 0)", lambda i: (f"{f(seed[i][0])} * x", f"{f(seed[i][1])} * x"))
-    first = f"SELECT key, n, {y} AS value, {', '.join(f'{o} AS {c}' for o, c in zip(out, names, strict=True))} FROM {src}"
-    src, out, y = step(f"(SELECT e.key, e.n, e.value AS x, {', '.join(names)} FROM r JOIN e ON e.key = r.key AND e.n = r.n + 1)", lambda i: (f"u{i}", f"w{i}"))
-    after = f"SELECT key, n, {y}, {', '.join(out)} FROM {src}"
-    query(name, "E", "key n value", run, "SELECT key, n, value FROM r", f"r AS ({first} UNION ALL {after})")
+    keys = ", ".join(f"s.{c}" for c in by.split(", "))
+    same = " AND ".join(f"s.{c} = {name}.{c}" for c in by.split(", "))
+    src, out, y = step(f"(SELECT {by}, n, value AS x FROM {source} WHERE n = 0)", lambda i: (f"{f(seed[i][0])} * x", f"{f(seed[i][1])} * x"))
+    first = f"SELECT {by}, n, {y} AS value, {', '.join(f'{o} AS {c}' for o, c in zip(out, names, strict=True))} FROM {src}"
+    src, out, y = step(f"(SELECT {keys}, s.n, s.value AS x, {', '.join(names)} FROM {name} JOIN {source} AS s ON {same} AND s.n = {name}.n + 1)", lambda i: (f"u{i}", f"w{i}"))
+    return f"{name} AS ({first} UNION ALL SELECT {by}, n, {y}, {', '.join(out)} FROM {src})"
+
+
+def _sos(name: str, sections, run=None, settled: bool = True) -> None:
+    query(name, "E", "key n value", run or (lambda d: L.sos(d, sections, settled)), "SELECT key, n, value FROM r", _recursion(sections, settled=settled))
 
 
 _sos("butter_lowpass", design.butter(4, FS, None, 12))
@@ -260,12 +271,22 @@ _sos("cheby1", design.cheby(4, 1.0, 12, FS))
 _sos("cheby2", design.cheby(4, 40.0, 12, FS, cheby_type="cheby2"))
 _sos("comb_notch", design.comb(FS, 12, 3))
 _sos("comb_peak", design.comb(FS, 12, 2, filter_type="peak"))
-_sos("lnc_fixed", design.lnc_sos(2 * np.pi * 12 / FS, 0.1, 2))
-query("decimate", "E", "key n value", lambda d: L.decimate(d, FS, 25))
-query("zero_phase", "M", "n ch value", lambda d: L.zero_phase(d, FS, 3, None, 20))
-query("hilbert_envelope", "E", "key n value", lambda d: L.hilbert_envelope(d, FS, 30, 4))
-query("lattice_notch", "M", "n ch value freq", lambda d: L.lattice_notch(d, FS))
+_sos("lnc_fixed", design.lnc_sos(2 * np.pi * 12 / FS, 2 / (0.1 * FS), 2), lambda d: L.line_canceller(d, FS, line=12, harmonics=2, track=None), settled=False)
+query("decimate", "E", "key n value", lambda d: L.decimate(d, FS, 25), "SELECT key, n // 4 AS n, value FROM r WHERE n % 4 = 0", _recursion(design.cheby(8, 0.05, 10, FS)))
+_low20 = design.butter(3, FS, None, 20)
+query("zero_phase", "M", "n ch value", lambda d: L.zero_phase(d, FS, 3, None, 20), f"SELECT last - n AS n, ch, value FROM z, (SELECT max(n) AS last FROM m) AS l WHERE n >= {L.zero_phase_pad(_low20, FS, 3)}",
+      f"{_recursion(_low20, 'm', by='ch')}, b AS (SELECT ch, (SELECT max(n) FROM m) - n AS n, value FROM r), {_recursion(_low20, 'b', 'z', by='ch')}")
+_HILBERT = design.fir_hilbert(30, FS, 4, trans_lo=4, trans_hi=4)
+query("hilbert_envelope", "E", "key n value", lambda d: L.hilbert_envelope(d, FS, 30, 4, trans_lo=4, trans_hi=4),
+      f"SELECT h.key, h.n, sqrt(power(coalesce(e.value, 0), 2) + power(h.value, 2)) AS value FROM ({_fir_sql(_HILBERT, 'zeros')}) AS h LEFT JOIN e ON e.key = h.key AND e.n = h.n - 15")
+query("lattice_notch", "M", "n ch value freq", lambda d: L.lattice_notch(d, FS), "SELECT n, ch, y AS value, acos(-k) * 100 / (2 * pi()) AS freq FROM r",
+      """r AS (SELECT -1::BIGINT AS n, ch, 0::DOUBLE AS y, -cos(2 * pi() * 0.0718::DOUBLE) AS k, 0::DOUBLE AS s1, 0::DOUBLE AS s2, 0::DOUBLE AS p, 0::DOUBLE AS q FROM m WHERE n = 0 UNION ALL
+         SELECT n, ch, s + 2 * k * s1 + s2, 0.99::DOUBLE * k + (1 - 0.99::DOUBLE) * greatest(-1, least(1, -p1 / (q1 + 1e-8::DOUBLE))), s, s1, p1, q1 FROM
+         (SELECT *, 0.99::DOUBLE * p + (1 - 0.99::DOUBLE) * s1 * (s + s2) AS p1, 0.99::DOUBLE * q + (1 - 0.99::DOUBLE) * 2 * s1 * s1 AS q1 FROM
+          (SELECT m.n, r.ch, r.k, r.s1, r.s2, r.p, r.q, m.value - r.k * (1 + 0.995::DOUBLE) * r.s1 - 0.995::DOUBLE * r.s2 AS s FROM r JOIN m ON m.ch = r.ch AND m.n = r.n + 1)))""")
+ORACLE["lattice_notch"] = ORACLE["lattice_notch"].replace("FROM r) AS q", "FROM r WHERE n >= 0) AS q")
 query("lnc_tracking", "M", "n ch value", lambda d: L.line_canceller(d, FS, line=12))
+query("lnc_subtract", "M", "n ch value", lambda d: L.line_canceller(d, FS, line=12, harmonics=2, method="subtract"))
 
 _DFT = """SELECT n, k, sum(value * cos(2 * pi() * k * ch / 64)) AS re, -sum(value * sin(2 * pi() * k * ch / 64)) AS im FROM m, generate_series(0, 32) AS g(k) GROUP BY n, k"""
 query("spectrum_power", "M", "n k power", lambda d: X.spectrum_power_sql(d, 64, ["n"]), f"SELECT n, k, re * re + im * im AS power FROM ({_DFT}) AS z")
@@ -285,10 +306,26 @@ _spectrum("spectrum_real", "real", f"SELECT n, k, re AS value FROM ({_TDFT}) AS
 _spectrum("spectrum_imag", "imag", f"SELECT n, k, im AS value FROM ({_TDFT}) AS z")
 _spectrum("spectrum_rel_power", "rel_power", f"SELECT n, k, (re * re + im * im) / s AS value FROM ({_TDFT}) AS z")
 _spectrum("spectrum_db", "rel_db", f"SELECT n, k, 10 * log10((re * re + im * im) / s) AS value FROM ({_TDFT}) AS z")
-query("spectrogram", "E", "key win freq value", lambda d: X.spectrogram(d.select("key", "ch", "n", "t", "value"), FS, 0.16, 0.08, transform="rel_power"))
-query("bandpower", "E", "key win band value", lambda d: X.bandpower(d.select("key", "ch", "n", "t", "value"), FS, 0.16, 0.08, ((5, 20), (15, 40)), transform="rel_power"))
-query("rms_bandpower", "E", "key win value", lambda d: X.rms_bandpower(d, FS, 8, 20))
-query("square_law", "E", "key n value", lambda d: X.square_law(d, FS, (8, 20), 5, 4))
-query("cwt", "M", "n ch freq value", lambda d: X.cwt(d, FS, [8, 16, 32]))
-query("fbcca", "M", "win freq value", lambda d: X.fbcca(W.windowing(d.where("ch < 8").drop("label"), 100, 50), FS, [8, 10, 12, 15]))
-query("streaming_fbcca", "M", "win freq value", lambda d: X.streaming_fbcca(d.where("ch < 4").drop("label"), FS, [8, 10, 12, 15], 1.0, 0.5, transition=4.0))
+_SPECTROGRAM = """SELECT key, win, k, (power(sum(value * h * cos(2 * pi() * k * pos / 16)), 2) + power(sum(value * h * sin(2 * pi() * k * pos / 16)), 2)) / 256 / (sum(h * h) * 0.01::DOUBLE) AS value
+    FROM (SELECT *, 0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * pos / 15) AS h FROM
+          (SELECT key, win, n + 8 - win * 8 AS pos, value FROM
+           (SELECT key, n, value, unnest(generate_series(greatest(0, ceil((n - 7) / 8.0)::BIGINT), floor((n + 8) / 8.0)::BIGINT)) AS win FROM
+            (SELECT key, n, value FROM e UNION ALL SELECT key, -z AS n, 0::DOUBLE FROM (SELECT DISTINCT key FROM e), generate_series(1, 8) AS g(z)))
+           JOIN (SELECT key, count(*) + 8 AS c FROM e GROUP BY key) USING (key) WHERE win * 8 + 16 <= c)), generate_series(0, 8) AS f(k) GROUP BY key, win, k"""
+_plain = lambda d: d.select("key", "ch", "n", "t", "value")
+query("spectrogram", "E", "key win freq value", lambda d: X.spectrogram(_plain(d), FS, 0.16, 0.08, transform="rel_power"), f"SELECT key, win, k / 0.16::DOUBLE AS freq, value FROM ({_SPECTROGRAM}) AS s")
+query("bandpower", "E", "key win band value", lambda d: X.bandpower(_plain(d), FS, 0.16, 0.08, ((5, 20), (15, 40)), transform="rel_power"),
+      f"SELECT key, win, band, avg(value) AS value FROM ({_SPECTROGRAM}) AS s JOIN (VALUES (0, 5, 20), (1, 15, 40)) AS b(band, lo, hi) ON k / 0.16::DOUBLE BETWEEN lo AND hi GROUP BY key, win, band")
+_band = design.butter(4, FS, 8, 20)
+query("rms_bandpower", "E", "key win value", lambda d: X.rms_bandpower(d, FS, 8, 20), "SELECT key, n // 5 AS win, sqrt(avg(value * value)) AS value FROM r GROUP BY 1, 2 HAVING count(*) = 5", _recursion(_band))
+query("square_law", "E", "key n value", lambda d: X.square_law(d, FS, (8, 20), 5, 4), "SELECT key, n // 4 AS n, value FROM z WHERE n % 4 = 0",
+      f"{_recursion(_band)}, b AS (SELECT key, n, value * value AS value FROM r), {_recursion(design.butter(4, FS, None, 5), 'b', 'z')}")
+#: The running integral of the wavelet on its grid, then its samples at distance 1 / scale, from the definition.
+_WAVE = """grid AS (SELECT i, sum(exp(-x * x / 2) * cos(5 * x)) OVER (ORDER BY i) * (16 / 1023::DOUBLE) AS v FROM (SELECT i, -8 + 16 * i / 1023::DOUBLE AS x FROM generate_series(0, 1023) AS g(i))),
+    sc AS (SELECT f::DOUBLE AS freq, 0.8125::DOUBLE * 100 / f AS scale FROM (VALUES (8), (16), (32)) AS q(f)),
+    taps AS (SELECT freq, scale, floor(scale * 16 + 1e-9)::BIGINT - j AS lag, v FROM sc, generate_series(0, 200) AS g(j) JOIN grid ON i = floor(j / scale / (16 / 1023::DOUBLE) + 1e-9)::BIGINT WHERE j <= scale * 16 + 1e-9)"""
+query("cwt", "M", "n ch freq value", lambda d: X.cwt(d, FS, [8, 16, 32]),
+      "SELECT c.n, c.ch, c.freq, -sqrt(c.scale) * (c.y - coalesce(p.y, 0)) AS value FROM conv AS c LEFT JOIN conv AS p ON p.ch = c.ch AND p.freq = c.freq AND p.n = c.n - 1",
+      _WAVE + ", conv AS MATERIALIZED (SELECT m.n + t.lag AS n, m.ch, t.freq, t.scale, sum(m.value * t.v) AS y FROM m, taps AS t WHERE m.n + t.lag <= (SELECT max(n) FROM m) GROUP BY ALL)")
+query("fbcca", "M", "win freq value", lambda d: X.fbcca(W.windowing(d.drop("label"), 100, 50), FS, [8, 10, 12, 15]))
+query("streaming_fbcca", "M", "win freq value", lambda d: X.streaming_fbcca(d.drop("label"), FS, [8, 10, 12, 15], 1.0, 0.5, transition=4.0))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,9 @@ def embeddings_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
 def from_array(spark: SparkSession, data, fs: float, offset: float = 0.0, key: int = 0) -> DataFrame:
     """A (time, channel) array as a signal."""
     data = np.atleast_2d(np.asarray(data, float).T).T
-    rows = [(key, n, offset + n / fs, ch, float(v)) for n, row in enumerate(data) for ch, v in enumerate(row)]
-    return spark.createDataFrame(rows, "key long, n long, t double, ch int, value double")
+    n, ch = np.divmod(np.arange(data.size), max(data.shape[1], 1))
+    columns = {"key": np.full(data.size, key, np.int64), "n": n, "t": offset + n / fs, "ch": ch.astype(np.int32), "value": data.ravel()}
+    return spark.createDataFrame(pa.table(columns), "key long, n long, t double, ch int, value double")
 
 
 def _grid(spark: SparkSession, n: int, channels: int, fs: float) -> DataFrame:
