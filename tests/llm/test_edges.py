@@ -80,6 +80,25 @@ def test_runs_are_compacted_by_level(spark):
     assert {(r["h1"], r["n_docs"], r["top_doc"]) for r in runs.totals().collect()} == {(0, 6, 4), (1, 1, 1), (2, 1, 2), (3, 1, 3), (4, 1, 4)}
 
 
+def test_runs_are_kept_and_opened_for_a_later_batch(spark, tmp_path):
+    """Two batches in two openings of a folder give what one opening gives; batches meet the runs without an exchange."""
+    from sigspark.llm import op1_line_dedup as op
+
+    line = "this line is long enough to be counted as one, and it is a common one"
+    docs = spark.createDataFrame([(d, f"{line}\nand this one is of document {d} alone, whatever else it has") for d in range(1, 13)], "doc_id long, text string")
+    folder = f"file://{tmp_path}/runs"
+    first = op.dedup_lines(docs.where("doc_id <= 6"), batches=1, runs=op.LineRuns(spark, 4, 3, folder)).collect()
+    assert sum(r["n_dropped"] for r in first) == 5
+    again = op.LineRuns(spark, 4, 99, folder)
+    assert (len(again.levels[0]), again.buckets) == (1, 3)
+    second = op.dedup_lines(docs.where("doc_id > 6"), batches=2, runs=again).collect()
+    assert sorted(r["n_dropped"] for r in second) == [0, 1, 1, 1, 1, 1]
+    assert {(r["n_docs"], r["top_doc"]) for r in op.LineRuns(spark, folder=folder).frequent(5).collect()} == {(12, 12)}
+    keys = again.dealt(spark.createDataFrame([(1, 1, 1, 1)], "h1 long, h2 long, n_docs long, top_doc long"))
+    plan = again.unsettled(keys, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange") == 1
+
+
 def test_near_edges(tables):
     got = operators()["op2"](tables["docs"]).collect()
     by = {r["doc_id"]: r for r in got if r["doc_id"]}
