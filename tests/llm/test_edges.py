@@ -298,6 +298,75 @@ def test_pipeline_stages_on_edges(spark, tables, tmp_path):
         assert p.STAGES[-1][1](spark, docs, "").select("doc_id").distinct().count() == len(ids)
 
 
+def test_pipeline_keeps_documents_without_a_doc_id(spark):
+    import corpus_pipeline as p
+
+    prose = lambda k: " ".join(f"{w}{k}" for w in "some words of a story that nobody told before the rain had gone".split())
+    rows = [(None, prose(1), "xx", "a"), (None, prose(1), "xx", "a"), (None, prose(2), "xx", None), (3, prose(3), "xx", "a"), (4, prose(2), "xx", "b"), (None, None, "xx", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "0L AS n_chars")
+    stage = dict(p.STAGES)
+    kept = p.written(stage["quality_rules"](spark, docs, ""), "q")
+    assert kept.count() == 5
+    kept = p.written(stage["exact_dedup"](spark, kept, ""), "e")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == sorted([(0, prose(1)), (0, prose(1)), (3, prose(3)), (4, prose(2))])
+    kept = p.written(stage["near_dedup"](spark, kept, ""), "n")
+    assert kept.count() == 4
+    mixed = p.written(stage["mixing"](spark, kept, ""), "m")
+    assert {r["doc_id"] for r in mixed.collect()} == {None, 3, 4}
+
+
+def test_targets_of_many_sources(spark):
+    """Against the rule carried out source by source."""
+    import random
+
+    from sigspark.llm import op9_mixing as op
+
+    rng = random.Random(4)
+    for n in (1, 2, 7, 60):
+        own = {f"s{rng.random()}": rng.choice([0, 1, 5, 40, 3000]) for _ in range(n)} | {None: 17}
+        order = sorted(own, key=lambda k: (k is None, k or ""))
+        weight = {k: (5, 2, 1)[i % 3] for i, k in enumerate(order)}
+        want, open_, left = dict.fromkeys(own, 0.0), {k for k in own if own[k]}, float(sum(own.values()))
+        while open_:
+            share = {k: left * weight[k] / sum(weight[j] for j in open_) for k in open_}
+            over = {k for k in open_ if share[k] > 3 * own[k]}
+            want |= {k: 3.0 * own[k] for k in over} if over else share
+            left, open_ = left - sum(want[k] for k in over), open_ - over if over else set()
+        histogram = spark.createDataFrame([(k, v, 1) for k, v in own.items()], "source string, size long, n long").repartition(5)
+        ranked = op.ranked_sources(histogram)
+        assert {r["source"]: r["rank"] for r in ranked.collect()} == {k: i for i, k in enumerate(order)}
+        got = {r["source"]: r["target"] for r in op.targeted(ranked, (5, 2, 1), 3).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_mixing_of_rows_that_repeat_a_doc_id(spark):
+    from sigspark.llm import op9_mixing as op
+
+    rows = [(None, "a b c", "x")] * 3000 + [(d, "a b c", "x") for d in range(500)] + [(d, "w " * 40, "y") for d in range(500, 900)]
+    got = op.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1, 3)).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 3000
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+    for own in by.values():
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= max(r["size"] for r in own)
+
+
+def test_knapsack_is_the_best_sum():
+    import itertools
+    import random
+
+    from sigspark.llm.op9_mixing import knapsack
+
+    rng = random.Random(9)
+    for _ in range(200):
+        items = [(rng.randrange(1, 30), rng.randrange(0, 4), i) for i in range(5)]
+        budget = rng.randrange(0, 120)
+        best = max(s for c in itertools.product(*[range(n + 1) for _, n, _ in items]) if (s := sum(k * x[0] for k, x in zip(c, items, strict=True))) <= budget)
+        got = knapsack(items, budget)
+        assert sum(items[i][0] * n for i, n in got.items()) == best and all(n <= items[i][1] for i, n in got.items())
+
+
 def test_pipeline_against_brute_force(spark):
     """Exact and near groups keep one row each, the mix takes what its targets say and every copy is packed."""
     import corpus_pipeline as p
