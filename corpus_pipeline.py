@@ -1,45 +1,66 @@
 """A corpus pipeline of five stages, each over all that its predecessor kept: quality rules, exact dedup, near-dedup,
 mixing and packing.
 
-Defined results: null and empty texts fail the quality rules; a row with a null doc_id has no identity that a verdict could
-name and leaves at the first stage; rows that repeat a doc_id are one document and stay or go together; columns besides
-those of documents are carried along, whatever their names; an empty table gives no rows. All else is as the stages' operators
-say."""
+Defined results of every stage: a document is told by its doc_id; rows that repeat one stay or go together. Rows without a
+doc_id are documents too: those that agree in text, lang and source are one, and where groups keep the largest doc_id they
+come after all others. Columns besides those of documents are carried along, whatever their names; an empty table gives
+no rows. What a stage does with null and empty texts stands at the stage; all else is as its operator says."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.llm import op2_near_dedup, op3_packing, op5_quality, op6_exact_dedup, op9_mixing
 from sigspark.llm.common import read_table, written
 
 
+def _identity() -> Column:
+    """doc_id, or below all doc_ids a hash of what the operators read."""
+    own = F.xxhash64(*[F.col(c).cast("string") for c in ("text", "lang", "source")])
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62)) - own.bitwiseAND((1 << 62) - 1))
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """What the operators need, every row with an identity."""
+    return docs.select(_identity().alias("doc_id"), "text", "lang", "source")
+
+
+def _with_verdict(docs: DataFrame, verdict: DataFrame, how: str) -> DataFrame:
+    """(document, verdict's columns): the documents whole, so that no column's name can clash."""
+    rows = docs.select(_identity().alias("doc_id"), F.struct("*").alias("document"))
+    return rows.join(verdict.hint("merge"), "doc_id", how)
+
+
 def _chosen(docs: DataFrame, verdict: DataFrame) -> DataFrame:
-    """Documents whose doc_id the verdict (doc_id, kept) keeps."""
-    return docs.join(verdict.where("kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").select(*docs.columns)
+    """Documents that the verdict (doc_id, kept) keeps."""
+    return _with_verdict(docs, verdict.where("kept").select("doc_id").distinct(), "left_semi").select("document.*")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _chosen(docs, op5_quality.quality(docs))
+    """Documents that pass the rules. Null and empty texts have no words and go."""
+    return _chosen(docs, op5_quality.quality(_named(docs)))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _chosen(docs, op6_exact_dedup.dedup(docs))
+    """Of equal texts the document with the largest doc_id. Null and empty texts are equal, so one stays."""
+    return _chosen(docs, op6_exact_dedup.dedup(_named(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _chosen(docs, op2_near_dedup.near_classes(docs))
+    """Of each near-duplicate class the document with the largest doc_id. Texts without a word all stay."""
+    return _chosen(docs, op2_near_dedup.near_classes(_named(docs)))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A document that the mix takes n times is in the result n times."""
-    taken = op9_mixing.mix(docs).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
-    rows = docs.select("doc_id", F.struct("*").alias("document")).join(taken.hint("merge"), "doc_id")
-    return rows.select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")
+    """A document that the mix takes n times is in the result n times. Texts without a word have size 0; the mix takes them
+    as often as it passes whole over their source, and the budget that is left takes none of them."""
+    taken = op9_mixing.mix(_named(docs)).where("copies > 0").groupBy("doc_id").agg(F.max("copies").cast("int").alias("copies"))
+    return _with_verdict(docs, taken, "inner").select("document", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("document.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences. A null or empty text is one end token."""
     return op3_packing.pack(docs)
 
 
