@@ -52,7 +52,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Word hashes are kept from text to text; beyond `most` words the store starts anew."""
 
-    def __init__(self, most: int = 1_000_000):
+    def __init__(self, most: int = 200_000):
         self.words: dict[bytes, int] = {}
         self.most = most
 
@@ -99,25 +99,31 @@ def tuple_sizes(n: int, largest: int, least: float) -> range:
     return range(size(int(np.ceil(n * least))), size(int(n / least)) + 1)
 
 
+#: Numbers that a kernel holds at once while it samples a text, whatever the text's length.
+HELD = 1 << 20
+
+
 def sketches(labels: np.ndarray, factors: np.ndarray, largest: int, least: float) -> np.ndarray:
-    """For each factor and tuple size one hash: of the labels of smallest product, in text order."""
-    sizes, out = tuple_sizes(len(labels), largest, least), []
-    h = labels[None, :] * factors[:, None]
-    for size in sizes:
-        if size < len(labels):
-            rows = labels[np.sort(np.argpartition(h, size - 1, axis=1)[:, :size], axis=1)]
-        else:
-            rows = np.broadcast_to(labels, (len(factors), len(labels)))
-        key = factors + np.uint64(size)
-        for j in range(rows.shape[1]):
-            key = _scramble(key + rows[:, j])
-        out.append(key)
-    return np.concatenate(out).view(np.int64)
+    """For each tuple size and factor one hash: of the labels of smallest product, in text order."""
+    sizes = tuple_sizes(len(labels), largest, least)
+    out: list[list[np.ndarray]] = [[] for _ in sizes]
+    for part in np.array_split(factors, min(len(factors), 1 + len(factors) * len(labels) // HELD)):
+        h = labels[None, :] * part[:, None]
+        for own, size in zip(out, sizes, strict=True):
+            if size < len(labels):
+                rows = labels[np.sort(np.argpartition(h, size - 1, axis=1)[:, :size], axis=1)]
+            else:
+                rows = np.broadcast_to(labels, (len(part), len(labels)))
+            key = part + np.uint64(size)
+            for j in range(rows.shape[1]):
+                key = _scramble(key + rows[:, j])
+            own.append(key)
+    return np.concatenate([key for own in out for key in own]).view(np.int64)
 
 
 def one_bit_minima(labels: np.ndarray, factors: np.ndarray) -> np.ndarray:
     """For each factor one bit of the smallest product, packed into longs. Two texts agree in (1 + Jaccard) / 2 of them."""
-    least = [(labels[None, :] * factors[at : at + 32, None]).min(axis=1) for at in range(0, len(factors), 32)]
+    least = [(labels[None, :] * part[:, None]).min(axis=1) for part in np.array_split(factors, min(len(factors), 64 + len(factors) * len(labels) // HELD))]
     return np.packbits((_scramble(np.concatenate(least)) >> np.uint64(63)).astype(np.uint8)).view(np.int64)
 
 
@@ -200,7 +206,7 @@ def _verified(pairs: DataFrame, labels: DataFrame, least: float) -> DataFrame:
     both = pairs.join(labels.select(F.col("id").alias("a"), F.col("labels").alias("la")), "a").join(labels.select(F.col("id").alias("b"), F.col("labels").alias("lb")), "b")
 
     def kernel(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 32):
             good = [aligned(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), least) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
