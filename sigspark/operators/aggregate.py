@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -58,11 +59,48 @@ def bin_of(n, spb: float):
     return (F.ceil((n + 1) / F.lit(float(spb))) - 1).cast("long")
 
 
-def binned_aggregate(df: DataFrame, by: Sequence[str], bin_duration: float, fs: float, operations: Sequence[str] | str = "mean", fractional: bool = True, coordinate: str | None = None) -> DataFrame:
-    """Bins of fixed duration, one column for each operation; the last bin is left out unless it is complete. Two partial aggregates, no window."""
+class BinSchedule:
+    """Bin boundaries of a stream that comes in chunks: bin m spans samples int(m * spb) up to int((m + 1) * spb)."""
+
+    def __init__(self, spb: float):
+        if spb < 1:
+            warnings.warn("bins are shorter than a sample: some hold none", stacklevel=2)
+        self.spb, self.seen, self.done = spb, 0, 0
+
+    def edge(self, m: int) -> int:
+        return int(m * self.spb)
+
+    def advance(self, samples: int) -> range:
+        """The bins that the next chunk completes."""
+        self.seen += samples
+        first = self.done
+        while self.edge(self.done + 1) <= self.seen:
+            self.done += 1
+        return range(first, self.done)
+
+    def offset(self, first_bin: int, chunk_offset: float, chunk_start: int, gain: float, out_gain: float) -> float:
+        """Time of the first bin: the stream's start, as the chunk's own offset and place tell it, plus the bins before."""
+        return chunk_offset - chunk_start * gain + first_bin * out_gain
+
+
+def binned_aggregate(
+    df: DataFrame, by: Sequence[str], bin_duration: float, fs: float, operations: Sequence[str] | str = "mean", fractional: bool = True, coordinate: str | None = None, passthrough: bool = False,
+) -> DataFrame:
+    """Bins of fixed duration, one column for each operation; the last bin is left out unless it is complete. Two partial
+    aggregates, no window. Bins shorter than a sample may hold none: they are rows with the operations' values of nothing
+    (sums 0, others NaN)."""
+    if passthrough:
+        return df
     ops = [operations] if isinstance(operations, str) else list(operations)
     spb = samples_per_bin(bin_duration, fs, fractional)
     at = F.col(coordinate) if coordinate else F.col("n")
-    bins = df.withColumn("bin", bin_of(F.col("n"), spb)).groupBy(*by, "bin").agg(F.max("n").alias("__last"), *[S.aggregate(o, F.col("value"), F.col("n"), at).alias("value" if isinstance(operations, str) else o) for o in ops])
+    names = ["value"] if isinstance(operations, str) else ops
+    bins = df.withColumn("bin", bin_of(F.col("n"), spb)).groupBy(*by, "bin").agg(F.max("n").alias("__last"), *[S.aggregate(o, F.col("value"), F.col("n"), at).alias(c) for o, c in zip(ops, names, strict=True)])
+    if spb < 1:
+        warnings.warn("bins are shorter than a sample: some hold none", stacklevel=2)
+        ends = df.groupBy(*by).agg(F.floor((F.max("n") + 1) / F.lit(float(spb))).cast("long").alias("__n")).where("__n > 0")
+        every = ends.select(*by, F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("bin"))
+        empty = [F.coalesce(F.col(c).cast("double"), F.lit(0.0 if o in ("sum", "nansum") else float("nan"))).alias(c) for o, c in zip(ops, names, strict=True)]
+        return every.join(bins.drop("__last"), [*by, "bin"], "left").select(*by, "bin", *empty)
     # A bin is complete when its last sample is there.
     return bins.where(F.col("__last") + 1 == F.floor((F.col("bin") + 1) * F.lit(float(spb)))).drop("__last")

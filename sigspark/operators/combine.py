@@ -44,17 +44,6 @@ def concat_labels(a: list[str], b: list[str], label_a: str = "_a", label_b: str
     return [x + label_a for x in a] + [x + label_b for x in b]
 
 
-def promote_attributes(a: dict, b: dict) -> tuple[dict, dict[str, tuple]]:
-    """(shared, by stream): equal attributes stay shared; others become a pair with a sentinel where one side lacks it."""
-    for k, v in [*a.items(), *b.items()]:
-        if not isinstance(v, (str, int, float, bool)):
-            raise TypeError(f"attribute {k!r} is no scalar")
-    empty = lambda v: False if isinstance(v, bool) else "" if isinstance(v, str) else 0 if isinstance(v, int) else float("nan")
-    shared = {k: v for k, v in a.items() if k in b and b[k] == v}
-    apart = {k: (a.get(k, empty(b.get(k))), b.get(k, empty(a.get(k)))) for k in {**a, **b} if k not in shared}
-    return shared, apart
-
-
 def merge(a: DataFrame, b: DataFrame, gain: float, channels_a: int) -> DataFrame:
     x, y = align(a, b, gain, gain)
     return concat(x, y, channels_a)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,11 +54,16 @@ def extract_axis(df: DataFrame, gain: float = 1.0, offset: float = 0.0) -> DataF
     return df.select("key", "n").distinct().withColumn("value", offset + gain * F.col("n"))
 
 
-def channel_clusters(axis: DataFrame, field: str) -> DataFrame:
-    """(cluster, channels): channels by a field, in order of first appearance; one row for each value of the field."""
-    g = axis.groupBy(field).agg(F.sort_array(F.collect_set("ch")).alias("channels"))
-    from pyspark.sql import Window
-
+def channel_clusters(axis: DataFrame, field: str, channels: int | None = None) -> DataFrame | None:
+    """(cluster, channels): channels by a field, in order of first appearance; one row for each value of the field. None
+    where the axis has no such field; channels outside 0..channels-1 are an error, raised when the rows are computed."""
+    if field not in axis.columns:
+        return None
+    ch = F.col("ch")
+    if channels is not None:
+        ch = F.when(ch.between(0, channels - 1), ch).otherwise(F.raise_error(F.lit(f"a channel lies outside 0..{channels - 1}")).cast("int"))
+    g = axis.groupBy(field).agg(F.sort_array(F.collect_set(ch)).alias("channels"))
+    # One row a cluster of an axis: as small as the axis.
     return g.withColumn("cluster", F.row_number().over(Window.orderBy(F.col("channels")[0])) - 1)
 
 

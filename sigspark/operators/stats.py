@@ -35,8 +35,8 @@ def _weighted(df: DataFrame, columns: list[str], alpha: float, by: tuple[str, ..
     return rows.drop("__k", "__p", *[f"__t_{c}" for c in columns])
 
 
-def ewma(df: DataFrame, alpha: float, by: tuple[str, ...] = ("key", "ch")) -> DataFrame:
-    return _weighted(df, ["value"], alpha, by).withColumn("value", F.col("ewm_value")).drop("ewm_value")
+def ewma(df: DataFrame, alpha: float, by: tuple[str, ...] = ("key", "ch"), passthrough: bool = False) -> DataFrame:
+    return df if passthrough else _weighted(df, ["value"], alpha, by).withColumn("value", F.col("ewm_value")).drop("ewm_value")
 
 
 def ewma_frozen(df: DataFrame, alpha: float, mean, weight: float) -> DataFrame:
@@ -54,9 +54,11 @@ def detrend(df: DataFrame, alpha: float, by: tuple[str, ...] = ("key", "ch")) ->
     return _weighted(df, ["value"], alpha, by).withColumn("value", F.col("value") - F.col("ewm_value")).drop("ewm_value")
 
 
-def adaptive_scaler(df: DataFrame, alpha: float, by: tuple[str, ...] = ("key", "ch")) -> DataFrame:
+def adaptive_scaler(df: DataFrame, alpha: float, by: tuple[str, ...] = ("key", "ch"), passthrough: bool = False) -> DataFrame:
     """z-scores by exponentially weighted mean and mean square; 0 where the variance is not positive, or under the rounding of
     the squares (as at the first sample, whose variance is 0)."""
+    if passthrough:
+        return df
     rows = _weighted(df.withColumn("square", F.col("value") * F.col("value")), ["value", "square"], alpha, by)
     var = F.col("ewm_square") - F.col("ewm_value") * F.col("ewm_value")
     z = F.when(var > 1e-12 * F.col("ewm_square"), F.try_divide(F.col("value") - F.col("ewm_value"), F.sqrt(F.greatest(var, F.lit(0.0))))).otherwise(F.lit(0.0))

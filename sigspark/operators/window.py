@@ -10,10 +10,12 @@ def window_samples(duration: float, fs: float) -> int:
     return int(duration * fs)
 
 
-def windowing(df: DataFrame, size: int, shift: int, padding: str = "none", first_chunk: int = 0, by: tuple[str, ...] = ("key", "ch")) -> DataFrame:
+def windowing(df: DataFrame, size: int | None, shift: int, padding: str = "none", first_chunk: int = 0, by: tuple[str, ...] = ("key", "ch")) -> DataFrame:
     """Adds `win` and `pos`: window k holds samples k*shift up to k*shift+size; incomplete windows are left out.
     padding "shift": zeros before the start so that the first window ends after `shift` samples; "input" and "full":
-    zeros that complete the first chunk."""
+    zeros that complete the first chunk. Without a size the signal stays as it is."""
+    if size is None:
+        return df
     pad = {"none": 0, "shift": max(0, size - shift), "input": max(0, size - first_chunk), "full": max(0, size - first_chunk)}[padding]
     rows = df
     if pad:
@@ -25,8 +27,9 @@ def windowing(df: DataFrame, size: int, shift: int, padding: str = "none", first
     high = F.floor(F.col("__m") / F.lit(float(shift))).cast("long")
     rows = rows.withColumn("__low", low).withColumn("__high", high).where("__low <= __high")
     rows = rows.withColumn("win", F.explode(F.sequence("__low", "__high"))).withColumn("pos", F.col("__m") - F.col("win") * shift)
-    counts = df.groupBy(*by).agg((F.max("n") + 1 + pad).alias("__total"))
-    return rows.join(counts, list(by)).where(F.col("win") * shift + size <= F.col("__total")).drop("__m", "__low", "__high", "__total")
+    # A window is complete when the series' last sample lies at or behind its end: a maximum over the rows' own partitions.
+    last = F.max("__m").over(Window.partitionBy(*by))
+    return rows.withColumn("__last", last).where(F.col("win") * shift + size <= F.col("__last") + 1).drop("__m", "__low", "__high", "__last")
 
 
 def latest_windows(df: DataFrame, size: int, by: tuple[str, ...] = ("key", "ch")) -> DataFrame:

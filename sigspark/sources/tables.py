@@ -67,7 +67,7 @@ def live_triggers(spark, rows_per_second: int = 1) -> DataFrame:
 
 def weights_file(spark: SparkSession, path: str) -> DataFrame:
     """A comma-separated matrix as (in_ch, out_ch, w); rows are numbered in file order, so one task reads the small file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("in_ch", "line"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\s+$", ""), r"\r?\n")).alias("in_ch", "line"))
     return lines.select("in_ch", F.posexplode(F.split("line", ",")).alias("out_ch", "w")).select("in_ch", "out_ch", F.trim("w").cast("double").alias("w"))
 
 
