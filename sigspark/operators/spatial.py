@@ -60,7 +60,7 @@ def affine(df: DataFrame, weights, by: tuple[str, ...] = ("key", "n"), n_in: int
     if callable(weights):
         weights = weights(n_in)
     elif isinstance(weights, str) and weights in ("car", "identity"):
-        weights = rereference_matrix(weights, n_in, **({"clusters": clusters} if weights == "car" else {}))
+        weights, clusters = rereference_matrix(weights, n_in, **({"clusters": clusters} if weights == "car" else {})), None
     elif isinstance(weights, str):
         weights = read_matrix(df, weights)
     weights = np.asarray(weights, float) if right_multiply else np.asarray(weights, float).T
