@@ -94,9 +94,11 @@ def chunks(docs: DataFrame, mask: int, digest_size: int) -> DataFrame:
 def dedup(docs: DataFrame, mask: int = 1023, digest_size: int = 16) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs (doc_id, text)."""
     made = written(recipes(docs, mask, digest_size), "recipes")
-    twice = made.groupBy("recipe_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("recipe_key")
+    # Counted by text before anything is joined, so a recipe of very many copies is one row.
+    by_text = written(made.groupBy("recipe_key", "text_sha256").agg(F.max("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "texts")
+    twice = by_text.groupBy("recipe_key").agg(F.sum("n").alias("n")).where("n > 1").select("recipe_key")
     # One document of each repeated text is enough to name its chunks: sha256 tells the contents apart that a digest confuses.
-    named = made.join(twice, "recipe_key", "left_semi").groupBy("text_sha256").agg(F.max("doc_id").alias("doc_id")).select("doc_id").distinct()
+    named = by_text.join(twice, "recipe_key", "left_semi").select("doc_id").distinct()
     texts = docs.select("doc_id", text_of().alias("text")).join(named.hint("merge"), "doc_id", "left_semi").select("text")
     dictionary = chunks(texts, mask, digest_size).groupBy("digest").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
     unsure = written(dictionary.where("low <> high").select("digest"), "unsure")
