@@ -105,14 +105,16 @@ def least_neighbour(edges: DataFrame) -> DataFrame:
     """
     spark = edges.sparkSession
     both = written(edges.select("a", "b").where("a <> b").union(edges.selectExpr("b AS a", "a AS b").where("a <> b")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), "labels")
+    labels = held = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("label")), "labels")
     while True:
         via = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         low = labels.join(via, "id").select("id", "label", F.least("label", "near").alias("low"))
         far = labels.select(F.col("id").alias("low"), F.col("label").alias("up"))
         new = written(low.join(far, "low").select("id", F.least("low", "up").alias("label"), (F.least("low", "up") < F.col("label")).alias("changed")), "labels")
-        labels = new.select("id", "label")
+        dropped(held)
+        labels, held = new.select("id", "label"), new
         if not new.where("changed").take(1):
+            dropped(both)
             return labels
 
 

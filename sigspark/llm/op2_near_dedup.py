@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import least_neighbour, small_batches, text_of, texts_as_bytes, written
+from .common import dropped, least_neighbour, small_batches, text_of, texts_as_bytes, written
 
 SKETCHES, TUPLE, K = 48, 8, 5
 #: One-bit minima of a text, 64 to a long, and the standard deviations that a pair may lie under the mean of its threshold.
@@ -247,7 +247,8 @@ def near_classes(docs: DataFrame, least: float = 0.8, k: int = K, n_sketches: in
     members = members.join(labelled.select("id", *[F.get("bits", F.lit(w)).alias(f"b{w}") for w in words]), "id")
     # A pair that shares several buckets is made in the one of the smallest key: no open bucket before it holds both.
     earlier = Window.partitionBy("id").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
-    members = written(members.withColumn("earlier", F.collect_list("key").over(earlier)), "open")
+    opened = written(members.withColumn("earlier", F.collect_list("key").over(earlier)), "open")
+    members = opened
     heads = members.where("id = a").select(F.col("key").alias("hk"), F.col("label").alias("head_label"))
     members = members.join(heads, F.col("key") == F.col("hk"), "left").drop("hk")
     outer = members.where("label <> head_label").select("key", F.col("id").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("earlier").alias("earlier_x"), *[F.col(f"b{w}").alias(f"x{w}") for w in words])
@@ -258,7 +259,8 @@ def near_classes(docs: DataFrame, least: float = 0.8, k: int = K, n_sketches: in
         across = across.where(differ <= BITS - agreeing(least, margin))
     across = across.where(~F.arrays_overlap("earlier_x", "earlier_y"))
     across = across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).join(stars, ["a", "b"], "left_anti")
-    more = written(_verified(written(across, "across"), labelled, least), "links")
+    pairs = written(across, "across")
+    more = written(_verified(pairs, labelled, least), "links")
     # Only classes are joined further, so the second search runs over them and their few links.
     one = lambda side: labels.select(F.col("id").alias(side), F.col("label").alias(f"class_{side}"))
     joined = more.join(one("a"), "a", "left").join(one("b"), "b", "left").select(F.coalesce("class_a", "a").alias("a"), F.coalesce("class_b", "b").alias("b"))
@@ -267,6 +269,7 @@ def near_classes(docs: DataFrame, least: float = 0.8, k: int = K, n_sketches: in
     out = vertex.select("doc_id", "id").join(labels, "id", "left").withColumn("first_label", F.coalesce("label", "id"))
     out = out.join(labels_of_classes, "first_label", "left").withColumn("label", F.coalesce("last_label", "first_label"))
     out = written(out.select("doc_id", F.coalesce(F.col("label"), F.col("doc_id")).alias("vertex"), F.col("id").isNull().alias("alone")), "classes")
+    dropped(made, first, keys, rows, labelled, stars, links, classed, opened, pairs, more)  # the classes have taken them in
     sums = out.where("NOT alone").groupBy("vertex").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("class_size")).where("class_size > 1")
     sums = sums.select(F.xxhash64(F.col("vertex")).alias("vk"), F.col("vertex").alias("v"), "top", "class_size")
     out = out.join(sums, (F.xxhash64(out["vertex"]) == sums["vk"]) & (out["vertex"] == sums["v"]) & ~out["alone"], "left")
