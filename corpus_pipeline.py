@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigspark.llm import op2_near_dedup, op3_packing, op5_quality, op6_exact_dedup, op9_mixing
-from sigspark.llm.common import read_table, written
+from sigspark.llm.common import dropped, read_table, written
 
 
 def _identity() -> Column:
@@ -71,7 +71,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, held = read_table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        dropped(*held)  # the stage was its only reader
+        held = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
