@@ -50,7 +50,7 @@ def query(name: str, signal: str, columns: str, run: Callable[[DataFrame], DataF
 
 
 #: Columns that are no doubles.
-WHOLE = {"key", "n", "ch", "bin", "win", "pos", "band", "feature", "trigger_id", "k", "kernel", "channels_n", "cluster", "at_n", "level", "flag", "label"}
+WHOLE = {"sample", "electrode", "key", "n", "ch", "bin", "win", "pos", "band", "feature", "trigger_id", "k", "kernel", "channels_n", "cluster", "at_n", "level", "flag", "label"}
 
 
 def _value(name: str, expr, sql: str) -> None:
@@ -329,3 +329,35 @@ query("cwt", "M", "n ch freq value", lambda d: X.cwt(d, FS, [8, 16, 32]),
       _WAVE + ", conv AS MATERIALIZED (SELECT m.n + t.lag AS n, m.ch, t.freq, t.scale, sum(m.value * t.v) AS y FROM m, taps AS t WHERE m.n + t.lag <= (SELECT max(n) FROM m) GROUP BY ALL)")
 query("fbcca", "M", "win freq value", lambda d: X.fbcca(W.windowing(d.drop("label"), 100, 50), FS, [8, 10, 12, 15]))
 query("streaming_fbcca", "M", "win freq value", lambda d: X.streaming_fbcca(d.drop("label"), FS, [8, 10, 12, 15], 1.0, 0.5, transition=4.0))
+
+# Sources, casts, settings and edge forms that the queries above leave out.
+query("source_counter", "E", "n ch value", lambda d: T.counter(d.sparkSession, 50, 3, 10.0, 7), "SELECT n, ch, (n % 7)::DOUBLE AS value FROM generate_series(0, 49) AS a(n), generate_series(0, 2) AS b(ch)")
+query("source_oscillator", "E", "n ch t value", lambda d: T.oscillator(d.sparkSession, 200, 2, 100.0, 7.0, 2.0, 0.3, True),
+      "SELECT n, ch, n / 100::DOUBLE AS t, 2 * sin(2 * pi() * (100 / 14::DOUBLE) * n / 100::DOUBLE + 0.3::DOUBLE) AS value FROM generate_series(0, 199) AS a(n), generate_series(0, 1) AS b(ch)")
+query("source_triggers", "E", "trigger_id ts p0 p1", lambda d: T.triggers(d.sparkSession, 40, 2.5, 0.5, (-0.5, 1.0)), "SELECT i AS trigger_id, 0.5::DOUBLE + i * 2.5::DOUBLE AS ts, -0.5::DOUBLE AS p0, 1::DOUBLE AS p1 FROM generate_series(0, 39) AS g(i)")
+query("as_type", "E", "key n level", lambda d: H.as_type(d, "int").withColumnRenamed("value", "level"), "SELECT key, n, trunc(value)::BIGINT AS level FROM e")
+query("rename_axis", "M", "sample electrode value", lambda d: H.rename_axis(d, n="sample", ch="electrode"), "SELECT n AS sample, ch AS electrode, value FROM m")
+query("materialize", "E", "key n value", lambda d: H.materialize(d.withColumn("value", F.col("value") * 2)), "SELECT key, n, value * 2 AS value FROM e")
+query("abs_complex", "E", "key n value", lambda d: d.withColumn("value", scalar.absolute(F.col("value"), F.col("n") * 1.0)), "SELECT key, n, sqrt(value * value + n * n) AS value FROM e")
+query("digitize_int32", "E", "key n level", lambda d: d.withColumn("level", scalar.digitize(F.col("value"), 10, 90, "int32")), "SELECT key, n, round_even((least(greatest(value, 10::DOUBLE), 90::DOUBLE) - 10) / 80 * 4294967295 - 2147483648, 0)::BIGINT AS level FROM e")
+query("quantize_16", "E", "key n level", lambda d: d.withColumn("level", scalar.quantize(F.col("value"), 90, 10, 16)), "SELECT key, n, round_even(65535 * (least(greatest(value, 10::DOUBLE), 90::DOUBLE) - 10) / 80, 0)::BIGINT AS level FROM e")
+query("aggregate_none", "E", "key flag", lambda d: d.groupBy("key").agg(S.aggregate("none", F.col("value") - F.floor("value"), F.col("n")).cast("int").alias("flag")), "SELECT key, bool_and(value - floor(value) <> 0)::BIGINT AS flag FROM e GROUP BY key")
+query("trapezoid_time", "E", "key value", lambda d: A.aggregate(d.withColumn("day", F.col("t") / 86400), ["key"], "trapezoid", coordinate="day"), "SELECT key, coalesce(sum(a), 0) AS value FROM (SELECT key, (value + lead(value) OVER w) / 2 * (lead(t) OVER w - t) / 86400 AS a FROM e WINDOW w AS (PARTITION BY key ORDER BY n)) GROUP BY key")
+query("diff_times", "E", "key n value", lambda d: W.diff(d.withColumn("t", F.col("t") / 3600), True), "SELECT key, n, (value - coalesce(lag(value) OVER w, value)) / coalesce(t / 3600 - lag(t / 3600) OVER w, lead(t / 3600) OVER w - t / 3600, 0.001::DOUBLE) AS value FROM e WINDOW w AS (PARTITION BY key ORDER BY n)")
+query("window_pad_input", "E", "key win pos value", lambda d: W.windowing(_plain(d), 10, 4, "input", 6),
+      ORACLE["window_zero_pad_shift"].split(" FROM (", 1)[1].removesuffix(") AS q").replace("generate_series(1, 6) AS g(z)", "generate_series(1, 4) AS g(z)").replace("n + 6", "n + 4").replace("count(*) + 6", "count(*) + 4"))
+for _anchor, _shift in (("beginning", "0"), ("end", "0.1")):
+    query(f"window_anchor_{_anchor}", "E", "key win at", lambda d, a=_anchor: W.windowing(_plain(d), 10, 4).groupBy("key", "win").agg((F.min("n") / 100 - W.anchor_offset(0.1, a)).alias("at")),
+          f"SELECT key, win, win * 4 / 100::DOUBLE + {_shift}::DOUBLE AS \"at\" FROM (SELECT key, c, unnest(generate_series(0, (c - 10) // 4)) AS win FROM (SELECT key, count(*) AS c FROM e GROUP BY key) WHERE c >= 10)")
+query("ewma_frozen", "E", "key n value", lambda d: N.ewma_frozen(T.chunked(d, 5), 0.2, F.lit(50.0), 0.75),
+      """SELECT key, n, (0.2::DOUBLE * power(0.8::DOUBLE, p) * (sum(value * power(0.8::DOUBLE, -p)) OVER w) + power(0.8::DOUBLE, p + 1) * 50 * 0.75::DOUBLE) / (1 - power(0.8::DOUBLE, p + 1) * 0.25::DOUBLE) AS value
+         FROM (SELECT key, n, value, n // 5 AS c, n % 5 AS p FROM e) WINDOW w AS (PARTITION BY key, c ORDER BY n)""")
+query("rolling_scaler_unbounded", "E", "key n value", lambda d: N.rolling_scaler(T.chunked(d, 4), None, 8),
+      """SELECT e.key, e.n, CASE WHEN c >= 8 THEN greatest(-10::DOUBLE, least(10::DOUBLE, (value - s / c) / greatest(sqrt(greatest(q / c - (s / c) * (s / c), 0)), 1e-8))) ELSE value END AS value FROM e JOIN
+         (SELECT key, k, coalesce(sum(c) OVER w, 0) AS c, sum(s) OVER w AS s, sum(q) OVER w AS q FROM (SELECT key, n // 4 AS k, count(*) AS c, sum(value) AS s, sum(value * value) AS q FROM e GROUP BY 1, 2)
+          WINDOW w AS (PARTITION BY key ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS p ON p.key = e.key AND p.k = e.n // 4""")
+query("rolling_scaler_artifacts", "E", "key n value", lambda d: N.rolling_scaler(T.chunked(d, 4), 5, artifact_z_thresh=1.5))
+_DESIGN = [{"cutoff": [10, 25], "ripple": 25, "width": 10, "pass_zero": False}, {"cutoff": 12, "ripple": 25, "width": 10}, {"cutoff": None}]
+query("filterbank_design", "E", "key kernel n value", lambda d: L.filterbank_design(d, FS, _DESIGN), " UNION ALL ".join(f"SELECT key, {k} AS kernel, n, value FROM ({_fir_sql(design.kaiser_or_one(FS, **h), 'zeros')}) AS z{k}" for k, h in enumerate(_DESIGN)))
+query("spectrum_complex", "M", "n k re im", lambda d: X.spectrum(_arrays(d), 0.01, "none", "raw_complex").select("n", F.posexplode(F.arrays_zip("x", "imag")).alias("k", "z")).select("n", "k", F.col("z.x").alias("re"), F.col("z.imag").alias("im")), f"SELECT n, k, re / 64 AS re, im / 64 AS im FROM ({_DFT}) AS z")
+query("spectrum_full", "M", "n k value", lambda d: X.spectrum(_arrays(d), 0.01, "none", "real", "full").select("n", F.posexplode("x").alias("k", "value")), "SELECT n, k, sum(value * cos(2 * pi() * (k - 32) * ch / 64)) / 64 AS value FROM m, generate_series(0, 63) AS g(k) GROUP BY n, k")
