@@ -26,7 +26,9 @@ def op4_lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op5_quality.quality(read_table(spark, sf_dir, "documents"))
+    """Distances rounded, so that they can be compared across engines; the verdict is the unrounded one."""
+    rows = op5_quality.quality(read_table(spark, sf_dir, "documents"))
+    return rows.withColumns({c: F.round(c, 6) for c in ("class_distance", "common_distance")})
 
 
 def op6_exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +62,54 @@ QUERIES = {
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_CLASSES = {"lower": r"\p{Ll}", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "space": r"[ \t\n\x0B\f\r]", "stop": r"""[.,;:!?'"()\-]""", "symbol": r"[#*$%&|<>@_=+/\\^~{}\[\]]"}
+_WORDS = r"list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+
+def _quality_sql() -> str:
+    """The rules of op5 in SQL: counts, references, Jensen-Shannon distances and the verdict."""
+    gone = lambda p: "length(text) - length(regexp_replace(text, '" + p.replace("'", "''") + "', '', 'g'))"
+    lists = " UNION ALL ".join(f"SELECT '{lang}' AS lang, {k} AS k, '{w}' AS w" for lang, own in op5_quality.COMMON.items() for k, w in enumerate(own))
+    langs = ", ".join(f"'{lang}'" for lang in op5_quality.COMMON)
+    shares = "list_transform({0}, lambda x: x / list_sum({0}))"
+    half = "CASE WHEN {0} > 0 THEN {0} * log2(2 * {0} / ({0} + {1})) ELSE 0 END"
+    pair = half.format("z[1]", "z[2]") + " + " + half.format("z[2]", "z[1]")
+    apart = lambda a, b: f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(list_zip({shares.format(a)}, {shares.format(b)}), lambda z: {pair})) / 2)) END"
+    return f"""
+        WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT id, {_WORDS} AS words FROM d),
+        pos AS (SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+        win AS (SELECT id, i, count(*) OVER (PARTITION BY id, a, b, c, e, f) AS times FROM (SELECT id, i, word AS a, lead(word, 1) OVER o AS b, lead(word, 2) OVER o AS c, lead(word, 3) OVER o AS e, lead(word, 4) OVER o AS f
+            FROM pos WINDOW o AS (PARTITION BY id ORDER BY i)) WHERE f IS NOT NULL),
+        rep AS (SELECT id, count(DISTINCT i + j) AS n FROM win, generate_series(0, 4) AS g(j) WHERE times > 1 GROUP BY id),
+        lines AS (SELECT id, count(*) - count(DISTINCT line) AS n FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id),
+        lists AS ({lists}),
+        found AS (SELECT id, lang, unnest(regexp_split_to_array({_LOWER.format("text")}, '[\x20\x09-\x0D.,;:!?''"()]+')) AS w FROM d),
+        hits AS (SELECT f.id, f.w, count(*) AS n FROM found AS f SEMI JOIN lists AS l ON f.lang = l.lang AND f.w = l.w GROUP BY 1, 2),
+        common AS (SELECT d.id, list(coalesce(h.n, 0) ORDER BY l.k) AS c FROM d JOIN lists AS l ON d.lang = l.lang LEFT JOIN hits AS h ON h.id = d.id AND h.w = l.w GROUP BY d.id),
+        base AS (SELECT d.*, len(words) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, {gone(r"[#*$%&|<>]")} AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
+            length(text) AS n_chars, [{", ".join(gone(p) for p in _CLASSES.values())}] AS cl, common.c AS co FROM d JOIN w USING (id) LEFT JOIN rep USING (id) LEFT JOIN lines USING (id) LEFT JOIN common USING (id)),
+        full_ AS (SELECT *, list_append(cl, greatest(0, n_chars - list_sum(cl)::BIGINT))::DOUBLE[] AS a, list_append(co, greatest(0, n_words - list_sum(co)::BIGINT))::DOUBLE[] AS b FROM base),
+        ra AS (SELECT lang, list(s ORDER BY i) AS a0 FROM (SELECT lang, i, sum(x) AS s FROM (SELECT lang, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM full_ WHERE lang IN ({langs})) GROUP BY ALL) GROUP BY lang),
+        rb AS (SELECT lang, list(s ORDER BY i) AS b0 FROM (SELECT lang, i, sum(x) AS s FROM (SELECT lang, unnest(b) AS x, generate_subscripts(b, 1) AS i FROM full_ WHERE lang IN ({langs})) GROUP BY ALL) GROUP BY lang),
+        m AS (SELECT f.*, b0, CASE WHEN n_chars >= 200 THEN {apart("a", "a0")} END AS class_distance, CASE WHEN n_words >= 40 THEN {apart("b", "b0")} END AS common_distance,
+            n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM full_ AS f LEFT JOIN ra USING (lang) LEFT JOIN rb USING (lang))
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND coalesce(class_distance, 0) <= 0.3 AND NOT coalesce(common_distance > sqrt(0.04 + 1.25 * (len(b0) - 1) / (8 * ln(2) * greatest(n_words, 1))), false) AS kept,
+            round(class_distance, 6) AS class_distance, round(common_distance, 6) AS common_distance FROM m"""
+
+
 ORACLE = {
+    "op5_quality": _quality_sql(),
+    "op8_chat": r"""
+        WITH c AS (SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, i, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)),
+        e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body, regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS head FROM c),
+        g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS said,
+            coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '') AS loss, list(role ORDER BY turn NULLS FIRST, role, text) AS roles,
+            sum(length('<|im_start|>') + length(head) + 1 + length(body) + length('<|im_end|>') + 1) AS formatted_chars FROM e GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars,
+            CASE WHEN roles = ['user', 'assistant'] THEN 'prompt_response' WHEN roles = ['system', 'user', 'assistant'] THEN 'system_prompt_response' ELSE 'messages' END AS layout FROM g""",
     "op1_line_dedup": f"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
         k AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
