@@ -30,6 +30,11 @@ def from_array(spark: SparkSession, data, fs: float, offset: float = 0.0, key: i
     return spark.createDataFrame(pa.table(columns), "key long, n long, t double, ch int, value double")
 
 
+def from_message(spark: SparkSession, data, fs: float, timestamp: float, key: int = 0) -> DataFrame:
+    """A (time, channel) array that ends at `timestamp`, as older recordings state it: it starts its own length before."""
+    return from_array(spark, data, fs, timestamp - len(data) / fs, key)
+
+
 def _grid(spark: SparkSession, n: int, channels: int, fs: float) -> DataFrame:
     r = spark.range(n * channels)
     return r.select(F.lit(0).cast("long").alias("key"), F.floor(F.col("id") / channels).alias("n"), (F.floor(F.col("id") / channels) / fs).alias("t"), (F.col("id") % channels).cast("int").alias("ch"), "id")
@@ -76,4 +81,9 @@ def chunked(df: DataFrame, length: int) -> DataFrame:
 
 
 def write_signal(df: DataFrame, path: str, mode: str = "error") -> None:
+    """mode "append" makes the folder a log of everything that was written to it."""
     df.write.mode(mode).parquet(path)
+
+
+def read_signal(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

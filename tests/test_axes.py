@@ -171,3 +171,41 @@ def test_integers_at_their_limits(spark):
     for dtype, bits in (("int16", 16), ("int32", 32), ("int64", 64)):
         got = [r[0] for r in one.where("NOT isnan(value)").select(scalar.digitize(F.col("value"), 0.0, 1.0, dtype)).collect()]
         assert (got[0], got[1], got[3], got[4]) == (-(2 ** (bits - 1)), -(2 ** (bits - 1)), 2 ** (bits - 1) - 1, 2 ** (bits - 1) - 1)
+
+
+def test_recordings_are_logged_and_read_back(spark, tmp_path):
+    from sigspark.sources import tables as T
+
+    x = np.arange(6.0).reshape(3, 2)
+    first = T.from_message(spark, x, 10.0, 5.0)
+    assert sorted({r["t"] for r in first.collect()}) == pytest.approx([4.7, 4.8, 4.9])
+    T.write_signal(first, str(tmp_path / "log"))
+    T.write_signal(T.from_message(spark, x + 10, 10.0, 5.3), str(tmp_path / "log"), "append")
+    got = T.read_signal(spark, str(tmp_path / "log")).orderBy("t", "ch").collect()
+    assert [r["value"] for r in got] == [*x.ravel(), *(x + 10).ravel()]
+    with pytest.raises(Exception, match="exists"):
+        T.write_signal(first, str(tmp_path / "log"))
+
+
+def test_sources(spark):
+    from sigspark.sources import tables as T
+
+    noise = T.white_noise(spark, 4000, 2, loc=3.0, scale=2.0, seed=5).groupBy("ch").agg(F.avg("value").alias("m"), F.stddev("value").alias("s")).collect()
+    assert all(abs(r["m"] - 3) < 0.2 and abs(r["s"] - 2) < 0.1 for r in noise)
+    assert T.white_noise(spark, 50, seed=5).collect() == T.white_noise(spark, 50, seed=5).collect()
+    tone = np.array([r["value"] for r in T.eeg(spark, 2000, 1).orderBy("n").collect()])
+    assert abs(np.abs(np.fft.rfft(tone))[1:].argmax() + 1 - 42) <= 1  # 10.5 Hz in bins of a quarter
+    assert T.live_triggers(spark).isStreaming
+    for kind in ("uniform", "normal", "constant"):
+        rows = scalar.denormalize_table(200, 4.0, 20.0, kind, 1)
+        offsets = [o for _, _, o in rows]
+        low, high = (2, 40) if kind == "uniform" else (4, 20)
+        assert low <= min(offsets) <= max(offsets) <= high and all(g == pytest.approx(o / 3.29) for _, g, o in rows)
+    with pytest.raises(ValueError):
+        scalar.denormalize_table(3, distribution="other")
+
+
+def test_named_settings():
+    from sigspark.functions import design, enums
+
+    assert enums.SpectralTransform("rel_db") == "rel_db" and design.window(enums.WindowFunction.HAMMING, 5).tolist() == np.hamming(5).tolist()
