@@ -49,7 +49,7 @@ def merge(a: DataFrame, b: DataFrame, gain: float, channels_a: int) -> DataFrame
     return concat(x, y, channels_a)
 
 
-def resample(df: DataFrame, reference: DataFrame, fill: str | float = "extrapolate", block_rows: int = 1 << 20) -> DataFrame:
+def resample(df: DataFrame, reference: DataFrame, fill: str | float = "extrapolate", block_rows: int = 1 << 17) -> DataFrame:
     """Linear interpolation at the reference times (key, t): one union and running windows, no range join. Values up to
     the last sample's time. Before the first sample: the line through the first two samples; with fill "last" the first
     sample; with a number that number. A series of fewer than three samples gives nothing.
