@@ -27,9 +27,10 @@ def windowing(df: DataFrame, size: int | None, shift: int, padding: str = "none"
     high = F.floor(F.col("__m") / F.lit(float(shift))).cast("long")
     rows = rows.withColumn("__low", low).withColumn("__high", high).where("__low <= __high")
     rows = rows.withColumn("win", F.explode(F.sequence("__low", "__high"))).withColumn("pos", F.col("__m") - F.col("win") * shift)
-    # A window is complete when the series' last sample lies at or behind its end: a maximum over the rows' own partitions.
-    last = F.max("__m").over(Window.partitionBy(*by))
-    return rows.withColumn("__last", last).where(F.col("win") * shift + size <= F.col("__last") + 1).drop("__m", "__low", "__high", "__last")
+    # A window is complete when the series' last sample lies at or behind its end. One row a series, summed up before any
+    # shuffle: a window function would hold a whole series in one task.
+    ends = df.groupBy(*by).agg((F.max("n") + 1 + pad).alias("__total"))
+    return rows.join(ends, list(by)).where(F.col("win") * shift + size <= F.col("__total")).drop("__m", "__low", "__high", "__total")
 
 
 def latest_windows(df: DataFrame, size: int, by: tuple[str, ...] = ("key", "ch")) -> DataFrame:
