@@ -38,9 +38,12 @@ def _skipping(x: Column) -> Column:
     return F.when(~F.isnan(x), x)
 
 
-def aggregate(op: str, x: Column, order: Column, coordinate: Column | None = None) -> Column:
-    """The aggregate named `op` of x. argmin and argmax give the first hit's coordinate, or its order where there is none."""
+def aggregate(op: str, x: Column, order: Column, coordinate: Column | None = None, where: Column | None = None) -> Column:
+    """The aggregate named `op` of x, of the rows that `where` holds for. argmin and argmax give the first hit's coordinate, or
+    its order where there is none."""
     at = order if coordinate is None else coordinate
+    only = (lambda c: c) if where is None else (lambda c: F.when(where, c))
+    x = only(x)
     known = {
         "none": lambda: F.bool_and(x != 0),
         "max": lambda: _strict(F.max(x), x),
@@ -55,8 +58,8 @@ def aggregate(op: str, x: Column, order: Column, coordinate: Column | None = Non
         "nanmedian": lambda: F.coalesce(F.median(_skipping(x)), F.lit(NAN)),
         "nanstd": lambda: F.coalesce(F.stddev_pop(_skipping(x)), F.lit(NAN)),
         "nansum": lambda: F.coalesce(F.sum(_skipping(x)), F.lit(0.0)),
-        "argmax": lambda: F.max_by(at, F.struct(x, -order)),
-        "argmin": lambda: F.min_by(at, F.struct(~F.isnan(x), x, order)),  # the first NaN comes before any number
+        "argmax": lambda: F.max_by(at, only(F.struct(x, -order))),
+        "argmin": lambda: F.min_by(at, only(F.struct(~F.isnan(x), x, order))),  # the first NaN comes before any number
     }
     if op not in known:
         raise ValueError(f"unknown aggregation {op!r}")

@@ -32,21 +32,23 @@ def ranged_aggregate(df: DataFrame, by: Sequence[str], bands: Sequence[tuple[flo
     when the rows are computed."""
     if bands is None:
         return df
-    # A row is copied to the bands that hold it, so the bands stay literals and nothing is joined.
     c = F.col(coordinate)
-    held = F.array(*[F.when((c >= lo) & (c <= hi), F.lit(i)) for i, (lo, hi) in enumerate(bands)])
-    rows = df.withColumn("band", F.explode(F.array_compact(held)))
-    at = F.avg(coordinate) if labels is None else F.concat(F.min_by(labels, coordinate), F.lit(" - "), F.max_by(labels, coordinate))
-    if operation == "trapezoid":
-        mean = rows.groupBy(*by, "band").agg(at.alias("at"))
-        out = trapezoid(rows, [*by, "band"], coordinate).join(mean, [*by, "band"])
-    else:
-        out = rows.groupBy(*by, "band").agg(at.alias("at"), S.aggregate(operation, F.col("value"), c, c).alias("value"))
-    # The bands of the first group stand for all: every group has the whole axis. Their number is that of the literals.
-    found = F.size(F.collect_set("band").over(Window.partitionBy(*by)))
-    checked = out.withColumn("__bands", found)
-    wanted = F.when(F.col("__bands") == len(bands), F.col("band")).otherwise(F.raise_error(F.lit("a band holds no coordinate of the axis")).cast("int"))
-    return checked.withColumn("band", wanted).drop("__bands")
+    inside = [(c >= lo) & (c <= hi) for lo, hi in bands]
+    empty = F.raise_error(F.lit("a band holds no coordinate of the axis"))
+    if operation == "trapezoid":  # needs neighbours: a row is copied to the bands that hold it
+        rows = df.withColumn("band", F.explode(F.array_compact(F.array(*[F.when(w, F.lit(i)) for i, w in enumerate(inside)]))))
+        at = F.avg(coordinate) if labels is None else F.concat(F.min_by(labels, coordinate), F.lit(" - "), F.max_by(labels, coordinate))
+        out = trapezoid(rows, [*by, "band"], coordinate).join(rows.groupBy(*by, "band").agg(at.alias("at")), [*by, "band"])
+        found = F.size(F.collect_set("band").over(Window.partitionBy(*by)))
+        return out.withColumn("__n", found).withColumn("band", F.when(F.col("__n") == len(bands), F.col("band")).otherwise(empty.cast("int"))).drop("__n")
+    # One aggregate a band over each group: no row is copied, and one shuffle does for all.
+    only = lambda w, x: F.when(w, x)
+    sums = []
+    for i, w in enumerate(inside):
+        at = F.avg(only(w, c)) if labels is None else F.concat(F.min_by(labels, only(w, c)), F.lit(" - "), F.max_by(labels, only(w, c)))
+        sums += [F.count(only(w, F.lit(1))).alias(f"__n{i}"), at.alias(f"__at{i}"), S.aggregate(operation, F.col("value"), c, c, w).alias(f"__v{i}")]
+    bars = [F.struct(F.when(F.col(f"__n{i}") > 0, F.lit(i)).otherwise(empty.cast("int")).alias("band"), F.col(f"__at{i}").alias("at"), F.col(f"__v{i}").alias("value")) for i in range(len(bands))]
+    return df.groupBy(*by).agg(*sums).select(*by, F.inline(F.array(*bars)))
 
 
 def samples_per_bin(bin_duration: float, fs: float, fractional: bool = True) -> float:
