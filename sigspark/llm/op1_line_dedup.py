@@ -91,6 +91,14 @@ class LineRuns:
         except Exception:  # noqa: BLE001  the session has ended: nothing is left to delete with
             pass
 
+    def close(self) -> None:
+        """Forgets the tables; runs that no folder was named for are deleted too."""
+        for name, _ in [run for level in self.levels for run in level]:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.levels = []
+        if not self.kept:
+            delete_path(self.spark, self.folder)
+
     def dealt(self, keys: DataFrame) -> DataFrame:
         """Rows in the runs' buckets."""
         return keys.repartition(self.buckets, *KEY)
@@ -142,7 +150,7 @@ def batch_keys(lines: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches: int = 5, runs: LineRuns | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_text, kept_sha256 for every row of docs (doc_id, text). The rows come in batches of
     whole documents: a doc_id's rows are in one, as documents are counted in it."""
-    runs = runs or LineRuns(docs.sparkSession)
+    own, runs = runs is None, runs or LineRuns(docs.sparkSession)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")
     lines = written(keyed_lines(docs, min_chars).withColumn("batch", batch), "lines", "batch")
     for number in range(batches):
@@ -151,6 +159,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         keys = runs.dealt(batch_keys(lines.where(F.col("batch") == number)))
         runs.add(runs.unsettled(keys, min_docs))
     frequent = written(runs.frequent(min_docs), "frequent")
+    if own:
+        runs.close()
     dropped = lines.join(frequent, KEY).where(F.col("doc_id") < F.col("top_doc"))
     dropped = dropped.groupBy("doc_id", "own").agg(F.collect_set("at").alias("gone"))
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("own", F.xxhash64("text")).join(dropped.hint("merge"), ["doc_id", "own"], "left")
