@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,5 +80,14 @@ def as_type(df: DataFrame, dtype: str) -> DataFrame:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder."""
+    """Cuts the lineage with a reliable checkpoint in the cluster's shared folder, spark.checkpoint.dir. Where that is unset a
+    local session takes a temporary folder; on a cluster it is an error, as executors would write to their own disks."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not (context.master == "local" or context.master.startswith("local[")):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="sigspark-")
+        context.setCheckpointDir(root)
     return df.checkpoint()
