@@ -101,7 +101,8 @@ def least_neighbour(edges: DataFrame) -> DataFrame:
     """From edges (a, b), one row (id, label) per vertex: the smallest vertex of its connected class.
 
     Labels are lowered along edges and by pointer jumping until none changes; each round ends in a written table.
-    A round aggregates by vertex with partial sums on the map side, so a vertex with very many edges is no hot group.
+    A round aggregates by vertex with partial sums on the map side. Its joins by vertex do meet the edges of one vertex, the
+    head of a very large class, in one partition; that one is left to Spark's skew join, as rows there are a pair of longs.
     """
     spark = edges.sparkSession
     both = written(edges.select("a", "b").where("a <> b").union(edges.selectExpr("b AS a", "a AS b").where("a <> b")).distinct(), "edges")
