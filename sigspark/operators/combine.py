@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .axes import check_shared
+
 
 def _paired(a: DataFrame, b: DataFrame, on: tuple[str, ...], value) -> DataFrame:
     other = b.select(*on, F.col("value").alias("__b"))
@@ -31,8 +33,10 @@ def align(a: DataFrame, b: DataFrame, gain_a: float, gain_b: float, rtol: float
     return x.join(y.select("key", "g").distinct(), ["key", "g"], "left_semi"), y.join(x.select("key", "g").distinct(), ["key", "g"], "left_semi")
 
 
-def concat(a: DataFrame, b: DataFrame, channels_a: int) -> DataFrame:
-    """B's channels after A's: a union, no join."""
+def concat(a: DataFrame, b: DataFrame, channels_a: int, shared: dict[str, tuple] | None = None) -> DataFrame:
+    """B's channels after A's: a union, no join. shared: axes (by name the two tables, or the two steps) that must agree."""
+    for name, (x, y) in (shared or {}).items():
+        check_shared(name, x, y)
     return a.unionByName(b.withColumn("ch", F.col("ch") + channels_a), allowMissingColumns=True)
 
 

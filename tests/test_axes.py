@@ -38,6 +38,17 @@ def test_concatenated_axes(spark):
             X.check_shared("ch", x, y)
 
 
+def test_streams_with_other_axes_are_not_joined(spark):
+    from sigspark.operators import combine as C
+
+    x = from_array(spark, np.arange(4.0).reshape(2, 2), 10.0)
+    assert sorted(r["ch"] for r in C.concat(x, x, 2, {"time": (0.1, 0.1)}).where("n = 0").collect()) == [0, 1, 2, 3]
+    with pytest.raises(ValueError, match="time"):
+        C.concat(x, x, 2, {"time": (0.1, 0.2)})
+    with pytest.raises(ValueError, match="rate"):
+        C.align(x, x, 0.1, 0.1001)
+
+
 def test_promoted_attributes(spark):
     axis = spark.createDataFrame([(0, "x"), (1, "y"), (2, "z")], "idx int, label string")
     got, shared = X.promote(axis, 2, {"site": "A", "rate": 1, "gain": 2.0, "on": True, "same": 5}, {"site": "B", "gain": 3, "same": 5})
