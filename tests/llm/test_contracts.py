@@ -171,7 +171,8 @@ def test_sql(spark):
     from sigspark.llm.queries import ORACLE, QUERIES
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     for name, sql in ORACLE.items():
         got = QUERIES[name](spark, SF)
         want = con.execute(sql)
