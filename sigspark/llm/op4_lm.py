@@ -1,18 +1,19 @@
 """A hierarchical Pitman-Yor language model, trained and applied in blocks.
 
-Restaurants: one for each bucket of the previous word, their parents one for each class of the previous word, these share
-the root, whose base is uniform over the vocabulary and one unknown word. A class is a word's last byte (folded to 33 and
-one for the start of a text), a bucket is a class and one of 16 values of the word's hash, so restaurants are bounded in
-number while dishes, all words of the corpus, grow with it. Customers are the training tokens. Seating, its Gibbs sampler
-and the draw of discounts and strengths are in pitman_yor.py; predictive probabilities are averaged over the sweeps
-after burn-in.
-
-Data flow: a task cuts its documents into parts, keeps each part's tokens as numbers of the part's distinct (word, bucket)
-pairs, and sends the pairs and their training counts, packed, to the words' blocks (ranges of the word's hash; words are told
-apart by their bytes). All restaurants that serve a word hold at most 544 dishes of it, so a block is bounded by its number
-of words, and a sweep is one pass over blocks whose state is written after it. Only the restaurants' totals (some 1,200
-numbers) pass the driver between sweeps. Blocks send the pairs' log-probabilities back, and each part adds up its documents.
-The number of blocks follows the input's size; scores don't depend on it, nor on partitions or session settings.
+Restaurants: one for each previous word, their parents one for each class of the previous word, these share the root, whose
+base is uniform over the vocabulary and one unknown word. A class is a word's last byte (folded to 33 and one for the start
+of a text, which is a restaurant of its own). Customers are the training tokens. Seating, its Gibbs sampler and the draw of
+discounts and strengths are in pitman_yor.py; predictive probabilities are averaged over the sweeps after burn-in.
+
+Data flow: a task cuts its documents into parts, keeps each part's tokens as numbers of the part's distinct (word, previous
+word) pairs, and sends the pairs and their training counts, packed, to the words' blocks (ranges of the word's hash). Words
+are told apart by their bytes, previous words by class and 58 bits of their hash. A sweep is one pass over blocks, whose
+state is written after it. A previous word's restaurant has dishes in many blocks: after each sweep the blocks send its tables
+to its owner (a range of the previous word's hash), which sends the totals back to the blocks that use it; blocks and owners
+are bucketed tables, so only these numbers move. The totals of classes and root and the sums that discounts and strengths are
+drawn from (some 1,300 numbers) pass the driver. Blocks send the pairs' log-probabilities back, and each part adds up its
+documents. The number of blocks follows the input's size; scores don't depend on it, nor on partitions or session settings.
+All pairs of one word are in one block.
 
 Defined results: null or empty text is one end token; a doc_id's remainder decides training for each row, null doc_id
 counts as the text 'null'; repeated rows train and score each; where no row trains, N and V are 0 and all words are
@@ -21,6 +22,8 @@ unknown; an empty table gives no rows; extra columns are ignored; texts of any l
 
 from __future__ import annotations
 
+import atexit
+import uuid
 import zlib
 from itertools import count
 
@@ -31,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_path, dropped, small_batches, text_of, texts_as_bytes, written
-from .pitman_yor import CLASSES, CONTEXTS, FAN, START, Block, Totals
+from .common import _forget, delete_path, dropped, shared_folder, small_batches, text_of, texts_as_bytes, written
+from .pitman_yor import CLASS_SHIFT, CLASSES, DISCOUNTS, START, STRENGTHS, Block, Totals, seating_fit
 
 #: Tokens of a part, the unit of packed exchange; bounds a task's memory.
 PART = 800_000
 #: Bytes of input for one block of words.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
+#: Blocks of words for one owner of previous words.
+OWNED = 16
 #: The end of a text as a word: no other is empty.
 END = b""
 
@@ -46,13 +51,49 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % 10 == 0
 
 
-def bucket(word: bytes, hashed: int) -> int:
-    """The restaurant of what follows a word."""
+def restaurant(word: bytes, hashed: int) -> int:
+    """The restaurant of what follows a word: its class, then its hash."""
     last = word[-1] if word else 33
-    return (32 if last >= 128 else last & 31) * FAN + hashed % FAN
+    return (32 if last >= 128 else last & 31) << CLASS_SHIFT | hashed >> 64 - CLASS_SHIFT
 
 
-BEGIN = (CLASSES - 1) * FAN
+BEGIN = (CLASSES - 1) << CLASS_SHIFT
+
+
+def _dealt(codes: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of restaurants by owner, and the start of each owner's, and the end."""
+    mine = (codes & np.uint64((1 << CLASS_SHIFT) - 1)) >> np.uint64(CLASS_SHIFT - 32)
+    owner = (mine.astype(np.int64) * owners) >> 32
+    order = np.argsort(owner, kind="stable")
+    return order, np.searchsorted(owner[order], np.arange(owners + 1))
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Integers in as few bytes as they need; the first byte says how many."""
+    top = int(np.abs(x).max(initial=0))
+    kind = next(k for k in (1, 2, 4, 8) if top < 1 << (8 * k - 1))
+    return bytes([kind]) + x.astype(f"<i{kind}").tobytes()
+
+
+def _wide(x: bytes) -> np.ndarray:
+    return np.frombuffer(x, f"<i{x[0]}", offset=1).astype(np.int64)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+    """Written once like written(), in buckets of key, so that what is grouped by key later doesn't move."""
+    spark = df.sparkSession
+    path, table = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}", f"lm_{name}_{uuid.uuid4().hex}"
+    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    atexit.register(_forget, spark, path)
+    out = spark.table(table)
+    out.written_path, out.table_name = path, table
+    return out
+
+
+def gone(table: DataFrame) -> None:
+    """Deletes a table of bucketed() whose last reader has run."""
+    table.sparkSession.sql(f"DROP TABLE IF EXISTS {table.table_name}")
+    dropped(table)
 
 
 def _starts(lengths: np.ndarray) -> np.ndarray:
@@ -70,15 +111,16 @@ def packed_part(part: int, ids: list, lists: list[np.ndarray], held: list[bool],
     by_hash = np.argsort(hashes, kind="stable").astype(np.int32)
     rank = np.empty(len(vocab), np.int32)
     rank[by_hash] = np.arange(len(vocab), dtype=np.int32)
-    follow = np.array([bucket(w, h) for w, h in zip(vocab, hashed, strict=True)], np.int64)
-    code = rank[tokens].astype(np.int64) * CONTEXTS
+    rooms, follow = np.unique(np.array([*map(restaurant, vocab, hashed), BEGIN], np.uint64), return_inverse=True)
+    code = rank[tokens].astype(np.int64) * len(rooms)
+    begin = code[at[:-1]] + follow[-1]
     code[1:] += follow[tokens[:-1]]
-    code[at[:-1]] = rank[tokens[at[:-1]]].astype(np.int64) * CONTEXTS + BEGIN
+    code[at[:-1]] = begin
     pairs, number = np.unique(code, return_inverse=True)
     train = np.repeat(~np.array(held, bool), lengths)
-    counts = np.bincount(number[train], minlength=len(pairs)).astype(np.uint32)
-    context = (pairs % CONTEXTS).astype(np.uint16)
-    own = np.bincount(pairs // CONTEXTS, minlength=len(vocab))
+    counts = np.bincount(number[train], minlength=len(pairs))
+    context = rooms[pairs % len(rooms)]
+    own = np.bincount(pairs // len(rooms), minlength=len(vocab))
     width = 3 if len(pairs) < 1 << 24 else 4
     raw = number.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
     for d, (doc, is_held) in enumerate(zip(ids, held, strict=True)):
@@ -88,7 +130,7 @@ def packed_part(part: int, ids: list, lists: list[np.ndarray], held: list[bool],
     bounds, first = np.searchsorted(slot, np.arange(blocks + 1)), _starts(own)
     for b in np.unique(slot):
         w, p = slice(bounds[b], bounds[b + 1]), slice(first[bounds[b]], first[bounds[b + 1]])
-        yield 1, part, int(b), None, None, b" ".join([vocab[i] for i in by_hash[w]]), own[w].astype(np.uint16).tobytes(), context[p].tobytes(), counts[p].tobytes()
+        yield 1, part, int(b), None, None, b" ".join([vocab[i] for i in by_hash[w]]), _narrow(own[w]), context[p].tobytes(), _narrow(counts[p])
 
 
 PACKED = "kind int, part long, slot int, doc_id long, held boolean, data binary, own binary, context binary, counts binary"
@@ -139,9 +181,10 @@ def tokenised(docs: DataFrame, blocks: int, part_tokens: int) -> DataFrame:
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(kernel, PACKED)
 
 
-#: A block's row (part null): hashes of its words, contexts a word, contexts and counts by pair. An index row: which of the
-#: block's pairs a part holds (differences of their numbers) and the part's own contexts a word.
-GATHERED = "slot int, part long, hashes binary, own binary, context binary, counts binary, index binary"
+#: A block's row (part null): hashes of its words, contexts a word, codes of its contexts' restaurants, and by pair the
+#: context's number among these and the count. An index row: which of the block's pairs a part holds (differences of their
+#: numbers) and the part's own contexts a word.
+GATHERED = "slot int, part long, hashes binary, own binary, codes binary, context binary, counts binary, index binary"
 
 
 def gathered(packed: DataFrame, blocks: int) -> DataFrame:
@@ -151,54 +194,51 @@ def gathered(packed: DataFrame, blocks: int) -> DataFrame:
         parts = table.column("part").to_pylist()
         lists = [x.split(b" ") for x in table.column("data").to_pylist()]
         own_raw = table.column("own").to_pylist()
-        own = [np.frombuffer(x, np.uint16) for x in own_raw]
-        context = [np.frombuffer(x, np.uint16) for x in table.column("context").to_pylist()]
-        counts = [np.frombuffer(x, np.uint32) for x in table.column("counts").to_pylist()]
+        own = [_wide(x) for x in own_raw]
+        context = [np.frombuffer(x, np.uint64) for x in table.column("context").to_pylist()]
+        counts = np.concatenate([_wide(x) for x in table.column("counts").to_pylist()])
         numbers: dict[bytes, int] = {}
         word = [np.fromiter([numbers.setdefault(w, len(numbers)) for w in words], np.int64, len(words)) for words in lists]
         hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in numbers], np.uint64)
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        codes = [np.repeat(rank[w], o) * CONTEXTS + c for w, o, c in zip(word, own, context, strict=True)]
-        pairs, number = np.unique(np.concatenate(codes), return_inverse=True)
-        total = np.bincount(number, weights=np.concatenate(counts), minlength=len(pairs)).astype(np.uint64)
-        index = [np.diff(x, prepend=0).astype(np.int32).tobytes() for x in np.split(number, np.cumsum([len(c) for c in codes])[:-1])]
-        of_word = np.bincount(pairs // CONTEXTS, minlength=len(order)).astype(np.uint16)
+        lengths = [len(c) for c in context]
+        codes, local = np.unique(np.concatenate(context), return_inverse=True)
+        local += np.repeat(rank[np.concatenate(word)], np.concatenate(own)) * len(codes)
+        pairs, number = np.unique(local, return_inverse=True)
+        total = np.bincount(number, weights=counts, minlength=len(pairs)).astype(np.int64)
+        index = [_narrow(np.diff(x, prepend=0)) for x in np.split(number, np.cumsum(lengths)[:-1])]
+        of_word = np.bincount(pairs // len(codes), minlength=len(order))
         n, slot = len(parts), key[0].as_py()
+        nulls = [None] * n
         columns = [
-            [slot] * (n + 1), [None, *parts], [hashes[order].tobytes(), *[None] * n], [of_word.tobytes(), *own_raw],
-            [(pairs % CONTEXTS).astype(np.uint16).tobytes(), *[None] * n], [total.tobytes(), *[None] * n], [None, *index],
+            [slot] * (n + 1), [None, *parts], [hashes[order].tobytes(), *nulls], [_narrow(of_word), *own_raw],
+            [codes.tobytes(), *nulls], [_narrow(pairs % len(codes)), *nulls], [_narrow(total), *nulls], [None, *index],
         ]
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_names(GATHERED))
 
     return packed.where("kind = 1").select("slot", "part", "data", "own", "context", "counts").repartition(blocks, "slot").groupBy("slot").applyInArrow(kernel, GATHERED)
 
 
-#: A block with its seating after a sweep, its share of the totals, and the sum of predictive probabilities so far.
-STATE = "slot int, hashes binary, own binary, context binary, counts binary, tables2 binary, tables1 binary, tables0 binary, mean binary, totals binary"
-
-
-def _narrow(x: np.ndarray) -> bytes:
-    """Integers in as few bytes as they need; the first byte says how many."""
-    top = int(x.max(initial=0))
-    kind = next(k for k in (1, 2, 4, 8) if top < 1 << (8 * k - 1))
-    return bytes([kind]) + x.astype(f"<i{kind}").tobytes()
-
-
-def _wide(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, f"<i{x[0]}", offset=1).astype(np.int64)
+#: What doesn't change of a block in a sweep.
+FIXED = ["slot", "hashes", "own", "codes", "context", "counts"]
+#: A block's seating after a sweep, its restaurants' customers in the whole corpus (null before the first), the sum of
+#: predictive probabilities so far, its own tables of each context's restaurant in the order of _dealt with the owners'
+#: bounds, and its share of the totals.
+STATE = "slot int, customers binary, tables2 binary, tables1 binary, tables0 binary, mean binary, sums binary, bounds binary, totals binary"
 
 
 def _block(row: dict) -> Block:
     tables = None if row.get("tables2") is None else [_wide(row[c]) for c in ("tables2", "tables1", "tables0")]
-    return Block(np.frombuffer(row["hashes"], np.uint64), np.frombuffer(row["own"], np.uint16), np.frombuffer(row["context"], np.uint16), _wide(row["counts"]), tables)
+    return Block(np.frombuffer(row["hashes"], np.uint64), _wide(row["own"]), _wide(row["context"]), _wide(row["counts"]), tables, np.frombuffer(row["codes"], np.uint64))
 
 
-def _state(row: dict, block: Block, mean: bytes | None) -> pa.RecordBatch:
-    values = [row["slot"], row["hashes"], row["own"], row["context"], row["counts"], *map(_narrow, (block.t2, block.t1, block.t0)), mean, block.totals().packed().tobytes()]
-    return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, [pa.int32(), *[pa.binary()] * 9], strict=True)], _names(STATE))
+def _state(row: dict, block: Block, customers: bytes | None, mean: bytes | None, dealt: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+    sums = np.bincount(block.context, weights=block.t2, minlength=len(block.codes)).astype(np.int64)
+    values = [row["slot"], customers, *map(_narrow, (block.t2, block.t1, block.t0)), mean, _narrow(sums[dealt[0]]), _narrow(dealt[1]), block.totals().packed().tobytes()]
+    return [pa.array([x], t) for x, t in zip(values, [pa.int32(), *[pa.binary()] * 8], strict=True)]
 
 
 def _rows(batches):
@@ -206,31 +246,116 @@ def _rows(batches):
         yield from batch.to_pylist()
 
 
-def seated_once(blocks: DataFrame) -> DataFrame:
+def seated_once(blocks: DataFrame, owners: int) -> DataFrame:
     """States in which every dish of a restaurant has one table."""
 
     def kernel(batches):
         for row in _rows(batches):
-            row["counts"] = _narrow(np.frombuffer(row["counts"], np.uint64).astype(np.int64))
-            yield _state(row, _block(row), None)
+            block = _block(row)
+            yield pa.RecordBatch.from_arrays(_state(row, block, None, None, _dealt(block.codes, owners)), _names(STATE))
 
-    return blocks.where("part IS NULL").select("slot", "hashes", "own", "context", "counts").mapInArrow(kernel, STATE)
+    return blocks.select(*FIXED).mapInArrow(kernel, STATE)
 
 
-def swept(states: DataFrame, totals: np.ndarray, hyper, number: int, keep: bool) -> DataFrame:
-    """States after sweep `number` (0: the start in expectation), and with `keep` its predictive probabilities added."""
+def swept(blocks: DataFrame, states: DataFrame, rooms: DataFrame, totals: np.ndarray, hyper, number: int, keep: bool, owners: int) -> DataFrame:
+    """States after sweep `number` (0: the start in expectation), and with `keep` its predictive probabilities added. rooms:
+    the restaurants' totals from their owners."""
 
-    def kernel(batches):
-        g = Totals.unpacked(totals)
+    def kernel(key, state, reply):
+        if not state.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int32(), *[pa.binary()] * 8)], names=_names(STATE))
+        row = state.to_pylist()[0]
+        block, mean = _block(row), row["mean"]
+        dealt = _dealt(block.codes, owners)
+        by_owner = sorted(reply.to_pylist(), key=lambda r: r["owner"])
+
+        def told(column: str) -> np.ndarray:
+            out = np.empty(len(block.codes), np.int64)
+            out[dealt[0]] = np.concatenate([_wide(r[column]) for r in by_owner])
+            return out
+
+        customers = _wide(row["customers"]) if row["customers"] is not None else told("customers")
+        g = Totals.unpacked(totals).local(customers.astype(float), told("tables").astype(float))
+        if keep:
+            p = block.predictive(g, hyper)
+            mean = (p if mean is None else np.frombuffer(mean, np.float32) + p).astype(np.float32).tobytes()
+        block.sweep(g, hyper, number) if number else block.start(g, hyper)
+        return pa.table(_state(row, block, row["customers"] or _narrow(customers), mean, dealt), names=_names(STATE))
+
+    rows = blocks.select(*FIXED).join(states.drop("sums", "bounds", "totals").hint("merge"), "slot")
+    return rows.groupBy("slot").cogroup(rooms.where("slot IS NOT NULL").select("slot", "owner", "customers", "tables").groupBy("slot")).applyInArrow(kernel, STATE)
+
+
+#: An owner's restaurants in one block (differences of their numbers), and with slot null the customers of all of them.
+OWNER = "owner int, slot int, index binary, customers binary"
+
+
+def owned(blocks: DataFrame, owners: int) -> DataFrame:
+    def sent(batches):
+        for row in _rows(batches):
+            codes = np.frombuffer(row["codes"], np.uint64)
+            customers = np.bincount(_wide(row["context"]), weights=_wide(row["counts"]), minlength=len(codes)).astype(np.int64)
+            order, at = _dealt(codes, owners)
+            held = [(o, order[at[o] : at[o + 1]]) for o in range(owners) if at[o] < at[o + 1]]
+            columns = [[o for o, _ in held], [row["slot"]] * len(held), [codes[x].tobytes() for _, x in held], [_narrow(customers[x]) for _, x in held]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["owner", "slot", "codes", "customers"])
+
+    def kernel(key, table):
+        codes = [np.frombuffer(x, np.uint64) for x in table.column("codes").to_pylist()]
+        all_codes, number = np.unique(np.concatenate(codes), return_inverse=True)
+        customers = np.bincount(number, weights=np.concatenate([_wide(x) for x in table.column("customers").to_pylist()]), minlength=len(all_codes)).astype(np.int64)
+        index = [_narrow(np.diff(x, prepend=0)) for x in np.split(number, np.cumsum([len(c) for c in codes])[:-1])]
+        columns = [[key[0].as_py()] * (len(codes) + 1), [None, *table.column("slot").to_pylist()], [None, *index], [_narrow(customers), *[None] * len(codes)]]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=_names(OWNER))
+
+    rows = blocks.select("slot", "codes", "context", "counts").mapInArrow(sent, "owner int, slot int, codes binary, customers binary")
+    return rows.repartition(owners, "owner").groupBy("owner").applyInArrow(kernel, OWNER)
+
+
+#: What an owner tells a block of the block's restaurants, in the order of _dealt; with slot null its seating_fit.
+ROOMS = "slot int, owner int, customers binary, tables binary, fit binary"
+
+
+def restaurant_totals(states: DataFrame, held: DataFrame, owners: int, first: bool) -> DataFrame:
+    """Tables, and at `first` customers, of each restaurant over all blocks, for every block that uses it."""
+
+    def sent(batches):
         for row in _rows(batches):
-            block, mean = _block(row), row["mean"]
-            if keep:
-                p = block.predictive(g, hyper)
-                mean = (p if mean is None else np.frombuffer(mean, np.float32) + p).astype(np.float32).tobytes()
-            block.sweep(g, hyper, number) if number else block.start(g, hyper)
-            yield _state(row, block, mean)
+            sums, at = _wide(row["sums"]), _wide(row["bounds"])
+            own = [o for o in range(owners) if at[o] < at[o + 1]]
+            columns = [own, [row["slot"]] * len(own), [_narrow(sums[at[o] : at[o + 1]]) for o in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["owner", "slot", "sums"])
+
+    def kernel(key, mine, sums):
+        by_slot = dict(zip(sums.column("slot").to_pylist(), sums.column("sums").to_pylist(), strict=True))
+        customers, slots, index = None, [], []
+        for slot, raw, c in zip(*(mine.column(x).to_pylist() for x in ("slot", "index", "customers")), strict=True):
+            if slot is None:
+                customers = _wide(c)
+            else:
+                slots.append(slot)
+                index.append(raw)
+        if customers is None:
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.binary()] * 3)], names=_names(ROOMS))
+        tables = np.zeros(len(customers), np.int64)
+        for slot, raw in zip(slots, index, strict=True):
+            tables[np.cumsum(_wide(raw))] += _wide(by_slot[slot])  # a block names a restaurant once
+        told = [np.cumsum(_wide(raw)) for raw in index]
+        n = len(slots)
+        columns = [
+            [*slots, None], [key[0].as_py()] * (n + 1), [*([_narrow(customers[x]) for x in told] if first else [None] * n), None],
+            [*[_narrow(tables[x]) for x in told], None], [*[None] * n, seating_fit(customers, tables).tobytes()],
+        ]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), *[pa.binary()] * 3), strict=True)], names=_names(ROOMS))
+
+    rows = states.select("slot", "sums", "bounds").mapInArrow(sent, "owner int, slot int, sums binary")
+    return held.groupBy("owner").cogroup(rows.groupBy("owner")).applyInArrow(kernel, ROOMS)
+
 
-    return states.drop("totals").mapInArrow(kernel, STATE)
+def summed_fit(rooms: DataFrame) -> np.ndarray:
+    """Over all restaurants of previous words; a row an owner."""
+    shape = len(DISCOUNTS), len(STRENGTHS)
+    return sum((np.frombuffer(r["fit"], np.float64).reshape(shape) for r in rooms.where("slot IS NULL").select("fit").collect()), np.zeros(shape))
 
 
 def summed_totals(states: DataFrame) -> np.ndarray:
@@ -247,27 +372,28 @@ def summed_totals(states: DataFrame) -> np.ndarray:
 REPLY = "part long, slot int, own binary, logp binary, known binary"
 
 
-def replies(states: DataFrame, index: DataFrame, kept: int) -> DataFrame:
+def replies(blocks: DataFrame, states: DataFrame, index: DataFrame, kept: int) -> DataFrame:
     """For each part its pairs' averaged log10 probabilities (float32) and its words' training counts."""
 
     def kernel(key, state, index):
         if not state.num_rows or not index.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), *[pa.binary()] * 3)], names=_names(REPLY))
         row = state.to_pylist()[0]
-        own, count = np.frombuffer(row["own"], np.uint16), _wide(row["counts"])
+        own, count = _wide(row["own"]), _wide(row["counts"])
         logp = np.log10(np.maximum(np.frombuffer(row["mean"], np.float32) / np.float32(kept), np.float32(1e-37))).astype(np.float32)
         word = np.repeat(np.arange(len(own)), own)
         known = np.bincount(word, weights=count, minlength=len(own)).astype(np.int64)
-        parts, owns = index.column("part"), index.column("own").to_pylist()
+        parts, owns = index.column("part"), index.column("mine").to_pylist()
         out_logp, out_known = [], []
         for raw, mine in zip(index.column("index").to_pylist(), owns, strict=True):
-            at = np.cumsum(np.frombuffer(raw, np.int32).astype(np.int64))
+            at = np.cumsum(_wide(raw))
             out_logp.append(logp[at].tobytes())
-            out_known.append(_narrow(known[word[at[_starts(np.frombuffer(mine, np.uint16))[:-1]]]]))
+            out_known.append(_narrow(known[word[at[_starts(_wide(mine))[:-1]]]]))
         slots = pa.array([row["slot"]] * len(owns), pa.int32())
         return pa.table([parts, slots, pa.array(owns, pa.binary()), pa.array(out_logp, pa.binary()), pa.array(out_known, pa.binary())], names=_names(REPLY))
 
-    return states.select("slot", "own", "counts", "mean").groupBy("slot").cogroup(index.groupBy("slot")).applyInArrow(kernel, REPLY)
+    rows = blocks.select("slot", "own", "counts").join(states.select("slot", "mean").hint("merge"), "slot")
+    return rows.groupBy("slot").cogroup(index.groupBy("block")).applyInArrow(kernel, REPLY)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -278,7 +404,7 @@ def _added(texts: DataFrame, answer: DataFrame, n_train: int, n_types: int) -> D
         order = np.argsort(reply.column("slot").to_numpy())
         own, logp, known = (reply.column(c).to_pylist() for c in ("own", "logp", "known"))
         logp = np.concatenate([np.frombuffer(logp[i], np.float32) for i in order])
-        known = np.concatenate([np.repeat(_wide(known[i]), np.frombuffer(own[i], np.uint16)) for i in order])
+        known = np.concatenate([np.repeat(_wide(known[i]), _wide(own[i])) for i in order])
         base = np.log10((known + 0.1) / (n_train + 0.1 * (n_types + 1)))
         seen = known > 0
         columns = [[] for _ in range(7)]
@@ -307,18 +433,25 @@ def model_scores(docs: DataFrame, blocks: int | None = None, sweeps: int = 6, bu
     """Scores of every row of docs (doc_id, text) under the model trained on the rows that are not held out."""
     blocks = blocks or blocks_for(docs)
     packed = written(tokenised(docs, blocks, part_tokens), "tokens", "kind", codec="zstd")
-    table = written(gathered(packed, blocks), "blocks", codec="zstd")
+    table = bucketed(gathered(packed, blocks), "blocks", blocks, "slot")
     delete_path(docs.sparkSession, f"{packed.written_path}/kind=1")  # the blocks have taken it in
-    states = written(seated_once(table), "states", codec="zstd")
+    owners = 1 + blocks // OWNED
+    fixed = table.where("part IS NULL")
+    states = bucketed(seated_once(fixed, owners), "states", blocks, "slot")
+    held = bucketed(owned(fixed, owners), "owners", owners, "owner")
     totals, hyper = summed_totals(states), START
     for number in range(sweeps + 1):
-        new = written(swept(states, totals, hyper, number, number > burn_in), "states", codec="zstd")
-        dropped(states)
+        rooms = written(restaurant_totals(states, held, owners, not number), "rooms", codec="zstd")
+        if number > 1:
+            hyper = Totals.unpacked(totals).hyper(seed + number - 1, summed_fit(rooms))
+        new = bucketed(swept(fixed, states, rooms, totals, hyper, number, number > burn_in, owners), "states", blocks, "slot")
+        gone(states)
+        dropped(rooms)
         states, totals = new, summed_totals(new)
-        if number:
-            hyper = Totals.unpacked(totals).hyper(seed + number)
+    gone(held)
     last = Totals.unpacked(totals)
-    answer = replies(states, table.where("part IS NOT NULL").select("slot", "part", "own", "index"), max(1, sweeps - burn_in))
+    index = table.where("part IS NOT NULL").selectExpr("slot AS block", "part", "own AS mine", "index")
+    answer = replies(fixed, states, index, max(1, sweeps - burn_in))
     return _added(packed.where("kind = 0").select("part", "slot", "doc_id", "held", "data"), answer, int(last.c[2].sum()), int(last.types))
 
 

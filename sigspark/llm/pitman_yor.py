@@ -1,6 +1,6 @@
 """Seating in a hierarchy of Pitman-Yor restaurants, kept as table counts and sampled by Gibbs.
 
-Three levels: buckets of the previous word (level 2) share the restaurants of its class as parents (level 1), and these
+Three levels: a restaurant for each previous word (level 2) has that of the word's class as parent (level 1), and these
 share the root (level 0), whose base is uniform. A table of a restaurant is a customer of its parent. How a dish's
 customers are spread over its tables is exchangeable and integrated out: the state is the number of tables t of each
 (restaurant, dish) with c customers, whose weight is the generalised Stirling number S_d(c, t). A Gibbs step removes the
@@ -9,9 +9,10 @@ customers of one (restaurant, dish) and draws its t from the exact conditional g
     d^t Gamma(theta/d + T + t) S_d(c, t) * S_d'(c' + t, t') / Gamma(theta' + C' + t)
 
 with T the restaurant's other tables and c', t', C' its parent's other customers of the dish, tables of it and customers.
-Steps of one word run one after another. Words meet only in the restaurants' totals, which are those at the start of
-the sweep: the usual parallel form of Gibbs sampling, so that a sweep is one pass and its result does not depend on
-how words are dealt into blocks. Random numbers are hashes of (word, restaurant, sweep).
+Steps of one dish run one after another, up to FAN restaurants of a class; where a dish is in more of them, they take
+turns in FAN rounds, and those of a round see the parent's counts at its start. Dishes meet only in the restaurants' totals,
+which are those at the start of the sweep: the usual parallel form of Gibbs sampling, so that a sweep is one pass and its
+result does not depend on how words are dealt into blocks. Random numbers are hashes of (word, restaurant, sweep).
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ import numpy as np
 
 CLASSES, FAN = 34, 16
 CONTEXTS = CLASSES * FAN
+#: A previous word's restaurant: its class above so many bits of the word's hash.
+CLASS_SHIFT = 58
 SIZES = (1, CLASSES, CONTEXTS)
 #: Candidate discounts and strengths; each level draws its pair from the posterior over this grid.
 DISCOUNTS, STRENGTHS = (0.3, 0.45, 0.6, 0.7, 0.8, 0.87, 0.93), (0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0)
@@ -133,9 +136,39 @@ def log_stirling(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
     out = np.where(small & (t > TABLED), -np.inf, out)
     if not small.all():
         at = np.flatnonzero(~small.ravel())
-        pairs, back = np.unique(np.column_stack([c.ravel()[at], t.ravel()[at]]), axis=0, return_inverse=True)
         out = out.copy()
-        out.ravel()[at] = _large(d, pairs[:, 0], pairs[:, 1])[back.ravel()]
+        out.ravel()[at] = _large(d, c.ravel()[at], t.ravel()[at])
+    return out
+
+
+def stirling_run(d: float, c: np.ndarray, t: np.ndarray, m: int) -> np.ndarray:
+    """log S_d(c + 1, t) to log S_d(c + m, t) by row, but for a term that a row shares. Where the alternating sum serves, its
+    terms grow from one count to the next by c - jd."""
+    out = np.empty((len(c), m))
+    served = (c + 1 > TABLED) & (t >= 1) & (t / (c + 1.0) ** d <= TERMS[-1][0])
+    rest = np.flatnonzero(~served)
+    if len(rest):
+        out[rest] = log_stirling(d, c[rest, None] + np.arange(1, m + 1), t[rest, None])
+    band = np.searchsorted([x for x, _ in TERMS], t / (c + 1.0) ** d)
+    for k in range(len(TERMS)):
+        own = np.flatnonzero(served & (band == k))
+        j = np.arange(1, TERMS[k][1] + 1)
+        j = j[j <= int(4 * REACH / (1 - d)) + 1]
+        sine = np.sin(np.pi * ((j * d) % 2))
+        known = lgamma(1 + j * d) + np.log(np.maximum(np.abs(sine), 1e-300)) - math.log(math.pi) - log_factorial(j)
+        sign = np.where(np.abs(sine) < 1e-12, 0.0, np.where(j % 2 == 1, 1.0, -1.0) * np.sign(sine))
+        for at in np.array_split(own, -(-len(own) * len(j) // 500_000)) if len(own) else []:
+            cc, tt = c[at, None] + 1.0, t[at, None]
+            live = j <= tt
+            size = known + lgamma(np.where(live, cc - j * d, 100.0)) - log_factorial(np.where(live, tt - j, 0))
+            term = np.where(live, sign * np.exp(np.minimum(size - size[:, :1], 700)), 0.0)
+            grown = np.zeros(len(at))
+            for i in range(m):
+                if i:
+                    by = cc[:, 0] + (i - 1)
+                    term *= (by[:, None] - j * d) / (by - d)[:, None]
+                    grown += np.log(by - d)
+                out[at, i] = grown + np.log(np.maximum(term.sum(axis=1), 1e-300))
     return out
 
 
@@ -191,7 +224,8 @@ def drawn(sweep: int, key: np.ndarray, c: np.ndarray, t: np.ndarray, hyper: tupl
             held = others[at] + m <= TABLED
             w[held] += stirling_table(d_up)[sums[held], tables[at[held], None]]
             if not held.all():
-                w[~held] += log_stirling(d_up, sums[~held], tables[at[~held], None])
+                far = at[~held]
+                w[~held] += stirling_run(d_up, others[far], tables[far], m)
             w[:, 1:] += np.log(grow).cumsum(axis=1)
         else:
             w[:, 1:] += np.log(grow).cumsum(axis=1) + base * step
@@ -222,9 +256,19 @@ def drawn(sweep: int, key: np.ndarray, c: np.ndarray, t: np.ndarray, hyper: tupl
     return out
 
 
+def seating_fit(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """By candidate discount and strength: the log weight of restaurants with c customers at t tables, but for the Stirling
+    numbers of their dishes."""
+    live = c > 0
+    pairs, n = np.unique(np.column_stack([c[live], t[live]]).astype(np.int64), axis=0, return_counts=True)
+    c, t = pairs[:, 0].astype(float), pairs[:, 1].astype(float)
+    return np.array([[float(np.sum(n * ((t - 1) * math.log(d) + lgamma(s / d + t) - lgamma(s / d + 1.0) - lgamma(s + c) + lgamma(s + 1.0)))) for s in STRENGTHS] for d in DISCOUNTS])
+
+
 class Totals:
     """Customers and tables of every restaurant by level, the number of words, and for each level the sum of
-    log S_d(c, t) at every candidate discount: the only state that blocks share."""
+    log S_d(c, t) at every candidate discount: what all blocks share. Of previous words' restaurants c[2] and t[2] have
+    sums by class, at the class's first number; a block is given those it uses in `local`."""
 
     LENGTH = 2 * sum(SIZES) + 1 + 3 * len(DISCOUNTS)
 
@@ -239,13 +283,17 @@ class Totals:
         parts = np.split(np.asarray(x, float), np.cumsum([*SIZES, *SIZES, 1])[:7])
         return Totals(parts[:3], parts[3:6], float(parts[6][0]), parts[7].reshape(3, len(DISCOUNTS)))
 
-    def hyper(self, seed: int) -> tuple[tuple[float, float], ...]:
-        """For each level a discount and strength drawn from their posterior over the grid."""
+    def local(self, customers: np.ndarray, tables: np.ndarray) -> Totals:
+        """With the customers and tables of a block's own restaurants of previous words."""
+        return Totals([*self.c[:2], customers], [*self.t[:2], tables], self.types, self.fit)
+
+    def hyper(self, seed: int, words: np.ndarray | None = None) -> tuple[tuple[float, float], ...]:
+        """For each level a discount and strength drawn from their posterior over the grid. words: seating_fit of the
+        previous words' restaurants."""
         rng, out = np.random.default_rng([20, seed]), []
         for level in range(3):
-            c, t = self.c[level], self.t[level]
-            c, t = c[c > 0], t[c > 0]
-            w = np.array([[self.fit[level, i] + float(np.sum((t - 1) * math.log(d) + lgamma(s / d + t) - lgamma(s / d + 1.0) - lgamma(s + c) + lgamma(s + 1.0))) for s in STRENGTHS] for i, d in enumerate(DISCOUNTS)])
+            rooms = seating_fit(self.c[level], self.t[level]) if words is None or level < 2 else words
+            w = self.fit[level][:, None] + rooms
             p = np.exp(w - w.max())
             at = int(rng.choice(p.size, p=(p / p.sum()).ravel()))
             out.append((DISCOUNTS[at // len(STRENGTHS)], STRENGTHS[at % len(STRENGTHS)]))
@@ -253,15 +301,21 @@ class Totals:
 
 
 class Block:
-    """All restaurants' dishes for some words. own: contexts of each word; context, count: by pair, sorted by word and context."""
+    """All restaurants' dishes for some words. own: contexts of each word; context, count: by pair, sorted by word and context.
+    codes: the restaurants of previous words that the block's contexts number, in ascending order; without them a context is
+    its class times FAN and a number."""
 
-    def __init__(self, hashes: np.ndarray, own: np.ndarray, context: np.ndarray, count: np.ndarray, tables=None):
+    def __init__(self, hashes: np.ndarray, own: np.ndarray, context: np.ndarray, count: np.ndarray, tables=None, codes: np.ndarray | None = None):
         self.hashes, self.context, self.count = hashes.astype(np.uint64), context.astype(np.int64), count.astype(np.int64)
         n = len(hashes)
         self.word = np.repeat(np.arange(n), own)
-        group, self.up, sizes = np.unique(self.word * CLASSES + self.context // FAN, return_inverse=True, return_counts=True)
+        self.codes = codes
+        self.class_of = np.arange(CONTEXTS) // FAN if codes is None else (codes >> np.uint64(CLASS_SHIFT)).astype(np.int64)
+        group, self.up = np.unique(self.word * CLASSES + self.class_of[self.context], return_inverse=True)
         self.group_word, self.group_class = group // CLASSES, group % CLASSES
-        self.nth = np.arange(len(self.word)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.open = np.flatnonzero(self.count > 1)
+        sizes = np.bincount(self.up[self.open], minlength=len(group))
+        self.round = (np.arange(len(self.open)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) % FAN
         of_word = np.bincount(self.group_word, minlength=n)
         self.group_nth = np.arange(len(group)) - np.repeat(np.cumsum(of_word) - of_word, of_word)
         self.known = np.bincount(self.word, weights=self.count, minlength=n).astype(np.int64)
@@ -281,8 +335,9 @@ class Block:
 
     def totals(self) -> Totals:
         sums = lambda key, x, n: np.bincount(key, weights=x, minlength=n)
-        c = [np.array([float(self.c0.sum())]), sums(self.group_class, self.c1, CLASSES), sums(self.context, self.count, CONTEXTS)]
-        t = [np.array([float(self.t0.sum())]), sums(self.group_class, self.t1, CLASSES), sums(self.context, self.t2, CONTEXTS)]
+        place = self.context if self.codes is None else self.class_of[self.context] * FAN
+        c = [np.array([float(self.c0.sum())]), sums(self.group_class, self.c1, CLASSES), sums(place, self.count, CONTEXTS)]
+        t = [np.array([float(self.t0.sum())]), sums(self.group_class, self.t1, CLASSES), sums(place, self.t2, CONTEXTS)]
         fit = np.zeros((3, len(DISCOUNTS)))
         for level, (a, b) in enumerate(((self.c0, self.t0), (self.c1, self.t1), (self.count, self.t2))):
             narrow = (a > 1) & (a < 256)
@@ -295,7 +350,7 @@ class Block:
         return Totals(c, t, float((self.known > 0).sum()), fit)
 
     def predictive(self, g: Totals, hyper) -> np.ndarray:
-        """P(word | bucket) of the block's pairs; p0 and p1 are those of the root and the class."""
+        """P(word | context) of the block's pairs; p0 and p1 are those of the root and the class."""
         (d0, s0), (d1, s1), (d2, s2) = hyper
         p0 = (np.maximum(self.c0 - d0 * self.t0, 0) + (s0 + d0 * g.t[0][0]) / (g.types + 1)) / (s0 + g.c[0][0])
         k = self.group_class
@@ -318,20 +373,23 @@ class Block:
         self.t0 = expected_tables(self.c0, (s0 + d0 * (g.t[0][0] - 1)) * base, d0, d0 * base)
 
     def sweep(self, g: Totals, hyper, number: int) -> None:
-        """Draws every table count once, from the buckets up."""
+        """Draws every table count once, from the previous words up."""
         (d0, s0), (d1, s1), _ = hyper
         mark = np.uint64(number * 3 * 0x9E3779B97F4A7C15 % 2**64)
         seat = lambda at, level, where: site_keys(self.hashes[at], where, mark ^ np.uint64(level))
-        open_ = np.flatnonzero(self.count > 1)
+        where = self.context if self.codes is None else self.codes[self.context]
         for r in range(FAN):
-            p = open_[self.nth[open_] == r]
+            p = self.open[self.round == r]
             if len(p):
                 up, old = self.up[p], self.t2[p]
-                others = self.c1[up] - old
                 customers = g.c[1][self.group_class[up]] - old
-                parent = (d1, s1, others, self.t1[up], customers)
-                self.t2[p] = drawn(number, seat(self.word[p], 2, self.context[p]), self.count[p], old, hyper[2], g.t[2][self.context[p]] - old, parent)
-                self.c1[up] = others + self.t2[p]
+                parent = (d1, s1, self.c1[up] - old, self.t1[up], customers)
+                self.t2[p] = drawn(number, seat(self.word[p], 2, where[p]), self.count[p], old, hyper[2], g.t[2][self.context[p]] - old, parent)
+                np.add.at(self.c1, up, self.t2[p] - old)
+        if (self.t1 > self.c1).any():  # restaurants of one round may give up the same tables
+            self.t1 = np.minimum(self.t1, self.c1)
+            self.c0 = self._c0()
+            self.t0 = np.minimum(self.t0, self.c0)
         open_ = np.flatnonzero(self.c1 > 1)
         self.t1[self.c1 == 1] = 1
         for r in range(CLASSES):
