@@ -5,10 +5,12 @@ base is uniform over the vocabulary and one unknown word. A class is a word's la
 of a text, which is a restaurant of its own). Customers are the training tokens. Seating, its Gibbs sampler and the draw of
 discounts and strengths are in pitman_yor.py; predictive probabilities are averaged over the sweeps after burn-in.
 
-Data flow: a task cuts its documents into parts, keeps each part's tokens as numbers of the part's distinct (word, previous
-word) pairs, and sends the pairs and their training counts, packed, to the words' blocks (ranges of the word's hash). Words
-are told apart by their bytes, previous words by class and 58 bits of their hash. A sweep is one pass over blocks, whose
-state is written after it. A previous word's restaurant has dishes in many blocks: after each sweep the blocks send its tables
+Data flow: a task cuts its documents into parts, and each part is kept as its words and its tokens, numbers of these. A part's
+distinct (word, previous word) pairs and their training counts are made of it and go, packed, through one shuffle to the
+words' blocks (ranges of the word's hash); they are in no table of their own, and made again to add up scores. Words are told
+apart by their bytes, previous words by class and 58 bits of their hash. A sweep is one pass over blocks, whose state is
+written after it. What no later step reads is deleted: tables after their last reader, shuffle files by a collection of the
+driver's garbage. A previous word's restaurant has dishes in many blocks: after each sweep the blocks send its tables
 to its owner (a range of the previous word's hash), which sends the totals back to the blocks that use it; blocks and owners
 are bucketed tables, so only these numbers move. The totals of classes and root and the sums that discounts and strengths are
 drawn from (some 1,300 numbers) pass the driver. Blocks send the pairs' log-probabilities back, and each part adds up its
@@ -23,8 +25,10 @@ unknown; an empty table gives no rows; extra columns are ignored; texts of any l
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 import zlib
+from collections import defaultdict
 from itertools import count
 
 import numpy as np
@@ -51,10 +55,12 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(("null" if doc_id is None else str(doc_id)).encode()) % 10 == 0
 
 
-def restaurant(word: bytes, hashed: int) -> int:
-    """The restaurant of what follows a word: its class, then its hash."""
-    last = word[-1] if word else 33
-    return (32 if last >= 128 else last & 31) << CLASS_SHIFT | hashed >> 64 - CLASS_SHIFT
+def restaurants(vocab: list[bytes], hashes: np.ndarray) -> np.ndarray:
+    """The restaurants of what follows each word: its class, then its hash."""
+    joined = np.frombuffer(b" ".join(vocab) + b" ", np.uint8)
+    last = joined[np.flatnonzero(joined == 32) - 1].astype(np.uint64)
+    last[last == 32] = 33  # the empty word
+    return np.where(last >= 128, np.uint64(32), last & np.uint64(31)) << np.uint64(CLASS_SHIFT) | hashes >> np.uint64(64 - CLASS_SHIFT)
 
 
 BEGIN = (CLASSES - 1) << CLASS_SHIFT
@@ -68,22 +74,52 @@ def _dealt(codes: np.ndarray, owners: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(owner[order], np.arange(owners + 1))
 
 
+def _zipped(x: bytes) -> bytes:
+    """Packed by zstd below the length, which comes first."""
+    return len(x).to_bytes(8, "little") + pa.Codec("zstd").compress(x, asbytes=True)
+
+
+def _unzipped(x: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(x[8:], int.from_bytes(x[:8], "little"), asbytes=True)
+
+
 def _narrow(x: np.ndarray) -> bytes:
-    """Integers in as few bytes as they need; the first byte says how many."""
+    """Integers in as few bytes as they need, zipped; the first byte says how many."""
     top = int(np.abs(x).max(initial=0))
     kind = next(k for k in (1, 2, 4, 8) if top < 1 << (8 * k - 1))
-    return bytes([kind]) + x.astype(f"<i{kind}").tobytes()
+    return _zipped(bytes([kind]) + x.astype(f"<i{kind}").tobytes())
 
 
 def _wide(x: bytes) -> np.ndarray:
+    x = _unzipped(x)
     return np.frombuffer(x, f"<i{x[0]}", offset=1).astype(np.int64)
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, key: str) -> DataFrame:
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers from 0 as all their lowest bytes, then all the next, as many as they need; the first byte says how many."""
+    width = next(k for k in (1, 2, 3, 4) if int(x.max(initial=0)) < 1 << 8 * k)
+    return bytes([width]) + x.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width].T.tobytes()
+
+
+def _unplaned(x: bytes) -> np.ndarray:
+    planes = np.frombuffer(x, np.uint8, offset=1).reshape(x[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : x[0]] = planes.T
+    return out.view("<u4").ravel().astype(np.int64)
+
+
+def freed(spark) -> None:
+    """Shuffle files that nothing refers to any more go when the driver's garbage is collected, which may else take long."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, key: str, *partition_by: str) -> DataFrame:
     """Written once like written(), in buckets of key, so that what is grouped by key later doesn't move."""
     spark = df.sparkSession
     path, table = f"{shared_folder(spark)}/{uuid.uuid4().hex}/{name}", f"lm_{name}_{uuid.uuid4().hex}"
-    df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).option("path", path).saveAsTable(table)
+    writer = df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).option("path", path)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
     atexit.register(_forget, spark, path)
     out = spark.table(table)
     out.written_path, out.table_name = path, table
@@ -101,90 +137,108 @@ def _starts(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate((np.zeros(1, np.int64), np.cumsum(lengths, dtype=np.int64)))
 
 
-def packed_part(part: int, ids: list, lists: list[np.ndarray], held: list[bool], vocab: list[bytes], blocks: int):
-    """Rows of one part: its documents as pair numbers (3 bytes each, or 4), and one row of packed pairs for each block."""
-    lengths = np.array([len(x) for x in lists], np.int64)
-    at = _starts(lengths)
-    tokens = np.concatenate(lists)
-    hashed = [xxhash.xxh3_64_intdigest(w) for w in vocab]
-    hashes = np.array(hashed, np.uint64)
-    by_hash = np.argsort(hashes, kind="stable").astype(np.int32)
-    rank = np.empty(len(vocab), np.int32)
-    rank[by_hash] = np.arange(len(vocab), dtype=np.int32)
-    rooms, follow = np.unique(np.array([*map(restaurant, vocab, hashed), BEGIN], np.uint64), return_inverse=True)
-    code = rank[tokens].astype(np.int64) * len(rooms)
-    begin = code[at[:-1]] + follow[-1]
-    code[1:] += follow[tokens[:-1]]
-    code[at[:-1]] = begin
-    pairs, number = np.unique(code, return_inverse=True)
-    train = np.repeat(~np.array(held, bool), lengths)
-    counts = np.bincount(number[train], minlength=len(pairs))
-    context = rooms[pairs % len(rooms)]
-    own = np.bincount(pairs // len(rooms), minlength=len(vocab))
-    width = 3 if len(pairs) < 1 << 24 else 4
-    raw = number.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]
-    for d, (doc, is_held) in enumerate(zip(ids, held, strict=True)):
-        yield 0, part, width, doc, is_held, raw[at[d] : at[d + 1]].tobytes(), None, None, None
-    # A block is a range of hashes, so each block's pairs are a stretch of the part's pairs.
-    slot = (hashes[by_hash] >> np.uint64(32)).astype(np.int64) * blocks >> 32
-    bounds, first = np.searchsorted(slot, np.arange(blocks + 1)), _starts(own)
-    for b in np.unique(slot):
-        w, p = slice(bounds[b], bounds[b + 1]), slice(first[bounds[b]], first[bounds[b + 1]])
-        yield 1, part, int(b), None, None, b" ".join([vocab[i] for i in by_hash[w]]), _narrow(own[w]), context[p].tobytes(), _narrow(counts[p])
-
-
-PACKED = "kind int, part long, slot int, doc_id long, held boolean, data binary, own binary, context binary, counts binary"
+#: Words (joined) and tokens (numbers of words), and by document its doc_id, whether it is held out, and its tokens.
+PARTS = "part long, vocab binary, tokens binary, lengths binary, doc_id array<long>, held array<boolean>"
+#: What a part sends to a block of the block's words: the words, and by word how many pairs it has; by pair its context's
+#: restaurant and its training count.
+PACKED = "slot int, part long, data binary, own binary, context binary, counts binary"
 
 
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
-def tokenised(docs: DataFrame, blocks: int, part_tokens: int) -> DataFrame:
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), *[pa.binary()] * 4]
+def numbering() -> defaultdict:
+    """A number for each word asked for, in the order of asking."""
+    numbers = defaultdict()
+    numbers.default_factory = numbers.__len__
+    return numbers
+
+
+def tokenised(docs: DataFrame, part_tokens: int) -> DataFrame:
+    types = [pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.bool_())]
 
     def kernel(batches):
         task, parts = TaskContext.get().partitionId(), count()
 
         def flush():
-            rows, size = [], 0
-            for row in packed_part(task << 24 | next(parts), ids, lists, held, list(numbers), blocks):
-                rows.append(row)
-                size += sum(len(x) for x in row[5:] if x)
-                if size > 1 << 22:
-                    yield batch_of(rows)
-                    rows, size = [], 0
-            if rows:
-                yield batch_of(rows)
+            row = task << 24 | next(parts), _zipped(b" ".join(numbers)), _zipped(_planes(np.concatenate(lists))), _narrow(np.array([len(x) for x in lists])), ids, held
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], _names(PARTS))
 
-        def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _names(PACKED))
-
-        ids, lists, held, numbers, n = [], [], [], {}, 0
+        ids, lists, held, numbers, n = [], [], [], numbering(), 0
         for batch in small_batches(batches):
             for doc, text in zip(batch.column(0).to_pylist(), texts_as_bytes(batch.column(1)), strict=True):
                 words = text.lower().split()
                 words.append(END)
-                try:
-                    lists.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                except KeyError:
-                    lists.append(np.fromiter([numbers.setdefault(w, len(numbers)) for w in words], np.int32, len(words)))
+                lists.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 ids.append(doc)
                 held.append(held_out(doc))
                 n += len(words)
                 if n >= part_tokens:
-                    yield from flush()
-                    ids, lists, held, numbers, n = [], [], [], {}, 0
+                    yield flush()
+                    ids, lists, held, numbers, n = [], [], [], numbering(), 0
         if ids:
-            yield from flush()
+            yield flush()
+
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(kernel, PARTS)
+
+
+class Part:
+    """The pairs of a part, by the word's hash and the context's restaurant, and the number of each token's pair."""
+
+    def __init__(self, row: dict):
+        self.vocab, self.lengths = _unzipped(row["vocab"]).split(b" "), _wide(row["lengths"])
+        tokens, at = _unplaned(_unzipped(row["tokens"])), _starts(self.lengths)
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.vocab), np.uint64, len(self.vocab))
+        self.by_hash = np.argsort(self.hashes, kind="stable")
+        rank = np.empty(len(self.vocab), np.int64)
+        rank[self.by_hash] = np.arange(len(self.vocab))
+        rooms, follow = np.unique(np.append(restaurants(self.vocab, self.hashes), np.uint64(BEGIN)), return_inverse=True)
+        code = rank[tokens] * len(rooms)
+        begin = code[at[:-1]] + follow[-1]
+        code[1:] += follow[tokens[:-1]]
+        code[at[:-1]] = begin
+        pairs, self.number = np.unique(code, return_inverse=True)
+        self.word, self.context = pairs // len(rooms), rooms[pairs % len(rooms)]
+
+    def packed(self, part: int, held: list[bool], blocks: int):
+        """One row for each block. A block is a range of hashes, so its pairs are a stretch of the part's."""
+        train = np.repeat(~np.array(held, bool), self.lengths)
+        counts = np.bincount(self.number[train], minlength=len(self.word))
+        own = np.bincount(self.word, minlength=len(self.vocab))
+        slot = (self.hashes[self.by_hash] >> np.uint64(32)).astype(np.int64) * blocks >> 32
+        bounds, first = np.searchsorted(slot, np.arange(blocks + 1)), _starts(own)
+        for b in np.unique(slot):
+            w, p = slice(bounds[b], bounds[b + 1]), slice(first[bounds[b]], first[bounds[b + 1]])
+            words = b" ".join([self.vocab[i] for i in self.by_hash[w].tolist()])
+            yield int(b), part, _zipped(words), _narrow(own[w]), _zipped(self.context[p].tobytes()), _narrow(counts[p])
+
+
+def packed(parts: DataFrame, blocks: int) -> DataFrame:
+    types = [pa.int32(), pa.int64(), *[pa.binary()] * 4]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], _names(PACKED))
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(kernel, PACKED)
+    def kernel(batches):
+        for row in _rows(batches):
+            rows, size = [], 0
+            for x in Part(row).packed(row["part"], row["held"], blocks):
+                rows.append(x)
+                size += sum(map(len, x[2:]))
+                if size > 1 << 22:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+            if rows:
+                yield batch_of(rows)
 
+    return parts.select("part", "vocab", "tokens", "lengths", "held").mapInArrow(kernel, PACKED)
 
-#: A block's row (part null): hashes of its words, contexts a word, codes of its contexts' restaurants, and by pair the
-#: context's number among these and the count. An index row: which of the block's pairs a part holds (differences of their
+
+#: A block's row (kind 0, part null): hashes of its words, contexts a word, codes of its contexts' restaurants, and by pair the
+#: context's number among these and the count. An index row (kind 1): which of the block's pairs a part holds (differences of their
 #: numbers) and the part's own contexts a word.
-GATHERED = "slot int, part long, hashes binary, own binary, codes binary, context binary, counts binary, index binary"
+GATHERED = "kind int, slot int, part long, hashes binary, own binary, codes binary, context binary, counts binary, index binary"
 
 
 def gathered(packed: DataFrame, blocks: int) -> DataFrame:
@@ -192,14 +246,14 @@ def gathered(packed: DataFrame, blocks: int) -> DataFrame:
 
     def kernel(key, table):
         parts = table.column("part").to_pylist()
-        lists = [x.split(b" ") for x in table.column("data").to_pylist()]
+        lists = [_unzipped(x).split(b" ") for x in table.column("data").to_pylist()]
         own_raw = table.column("own").to_pylist()
         own = [_wide(x) for x in own_raw]
-        context = [np.frombuffer(x, np.uint64) for x in table.column("context").to_pylist()]
+        context = [np.frombuffer(_unzipped(x), np.uint64) for x in table.column("context").to_pylist()]
         counts = np.concatenate([_wide(x) for x in table.column("counts").to_pylist()])
-        numbers: dict[bytes, int] = {}
-        word = [np.fromiter([numbers.setdefault(w, len(numbers)) for w in words], np.int64, len(words)) for words in lists]
-        hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in numbers], np.uint64)
+        numbers = numbering()
+        word = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in lists]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
         order = np.argsort(hashes, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
@@ -213,13 +267,13 @@ def gathered(packed: DataFrame, blocks: int) -> DataFrame:
         n, slot = len(parts), key[0].as_py()
         nulls = [None] * n
         columns = [
-            [slot] * (n + 1), [None, *parts], [hashes[order].tobytes(), *nulls], [_narrow(of_word), *own_raw],
+            [0, *[1] * n], [slot] * (n + 1), [None, *parts], [hashes[order].tobytes(), *nulls], [_narrow(of_word), *own_raw],
             [codes.tobytes(), *nulls], [_narrow(pairs % len(codes)), *nulls], [_narrow(total), *nulls], [None, *index],
         ]
-        types = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
+        types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 6]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_names(GATHERED))
 
-    return packed.where("kind = 1").select("slot", "part", "data", "own", "context", "counts").repartition(blocks, "slot").groupBy("slot").applyInArrow(kernel, GATHERED)
+    return packed.repartition(blocks, "slot").groupBy("slot").applyInArrow(kernel, GATHERED)
 
 
 #: What doesn't change of a block in a sweep.
@@ -235,9 +289,9 @@ def _block(row: dict) -> Block:
     return Block(np.frombuffer(row["hashes"], np.uint64), _wide(row["own"]), _wide(row["context"]), _wide(row["counts"]), tables, np.frombuffer(row["codes"], np.uint64))
 
 
-def _state(row: dict, block: Block, customers: bytes | None, mean: bytes | None, dealt: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
+def _state(row: dict, block: Block, customers: bytes | None, mean: bytes | None, dealt: tuple[np.ndarray, np.ndarray], fitted: bool) -> list[pa.Array]:
     sums = np.bincount(block.context, weights=block.t2, minlength=len(block.codes)).astype(np.int64)
-    values = [row["slot"], customers, *map(_narrow, (block.t2, block.t1, block.t0)), mean, _narrow(sums[dealt[0]]), _narrow(dealt[1]), block.totals().packed().tobytes()]
+    values = [row["slot"], customers, *map(_narrow, (block.t2, block.t1, block.t0)), mean, _narrow(sums[dealt[0]]), _narrow(dealt[1]), block.totals(fitted).packed().tobytes()]
     return [pa.array([x], t) for x, t in zip(values, [pa.int32(), *[pa.binary()] * 8], strict=True)]
 
 
@@ -252,38 +306,68 @@ def seated_once(blocks: DataFrame, owners: int) -> DataFrame:
     def kernel(batches):
         for row in _rows(batches):
             block = _block(row)
-            yield pa.RecordBatch.from_arrays(_state(row, block, None, None, _dealt(block.codes, owners)), _names(STATE))
+            yield pa.RecordBatch.from_arrays(_state(row, block, None, None, _dealt(block.codes, owners), False), _names(STATE))
 
     return blocks.select(*FIXED).mapInArrow(kernel, STATE)
 
 
+def _told(state: pa.Table, reply: pa.Table, owners: int, totals: np.ndarray):
+    """A block's row, the block, its order of restaurants by owner, their customers, and the totals as it needs them."""
+    row = state.to_pylist()[0]
+    block = _block(row)
+    dealt = _dealt(block.codes, owners)
+    by_owner = sorted(reply.to_pylist(), key=lambda r: r["owner"])
+
+    def told(column: str) -> np.ndarray:
+        out = np.empty(len(block.codes), np.int64)
+        out[dealt[0]] = np.concatenate([_wide(r[column]) for r in by_owner])
+        return out
+
+    customers = _wide(row["customers"]) if row["customers"] is not None else told("customers")
+    return row, block, dealt, customers, Totals.unpacked(totals).local(customers.astype(float), told("tables").astype(float))
+
+
+def _added_up(row: dict, block: Block, g: Totals, hyper) -> np.ndarray:
+    p = block.predictive(g, hyper)
+    return (p if row["mean"] is None else np.frombuffer(row["mean"], np.float32) + p).astype(np.float32)
+
+
+def _seen(blocks: DataFrame, states: DataFrame, rooms: DataFrame):
+    rows = blocks.select(*FIXED).join(states.drop("sums", "bounds", "totals").hint("merge"), "slot")
+    return rows.groupBy("slot").cogroup(rooms.where("slot IS NOT NULL").select("slot", "owner", "customers", "tables").groupBy("slot"))
+
+
 def swept(blocks: DataFrame, states: DataFrame, rooms: DataFrame, totals: np.ndarray, hyper, number: int, keep: bool, owners: int) -> DataFrame:
-    """States after sweep `number` (0: the start in expectation), and with `keep` its predictive probabilities added. rooms:
-    the restaurants' totals from their owners."""
+    """States after sweep `number` (0: the start in expectation), and with `keep` the predictive probabilities before it added.
+    rooms: the restaurants' totals from their owners."""
 
     def kernel(key, state, reply):
         if not state.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int32(), *[pa.binary()] * 8)], names=_names(STATE))
-        row = state.to_pylist()[0]
-        block, mean = _block(row), row["mean"]
-        dealt = _dealt(block.codes, owners)
-        by_owner = sorted(reply.to_pylist(), key=lambda r: r["owner"])
-
-        def told(column: str) -> np.ndarray:
-            out = np.empty(len(block.codes), np.int64)
-            out[dealt[0]] = np.concatenate([_wide(r[column]) for r in by_owner])
-            return out
-
-        customers = _wide(row["customers"]) if row["customers"] is not None else told("customers")
-        g = Totals.unpacked(totals).local(customers.astype(float), told("tables").astype(float))
-        if keep:
-            p = block.predictive(g, hyper)
-            mean = (p if mean is None else np.frombuffer(mean, np.float32) + p).astype(np.float32).tobytes()
+        row, block, dealt, customers, g = _told(state, reply, owners, totals)
+        mean = _added_up(row, block, g, hyper).tobytes() if keep else row["mean"]
         block.sweep(g, hyper, number) if number else block.start(g, hyper)
-        return pa.table(_state(row, block, row["customers"] or _narrow(customers), mean, dealt), names=_names(STATE))
+        return pa.table(_state(row, block, row["customers"] or _narrow(customers), mean, dealt, number > 0), names=_names(STATE))
 
-    rows = blocks.select(*FIXED).join(states.drop("sums", "bounds", "totals").hint("merge"), "slot")
-    return rows.groupBy("slot").cogroup(rooms.where("slot IS NOT NULL").select("slot", "owner", "customers", "tables").groupBy("slot")).applyInArrow(kernel, STATE)
+    return _seen(blocks, states, rooms).applyInArrow(kernel, STATE)
+
+
+#: By word its pairs and its training count, and by pair its averaged log10 probability (float32).
+LAST = "slot int, own binary, known binary, logp binary"
+
+
+def averaged(blocks: DataFrame, states: DataFrame, rooms: DataFrame, totals: np.ndarray, hyper, kept: int, owners: int) -> DataFrame:
+    """The last sweep: its predictive probabilities are added; nothing reads the seating that it would draw."""
+
+    def kernel(key, state, reply):
+        if not state.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int32(), *[pa.binary()] * 3)], names=_names(LAST))
+        row, block, _, _, g = _told(state, reply, owners, totals)
+        logp = np.log10(np.maximum(_added_up(row, block, g, hyper) / np.float32(kept), np.float32(1e-37))).astype(np.float32)
+        values = row["slot"], row["own"], _narrow(block.known), logp.tobytes()
+        return pa.table([pa.array([x], t) for x, t in zip(values, (pa.int32(), *[pa.binary()] * 3), strict=True)], names=_names(LAST))
+
+    return _seen(blocks, states, rooms).applyInArrow(kernel, LAST)
 
 
 #: An owner's restaurants in one block (differences of their numbers), and with slot null the customers of all of them.
@@ -372,17 +456,15 @@ def summed_totals(states: DataFrame) -> np.ndarray:
 REPLY = "part long, slot int, own binary, logp binary, known binary"
 
 
-def replies(blocks: DataFrame, states: DataFrame, index: DataFrame, kept: int) -> DataFrame:
+def replies(last: DataFrame, index: DataFrame) -> DataFrame:
     """For each part its pairs' averaged log10 probabilities (float32) and its words' training counts."""
 
     def kernel(key, state, index):
         if not state.num_rows or not index.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int32(), *[pa.binary()] * 3)], names=_names(REPLY))
         row = state.to_pylist()[0]
-        own, count = _wide(row["own"]), _wide(row["counts"])
-        logp = np.log10(np.maximum(np.frombuffer(row["mean"], np.float32) / np.float32(kept), np.float32(1e-37))).astype(np.float32)
+        own, known, logp = _wide(row["own"]), _wide(row["known"]), np.frombuffer(row["logp"], np.float32)
         word = np.repeat(np.arange(len(own)), own)
-        known = np.bincount(word, weights=count, minlength=len(own)).astype(np.int64)
         parts, owns = index.column("part"), index.column("mine").to_pylist()
         out_logp, out_known = [], []
         for raw, mine in zip(index.column("index").to_pylist(), owns, strict=True):
@@ -392,32 +474,30 @@ def replies(blocks: DataFrame, states: DataFrame, index: DataFrame, kept: int) -
         slots = pa.array([row["slot"]] * len(owns), pa.int32())
         return pa.table([parts, slots, pa.array(owns, pa.binary()), pa.array(out_logp, pa.binary()), pa.array(out_known, pa.binary())], names=_names(REPLY))
 
-    rows = blocks.select("slot", "own", "counts").join(states.select("slot", "mean").hint("merge"), "slot")
-    return rows.groupBy("slot").cogroup(index.groupBy("block")).applyInArrow(kernel, REPLY)
+    return last.groupBy("slot").cogroup(index.groupBy("block")).applyInArrow(kernel, REPLY)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _added(texts: DataFrame, answer: DataFrame, n_train: int, n_types: int) -> DataFrame:
-    def kernel(key, documents, reply):
+def _added(parts: DataFrame, answer: DataFrame, n_train: int, n_types: int) -> DataFrame:
+    def kernel(key, part, reply):
         order = np.argsort(reply.column("slot").to_numpy())
         own, logp, known = (reply.column(c).to_pylist() for c in ("own", "logp", "known"))
         logp = np.concatenate([np.frombuffer(logp[i], np.float32) for i in order])
         known = np.concatenate([np.repeat(_wide(known[i]), _wide(own[i])) for i in order])
-        base = np.log10((known + 0.1) / (n_train + 0.1 * (n_types + 1)))
-        seen = known > 0
+        row = part.to_pylist()[0]
+        pairs = Part(row)
+        number, at = pairs.number, _starts(pairs.lengths)
+        base, seen, logp = np.log10((known + 0.1) / (n_train + 0.1 * (n_types + 1)))[number], (known > 0)[number], logp[number]
         columns = [[] for _ in range(7)]
-        for doc, held, raw, width in zip(*(documents.column(c).to_pylist() for c in ("doc_id", "held", "data", "slot")), strict=True):
-            at = np.zeros((len(raw) // width, 4), np.uint8)
-            at[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
-            at = at.view("<u4").ravel()
-            for c, x in zip(columns, (doc, held, len(at), int(seen[at].sum()), n_train, float(base[at].sum()), float(logp[at].sum(dtype=np.float64))), strict=True):
+        for doc, held, a, b in zip(row["doc_id"], row["held"], at[:-1], at[1:], strict=True):
+            for c, x in zip(columns, (doc, held, b - a, int(seen[a:b].sum()), n_train, float(base[a:b].sum()), float(logp[a:b].sum(dtype=np.float64))), strict=True):
                 c.append(x)
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_names(SCORES))
 
-    return texts.groupBy("part").cogroup(answer.groupBy("part")).applyInArrow(kernel, SCORES)
+    return parts.groupBy("part").cogroup(answer.groupBy("part")).applyInArrow(kernel, SCORES)
 
 
 def blocks_for(docs: DataFrame) -> int:
@@ -431,12 +511,12 @@ def blocks_for(docs: DataFrame) -> int:
 
 def model_scores(docs: DataFrame, blocks: int | None = None, sweeps: int = 6, burn_in: int = 3, part_tokens: int = PART, seed: int = 0) -> DataFrame:
     """Scores of every row of docs (doc_id, text) under the model trained on the rows that are not held out."""
-    blocks = blocks or blocks_for(docs)
-    packed = written(tokenised(docs, blocks, part_tokens), "tokens", "kind", codec="zstd")
-    table = bucketed(gathered(packed, blocks), "blocks", blocks, "slot")
-    delete_path(docs.sparkSession, f"{packed.written_path}/kind=1")  # the blocks have taken it in
+    spark, blocks = docs.sparkSession, blocks or blocks_for(docs)
+    parts = written(tokenised(docs, part_tokens), "parts")
+    table = bucketed(gathered(packed(parts, blocks), blocks), "blocks", blocks, "slot", "kind")
+    freed(spark)
     owners = 1 + blocks // OWNED
-    fixed = table.where("part IS NULL")
+    fixed = table.where("kind = 0")
     states = bucketed(seated_once(fixed, owners), "states", blocks, "slot")
     held = bucketed(owned(fixed, owners), "owners", owners, "owner")
     totals, hyper = summed_totals(states), START
@@ -444,15 +524,20 @@ def model_scores(docs: DataFrame, blocks: int | None = None, sweeps: int = 6, bu
         rooms = written(restaurant_totals(states, held, owners, not number), "rooms", codec="zstd")
         if number > 1:
             hyper = Totals.unpacked(totals).hyper(seed + number - 1, summed_fit(rooms))
-        new = bucketed(swept(fixed, states, rooms, totals, hyper, number, number > burn_in, owners), "states", blocks, "slot")
+        if number == sweeps:
+            new = bucketed(averaged(fixed, states, rooms, totals, hyper, max(1, sweeps - burn_in), owners), "last", blocks, "slot")
+        else:
+            new = bucketed(swept(fixed, states, rooms, totals, hyper, number, number > burn_in, owners), "states", blocks, "slot")
+            totals = summed_totals(new)
         gone(states)
         dropped(rooms)
-        states, totals = new, summed_totals(new)
+        states = new
+        freed(spark)
     gone(held)
-    last = Totals.unpacked(totals)
-    index = table.where("part IS NOT NULL").selectExpr("slot AS block", "part", "own AS mine", "index")
-    answer = replies(fixed, states, index, max(1, sweeps - burn_in))
-    return _added(packed.where("kind = 0").select("part", "slot", "doc_id", "held", "data"), answer, int(last.c[2].sum()), int(last.types))
+    delete_path(spark, f"{table.written_path}/kind=0")
+    index = table.where("kind = 1").selectExpr("slot AS block", "part", "own AS mine", "index")
+    total = Totals.unpacked(totals)
+    return _added(parts, replies(states, index), int(total.c[2].sum()), int(total.types))
 
 
 def perplexity(scores: DataFrame) -> DataFrame:

@@ -80,12 +80,18 @@ def log_factorial(n: np.ndarray) -> np.ndarray:
 TERMS = ((0.05, 14), (0.15, 22), (0.35, 38), (0.6, 70), (0.85, 130))
 
 
-def _alternating(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
-    """The alternating sum over j of C(t, j) Gamma(c - jd) / Gamma(-jd), which cancels little while t is small beside c^d."""
+@lru_cache(maxsize=16)
+def _terms(d: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the alternating sum: all j, what only j and d decide of the log of a term's size, and the term's sign."""
     every = np.arange(1, int(4 * REACH / (1 - d)) + 2)
     sine = np.sin(np.pi * ((every * d) % 2))
     known = lgamma(1 + every * d) + np.log(np.maximum(np.abs(sine), 1e-300)) - math.log(math.pi) - log_factorial(every)
-    sign = np.where(np.abs(sine) < 1e-12, 0.0, np.where(every % 2 == 1, 1.0, -1.0) * np.sign(sine))
+    return every, known, np.where(np.abs(sine) < 1e-12, 0.0, np.where(every % 2 == 1, 1.0, -1.0) * np.sign(sine))
+
+
+def _alternating(d: float, c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The alternating sum over j of C(t, j) Gamma(c - jd) / Gamma(-jd), which cancels little while t is small beside c^d."""
+    every, known, sign = _terms(d)
     out, share = np.empty(len(c)), t / np.maximum(c, 1.0) ** d
     band = np.searchsorted([x for x, _ in TERMS], share)
     for k in np.unique(band):
@@ -150,28 +156,39 @@ def stirling_run(d: float, c: np.ndarray, t: np.ndarray, m: int) -> np.ndarray:
     if len(rest):
         out[rest] = log_stirling(d, c[rest, None] + np.arange(1, m + 1), t[rest, None])
     band = np.searchsorted([x for x, _ in TERMS], t / (c + 1.0) ** d)
+    every, known, sign = _terms(d)
     for k in range(len(TERMS)):
         own = np.flatnonzero(served & (band == k))
-        j = np.arange(1, TERMS[k][1] + 1)
-        j = j[j <= int(4 * REACH / (1 - d)) + 1]
-        sine = np.sin(np.pi * ((j * d) % 2))
-        known = lgamma(1 + j * d) + np.log(np.maximum(np.abs(sine), 1e-300)) - math.log(math.pi) - log_factorial(j)
-        sign = np.where(np.abs(sine) < 1e-12, 0.0, np.where(j % 2 == 1, 1.0, -1.0) * np.sign(sine))
-        for at in np.array_split(own, -(-len(own) * len(j) // 500_000)) if len(own) else []:
+        j = every[: TERMS[k][1]]
+        for at in np.array_split(own, -(-len(own) * len(j) * m // 500_000)) if len(own) else []:
             cc, tt = c[at, None] + 1.0, t[at, None]
             live = j <= tt
-            size = known + lgamma(np.where(live, cc - j * d, 100.0)) - log_factorial(np.where(live, tt - j, 0))
-            term = np.where(live, sign * np.exp(np.minimum(size - size[:, :1], 700)), 0.0)
-            grown = np.zeros(len(at))
-            for i in range(m):
-                if i:
-                    by = cc[:, 0] + (i - 1)
-                    term *= (by[:, None] - j * d) / (by - d)[:, None]
-                    grown += np.log(by - d)
-                out[at, i] = grown + np.log(np.maximum(term.sum(axis=1), 1e-300))
+            size = known[: len(j)] + lgamma(np.where(live, cc - j * d, 100.0)) - log_factorial(np.where(live, tt - j, 0))
+            by, terms, grown = cc + np.arange(m - 1), np.empty((len(at), m, len(j))), np.zeros((len(at), m))
+            terms[:, 0] = np.where(live, sign[: len(j)] * np.exp(np.minimum(size - size[:, :1], 700)), 0.0)
+            terms[:, 1:] = (by[:, :, None] - j * d) / (by - d)[:, :, None]
+            grown[:, 1:] = np.log(by - d)
+            total = np.multiply.accumulate(terms, axis=1).sum(axis=2)
+            out[at] = np.add.accumulate(grown, axis=1) + np.log(np.maximum(total, 1e-300))
     return out
 
 
+def shared_runs(d: float, dish: np.ndarray, c: np.ndarray, t: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """stirling_run for sites of which many share a parent's dish (and so t): one run a dish, over all counts that its sites
+    ask for. The runs, and for each site where in them c + 1 is."""
+    _, at, which = np.unique(dish, return_index=True, return_inverse=True)
+    low, end = c[at], (c + m)[at]
+    np.minimum.at(low, which, c)
+    np.maximum.at(end, which, c + m)
+    size = 1 << np.ceil(np.log2(np.maximum(end - low, 1))).astype(np.int64)
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()))
+    for n in np.unique(size):
+        own = np.flatnonzero(size == n)
+        out[start[own, None] + np.arange(n)] = stirling_run(d, low[own], t[at[own]], int(n))
+    return out, start[which] + c - low[which]
+
+
 def uniform(key: np.ndarray) -> np.ndarray:
     """A number in (0, 1) for each 64-bit key."""
     x = (key ^ (key >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -195,17 +212,17 @@ def expected_tables(customers: np.ndarray, alpha: np.ndarray, discount: float, s
 
 
 #: Small sites are drawn together up to these numbers of customers.
-BOUNDS = (2, 3, 4, 6, 8, 12, 16, 24, 32, WHOLE)
+BOUNDS = (2, 3, 6, 12, 24, WHOLE)
 
 
 def drawn(sweep: int, key: np.ndarray, c: np.ndarray, t: np.ndarray, hyper: tuple[float, float], rest: np.ndarray, parent) -> np.ndarray:
     """New table counts of independent sites. rest: the restaurants' other tables. parent: discount and strength of the
-    parents' level, and by site the parent's other customers of the dish, its tables of it and all its other customers; or
-    the log of the base probability where the parent is the base."""
+    parents' level, and by site the parent's other customers of the dish, its tables of it, all its other customers, and a
+    number of the parent's dish; or the log of the base probability where the parent is the base."""
     (d, theta), out = hyper, t.copy()
     u = uniform(key)
     base = parent if isinstance(parent, float) else None
-    d_up, s_up, others, tables, customers = (None,) * 5 if base is not None else parent
+    d_up, s_up, others, tables, customers, dish = (None,) * 6 if base is not None else parent
 
     def chosen(at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         top = w.max(axis=1, keepdims=True)
@@ -224,8 +241,7 @@ def drawn(sweep: int, key: np.ndarray, c: np.ndarray, t: np.ndarray, hyper: tupl
             held = others[at] + m <= TABLED
             w[held] += stirling_table(d_up)[sums[held], tables[at[held], None]]
             if not held.all():
-                far = at[~held]
-                w[~held] += stirling_run(d_up, others[far], tables[far], m)
+                w[~held] += runs[first[at[~held]][:, None] + np.arange(m)]
             w[:, 1:] += np.log(grow).cumsum(axis=1)
         else:
             w[:, 1:] += np.log(grow).cumsum(axis=1) + base * step
@@ -248,6 +264,11 @@ def drawn(sweep: int, key: np.ndarray, c: np.ndarray, t: np.ndarray, hyper: tupl
     kind = np.searchsorted(BOUNDS, c)
     order = np.argsort(kind, kind="stable")
     bounds = np.searchsorted(kind[order], np.arange(len(BOUNDS) + 2))
+    if base is None:
+        width = np.array([*BOUNDS, 0])[kind]
+        far = np.flatnonzero((width > 0) & (others + width > TABLED))
+        first = np.zeros(len(c), np.int64)
+        runs, first[far] = shared_runs(d_up, dish[far], others[far], tables[far], width[far])
     for k in range(len(BOUNDS) + 1):
         own = order[bounds[k] : bounds[k + 1]]
         width = WINDOW if k == len(BOUNDS) else BOUNDS[k]
@@ -256,13 +277,24 @@ def drawn(sweep: int, key: np.ndarray, c: np.ndarray, t: np.ndarray, hyper: tupl
     return out
 
 
+def distinct(c: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct (c, t), ascending, and how often each is there."""
+    c, t = c.astype(np.int64), t.astype(np.int64)
+    shift = int(t.max(initial=0)).bit_length()
+    if int(c.max(initial=0)).bit_length() + shift < 64:
+        key, n = np.unique(c << shift | t, return_counts=True)
+        return key >> shift, key & (1 << shift) - 1, n
+    pairs, n = np.unique(np.column_stack([c, t]), axis=0, return_counts=True)
+    return pairs[:, 0], pairs[:, 1], n
+
+
 def seating_fit(c: np.ndarray, t: np.ndarray) -> np.ndarray:
     """By candidate discount and strength: the log weight of restaurants with c customers at t tables, but for the Stirling
     numbers of their dishes."""
     live = c > 0
-    pairs, n = np.unique(np.column_stack([c[live], t[live]]).astype(np.int64), axis=0, return_counts=True)
-    c, t = pairs[:, 0].astype(float), pairs[:, 1].astype(float)
-    return np.array([[float(np.sum(n * ((t - 1) * math.log(d) + lgamma(s / d + t) - lgamma(s / d + 1.0) - lgamma(s + c) + lgamma(s + 1.0)))) for s in STRENGTHS] for d in DISCOUNTS])
+    c, t, n = distinct(c[live], t[live])
+    seated = [lgamma(s + c) for s in STRENGTHS]
+    return np.array([[float(np.sum(n * ((t - 1) * math.log(d) + lgamma(s / d + t) - lgamma(s / d + 1.0) - down + lgamma(s + 1.0)))) for s, down in zip(STRENGTHS, seated, strict=True)] for d in DISCOUNTS])
 
 
 class Totals:
@@ -311,7 +343,9 @@ class Block:
         self.word = np.repeat(np.arange(n), own)
         self.codes = codes
         self.class_of = np.arange(CONTEXTS) // FAN if codes is None else (codes >> np.uint64(CLASS_SHIFT)).astype(np.int64)
-        group, self.up = np.unique(self.word * CLASSES + self.class_of[self.context], return_inverse=True)
+        group = self.word * CLASSES + self.class_of[self.context]  # ascending
+        new = np.diff(group, prepend=-1) > 0
+        group, self.up = group[new], np.cumsum(new) - 1
         self.group_word, self.group_class = group // CLASSES, group % CLASSES
         self.open = np.flatnonzero(self.count > 1)
         sizes = np.bincount(self.up[self.open], minlength=len(group))
@@ -333,20 +367,25 @@ class Block:
     def _c0(self) -> np.ndarray:
         return np.bincount(self.group_word, weights=self.t1, minlength=len(self.hashes)).astype(np.int64)
 
-    def totals(self) -> Totals:
+    def totals(self, fitted: bool = True) -> Totals:
+        """With `fitted` also the sums by candidate discount, which only the draw of discounts and strengths reads."""
         sums = lambda key, x, n: np.bincount(key, weights=x, minlength=n)
         place = self.context if self.codes is None else self.class_of[self.context] * FAN
         c = [np.array([float(self.c0.sum())]), sums(self.group_class, self.c1, CLASSES), sums(place, self.count, CONTEXTS)]
         t = [np.array([float(self.t0.sum())]), sums(self.group_class, self.t1, CLASSES), sums(place, self.t2, CONTEXTS)]
-        fit = np.zeros((3, len(DISCOUNTS)))
-        for level, (a, b) in enumerate(((self.c0, self.t0), (self.c1, self.t1), (self.count, self.t2))):
+        fit, dishes = np.zeros((3, len(DISCOUNTS))), []
+        for a, b in ((self.c0, self.t0), (self.c1, self.t1), (self.count, self.t2)) if fitted else ():
             narrow = (a > 1) & (a < 256)
             n = np.bincount(a[narrow] * 256 + b[narrow], minlength=1)
             held = np.flatnonzero(n)
-            wide, more = np.unique(np.column_stack([a[a > 255], b[a > 255]]), axis=0, return_counts=True)
-            c_all, t_all, n_all = np.concatenate([held // 256, wide[:, 0]]), np.concatenate([held % 256, wide[:, 1]]), np.concatenate([n[held], more])
+            wide_c, wide_t, more = distinct(a[a > 255], b[a > 255])
+            dishes.append((np.concatenate([held // 256, wide_c]), np.concatenate([held % 256, wide_t]), np.concatenate([n[held], more])))
+        if dishes:
+            c_all, t_all = (np.concatenate([x[k] for x in dishes]) for k in (0, 1))
+            ends = np.cumsum([len(x[0]) for x in dishes])[:-1]
             for i, d in enumerate(DISCOUNTS):
-                fit[level, i] = float((n_all * log_stirling(d, c_all, t_all)).sum())
+                for level, weights in enumerate(np.split(log_stirling(d, c_all, t_all), ends)):
+                    fit[level, i] = float((dishes[level][2] * weights).sum())
         return Totals(c, t, float((self.known > 0).sum()), fit)
 
     def predictive(self, g: Totals, hyper) -> np.ndarray:
@@ -383,7 +422,7 @@ class Block:
             if len(p):
                 up, old = self.up[p], self.t2[p]
                 customers = g.c[1][self.group_class[up]] - old
-                parent = (d1, s1, self.c1[up] - old, self.t1[up], customers)
+                parent = (d1, s1, self.c1[up] - old, self.t1[up], customers, up)
                 self.t2[p] = drawn(number, seat(self.word[p], 2, where[p]), self.count[p], old, hyper[2], g.t[2][self.context[p]] - old, parent)
                 np.add.at(self.c1, up, self.t2[p] - old)
         if (self.t1 > self.c1).any():  # restaurants of one round may give up the same tables
@@ -398,7 +437,7 @@ class Block:
                 up, old = self.group_word[p], self.t1[p]
                 others = self.c0[up] - old
                 customers = g.c[0][0] - old
-                parent = (d0, s0, others, self.t0[up], customers)
+                parent = (d0, s0, others, self.t0[up], customers, up)
                 self.t1[p] = drawn(number, seat(up, 1, self.group_class[p]), self.c1[p], old, hyper[1], g.t[1][self.group_class[p]] - old, parent)
                 self.c0[up] = others + self.t1[p]
         p = np.flatnonzero(self.c0 > 1)
