@@ -26,6 +26,9 @@ from .common import small_batches, text_of, texts_as_bytes, written
 from .encode import encoder
 
 END = 1
+#: Ranks are a row a task and length, so a file holds those of PARTS tasks (at most PARTS * limit rows on average), and no
+#: more files than FILES are written for fewer tasks, whatever the session's number of shuffle partitions.
+PARTS, FILES = 16, 8
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 SLOTS = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -108,7 +111,8 @@ def pack(docs: DataFrame, limit: int = 4096, vocabulary: str | None = None) -> D
     cut = written(pieces(docs, limit, vocabulary), "pieces")
     by_part = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    before = written(before.select("part", "length", F.coalesce("before", F.lit(0)).alias("before"), "n"), "ranks")
+    few = max(FILES, len(cut.inputFiles()) // PARTS)  # each task has written one file of pieces
+    before = written(before.select("part", "length", F.coalesce("before", F.lit(0)).alias("before"), "n").coalesce(few), "ranks")
     # At most `limit` rows come to the driver, whatever the number of documents.
     counts = {r["length"]: r["n"] for r in before.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     packed = {k: np.array(sorted(v), dtype=np.int64).T.copy() for k, v in plan(counts, limit).items()}
