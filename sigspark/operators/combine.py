@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .axes import check_shared
 
+#: Grid points of a stretch that one task makes.
+STRETCH = 1 << 17
+
 
 def _paired(a: DataFrame, b: DataFrame, on: tuple[str, ...], value) -> DataFrame:
     other = b.select(*on, F.col("value").alias("__b"))
@@ -53,6 +56,29 @@ def merge(a: DataFrame, b: DataFrame, gain: float, channels_a: int) -> DataFrame
     return concat(x, y, channels_a)
 
 
+def _spans(df: DataFrame) -> DataFrame:
+    """First and last time and the length of each series that has the three samples resampling asks for."""
+    return df.groupBy("key", "ch").agg(F.min("t").alias("__a"), F.max("t").alias("__z"), F.count(F.lit(1)).alias("__c")).where("__c >= 3")
+
+
+def _times(reference: DataFrame) -> DataFrame:
+    """Each (key, t) once. Sorted, not hashed: a hash table before the shuffle would hold all times of a task."""
+    w = Window.partitionBy("key", "t").orderBy("t")
+    return reference.select("key", "t").where("t IS NOT NULL").withColumn("__again", F.lag("t").over(w)).where("__again IS NULL").drop("__again")
+
+
+def grid(ends: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Whole numbers k from a to b for each row of ends (a, b and other columns). Few rows make many points, which Spark's
+    sizes don't foresee: the rows are cut into stretches first and these dealt over all cores."""
+    spark = ends.sparkSession
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(16, 2 * spark.sparkContext.defaultParallelism))
+    other = [c for c in ends.columns if c not in ("a", "b")]
+    cut = ends.where("a <= b").withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) / stretch).cast("long"))))
+    first = F.col("a") + F.col("__s") * stretch
+    cut = cut.select(*other, first.alias("a"), F.least("b", first + (stretch - 1)).alias("b"), "__s").repartition(parts, *other, "__s")
+    return cut.select(*other, F.explode(F.sequence("a", "b")).alias("k"))
+
+
 def resample(df: DataFrame, reference: DataFrame, fill: str | float = "extrapolate", block_rows: int = 1 << 17) -> DataFrame:
     """Linear interpolation at the reference times (key, t): one union and running windows, no range join. Values up to
     the last sample's time. Before the first sample: the line through the first two samples; with fill "last" the first
@@ -62,11 +88,11 @@ def resample(df: DataFrame, reference: DataFrame, fill: str | float = "extrapola
     next to a stretch come from one summary row for each stretch."""
     series, part = ["key", "ch"], ["key", "ch", "__block"]
     own_rows = df.select("key", "ch", "t", "value")
-    spans = own_rows.groupBy(*series).agg(F.min("t").alias("__a"), F.max("t").alias("__z"), F.count(F.lit(1)).alias("__c")).where("__c >= 3")
+    spans = _spans(own_rows)
     width = F.greatest((F.col("__z") - F.col("__a")) / F.ceil(F.col("__c") / F.lit(block_rows)), F.lit(1e-300))
     block = F.greatest(F.lit(0), F.floor((F.col("t") - F.col("__a")) / F.col("__w"))).cast("long").alias("__block")
     spans = spans.select(*series, "__a", "__z", width.alias("__w"))
-    asked = reference.select("key", "t").distinct().join(spans, "key").where(F.col("t") <= F.col("__z"))
+    asked = _times(reference).join(spans, "key").where(F.col("t") <= F.col("__z"))
     rows = own_rows.join(spans, series).select(*series, "t", F.struct("t", "value").alias("own"), block)
     rows = rows.unionByName(asked.select(*series, "t", F.lit(None).cast(rows.schema["own"].dataType).alias("own"), block)).repartition(*part)
     # Samples come first among equal times in both directions, so that each asked time sees them.
@@ -87,9 +113,9 @@ def resample(df: DataFrame, reference: DataFrame, fill: str | float = "extrapola
 
 def regular_grid(df: DataFrame, rate: float) -> DataFrame:
     """(key, t): a grid of the given rate from each stream's first sample to its last."""
-    ends = df.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("b"))
-    k = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("b") - F.col("a")) * rate).cast("long")))
-    return ends.select("key", "a", k.alias("k")).select("key", (F.col("a") + F.col("k") / rate).alias("t"))
+    ends = df.groupBy("key").agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
+    last = F.floor((F.col("t1") - F.col("t0")) * rate).cast("long")
+    return grid(ends.select("key", "t0", F.lit(0).cast("long").alias("a"), last.alias("b"))).select("key", (F.col("t0") + F.col("k") / rate).alias("t"))
 
 
 def resample_concat(df: DataFrame, reference: DataFrame, channels_reference: int) -> DataFrame:
