@@ -162,7 +162,7 @@ _STEP = 6 * 3600
 
 def _grid(d: DataFrame) -> DataFrame:
     ends = d.groupBy("key").agg(F.floor(F.min("t") / _STEP).cast("long").alias("a"), F.floor(F.max("t") / _STEP).cast("long").alias("b"))
-    return ends.select("key", F.explode(F.sequence("a", "b")).alias("k")).select("key", (F.col("k") * _STEP).cast("double").alias("t"))
+    return C.grid(ends).select("key", (F.col("k") * _STEP).cast("double").alias("t"))
 
 
 _numbered = lambda d: d.withColumn("k", F.round(F.col("t") / _STEP).cast("long"))

@@ -37,3 +37,12 @@ def test_times_are_not_hashed_before_the_shuffle(spark):
     assert sorted((r["ch"], r["t"], r["value"]) for r in got.collect()) == [(c, t, 10 * t + c) for c in (0, 1) for t in (0.0, 0.5, 2.5)]
     held = [line for line in plan_of(got).splitlines() if "HashAggregate(keys=[key" in line and " t#" in line.split("functions")[0]]
     assert not held
+
+
+def test_the_reference_grid_of_one_series_is_many_tasks_work(spark):
+    from sigspark.plans.queries import _STEP, _grid
+
+    n = 600_000
+    got = _grid(signal(spark, [(0, 0, 0, 1), (0, 0, n * _STEP, 2)]))
+    shares = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(shares) == n + 1 and max(shares) < n
