@@ -119,10 +119,10 @@ def regular_grid(df: DataFrame, rate: float) -> DataFrame:
 
 
 def resample_concat(df: DataFrame, reference: DataFrame, channels_reference: int) -> DataFrame:
-    """The reference's channels, then the resampled stream's, where both have a value."""
-    got = resample(df, reference)
-    ref = reference.join(got.select("key", "t").distinct(), ["key", "t"], "left_semi").select("key", "ch", "t", "value")
-    return concat(ref, got, channels_reference)
+    """The reference's channels, then the resampled stream's, where both have a value: up to the last sample of a channel."""
+    last = _spans(df).groupBy("key").agg(F.max("__z").alias("__z"))
+    ref = reference.join(last, "key").where(F.col("t") <= F.col("__z")).select("key", "ch", "t", "value")
+    return concat(ref, resample(df, reference), channels_reference)
 
 
 def epochs(df: DataFrame, triggers: DataFrame, bucket: float) -> DataFrame:

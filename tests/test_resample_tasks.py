@@ -46,3 +46,13 @@ def test_the_reference_grid_of_one_series_is_many_tasks_work(spark):
     got = _grid(signal(spark, [(0, 0, 0, 1), (0, 0, n * _STEP, 2)]))
     shares = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
     assert sum(shares) == n + 1 and max(shares) < n
+
+
+def test_concatenation_resamples_once(spark):
+    """The reference's rows come from the series' ends, and a time counts if one channel has a value there."""
+    df = signal(spark, [(0, 0, t, t) for t in range(4)] + [(0, 1, t, t) for t in range(6)] + [(0, 2, t, t) for t in (0, 9)] + [(1, 0, t, t) for t in (0, 1)])
+    asked = signal(spark, [(k, c, t, 100 * c + t) for k in (0, 1, 2) for c in (0, 1) for t in (0.5, 3.5, 4.5, 5, 8)])
+    got = C.resample_concat(df, asked, 2)
+    want = [(0, c, t, 100 * c + t) for c in (0, 1) for t in (0.5, 3.5, 4.5, 5.0)] + [(0, 2, 0.5, 0.5)] + [(0, 3, t, t) for t in (0.5, 3.5, 4.5, 5.0)]
+    assert sorted(map(tuple, got.select("key", "ch", "t", "value").collect())) == sorted(want)
+    assert plan_of(got).count("Exchange hashpartitioning(key") < plan_of(C.resample(df, asked)).count("Exchange hashpartitioning(key") + 6
