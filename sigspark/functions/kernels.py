@@ -76,7 +76,7 @@ class Lattice:
     """State of an adaptive lattice notch for a vector of channels. The all-pole part s has poles at radius sqrt(gamma); its
     coefficient k = -cos(notch) follows minus the smoothed ratio of s[n-1] (s[n] + s[n-2]) to 2 s[n-1]^2."""
 
-    def __init__(self, channels: int, fs: float, gamma: float, mu: float, eta: float, start: float | None):
+    def __init__(self, channels: int, fs: float, gamma: float = 0.995, mu: float = 0.99, eta: float = 0.99, start: float | None = None):
         self.fs, self.gamma, self.mu, self.eta = fs, gamma, mu, eta
         self.k = np.full(channels, -np.cos(2 * np.pi * (0.0718 if start is None else start / fs)))
         self.past = np.zeros((2, channels))  # s[n-1], s[n-2]
@@ -109,16 +109,19 @@ class Lattice:
         self.past = own[:-3:-1].copy()
         return out
 
+    def run(self, x: np.ndarray, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The next samples, whole chunks but at the end: (filtered, tracked frequency)."""
+        out, freq = np.empty(x.shape), np.empty(x.shape)
+        for at in range(0, len(x), chunk or 1):
+            own = slice(at, at + (chunk or 1))
+            out[own] = self.chunk(x[own]) if chunk else self.sample(x[at])
+            freq[own] = self.frequency()
+        return out, freq
+
 
 def lattice_notch(x: np.ndarray, fs: float, gamma: float = 0.995, mu: float = 0.99, eta: float = 0.99, start: float | None = None, chunk: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Adaptive lattice notch over all channels at once: (filtered, tracked frequency)."""
-    state = Lattice(x.shape[1], fs, gamma, mu, eta, start)
-    out, freq = np.empty(x.shape), np.empty(x.shape)
-    for at in range(0, len(x), chunk or 1):
-        own = slice(at, at + (chunk or 1))
-        out[own] = state.chunk(x[own]) if chunk else state.sample(x[at])
-        freq[own] = state.frequency()
-    return out, freq
+    return Lattice(x.shape[1], fs, gamma, mu, eta, start).run(x, chunk)
 
 
 class LineTracker:
@@ -143,41 +146,50 @@ class LineTracker:
         self.last = phasor
 
 
-def line_canceller(x: np.ndarray, fs: float, line: float = 60.0, harmonics: int = 1, adapt: float = 0.1, track: float | None = 0.5, deviation: float | None = 2.0, method: str = "notch") -> np.ndarray:
+class LineCanceller:
     """Removes a mains line and its harmonics. "notch": the quadrature canceller in its closed form as sections, from rest,
     retuned each window by the rotation of what it removes. "subtract": each window's line is rebuilt from the smoothed
     phasors of the windows before, with one phase for all channels and an amplitude for each."""
-    if method == "passthrough":
-        return x
-    if method not in ("notch", "subtract"):
-        raise ValueError(f"unknown method {method!r}")
-    tracker, out = LineTracker(fs, line, track, deviation), np.empty(x.shape)
-    orders = np.arange(1, max(1, harmonics) + 1)
-    mu, share = 2 / (adapt * fs), 1 - np.exp(-tracker.window / fs / adapt)
-    delays = np.zeros((len(orders), 2, x.shape[1]))
-    phasors = None
-    for at in range(0, len(x), tracker.window):
-        own = x[at : at + tracker.window]
-        angles = tracker.angles(len(own))
-        if method == "notch":
-            out[at : at + len(own)] = _cascade(tracker.omega, mu, orders, own, delays)
-            seen = np.exp(-1j * angles) @ (own - out[at : at + len(own)])
-        else:
-            lines = np.exp(-1j * np.outer(orders, angles)) @ own
-            seen = lines[0] * 2 / tracker.window
-            if phasors is None:
-                out[at : at + len(own)] = own
+
+    def __init__(self, channels: int, fs: float, line: float = 60.0, harmonics: int = 1, adapt: float = 0.1, track: float | None = 0.5, deviation: float | None = 2.0, method: str = "notch"):
+        if method not in ("notch", "subtract"):
+            raise ValueError(f"unknown method {method!r}")
+        self.method, self.tracker = method, LineTracker(fs, line, track, deviation)
+        self.orders = np.arange(1, max(1, harmonics) + 1)
+        self.mu, self.share = 2 / (adapt * fs), 1 - np.exp(-self.tracker.window / fs / adapt)
+        self.delays = np.zeros((len(self.orders), 2, channels))
+        self.phasors = None
+
+    def run(self, x: np.ndarray) -> np.ndarray:
+        """The next samples, whole windows but at the end."""
+        tracker, orders, out = self.tracker, self.orders, np.empty(x.shape)
+        for at in range(0, len(x), tracker.window):
+            own = x[at : at + tracker.window]
+            angles = tracker.angles(len(own))
+            if self.method == "notch":
+                out[at : at + len(own)] = _cascade(tracker.omega, self.mu, orders, own, self.delays)
+                seen = np.exp(-1j * angles) @ (own - out[at : at + len(own)])
             else:
-                common = np.angle((phasors * np.abs(phasors)).sum(axis=1))[:, None]
-                size = np.maximum((phasors * np.exp(-1j * common)).real, 0)
-                out[at : at + len(own)] = own - np.cos(np.outer(orders, angles) + common).T @ size
-        tracker.phase += tracker.omega * len(own)
-        if len(own) == tracker.window:
-            if method == "subtract":
-                lines = lines * 2 / tracker.window
-                phasors = lines if phasors is None else (1 - share) * phasors + share * lines
-            tracker.step(seen)
-    return out
+                lines = np.exp(-1j * np.outer(orders, angles)) @ own
+                seen = lines[0] * 2 / tracker.window
+                if self.phasors is None:
+                    out[at : at + len(own)] = own
+                else:
+                    common = np.angle((self.phasors * np.abs(self.phasors)).sum(axis=1))[:, None]
+                    size = np.maximum((self.phasors * np.exp(-1j * common)).real, 0)
+                    out[at : at + len(own)] = own - np.cos(np.outer(orders, angles) + common).T @ size
+            tracker.phase += tracker.omega * len(own)
+            if len(own) == tracker.window:
+                if self.method == "subtract":
+                    lines = lines * 2 / tracker.window
+                    self.phasors = lines if self.phasors is None else (1 - self.share) * self.phasors + self.share * lines
+                tracker.step(seen)
+        return out
+
+
+def line_canceller(x: np.ndarray, fs: float, line: float = 60.0, harmonics: int = 1, adapt: float = 0.1, track: float | None = 0.5, deviation: float | None = 2.0, method: str = "notch") -> np.ndarray:
+    """A whole recording through LineCanceller; "passthrough" changes nothing."""
+    return x if method == "passthrough" else LineCanceller(x.shape[1], fs, line, harmonics, adapt, track, deviation, method).run(x)
 
 
 def _cascade(omega: float, mu: float, orders: np.ndarray, x: np.ndarray, delays: np.ndarray) -> np.ndarray:

@@ -3,13 +3,13 @@
 Short FIR filters are lag expressions. Long ones run in blocks of time, each with the samples before it as a halo. Linear
 recurrences run in blocks too: a first pass leaves one summary row for each block of a long series (its end state from
 rest), a small pass carries the states from block to block, and a second pass filters every block from its state. So a
-long series is many tasks' work. Recurrences that are not linear (lattice notch, tracking line canceller) keep one group
-a series, as each sample needs the one before.
+long series is many tasks' work. Recurrences that are not linear (lattice notch, tracking line canceller) keep one task a
+series, as each sample needs the one before; it reads the series in order and holds a few batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,9 @@ LAGS = 64
 #: Samples of a block of time.
 BLOCK = 1 << 17
 
+#: Samples of a stretch that is put together in one task, and of a slice that a kernel gets at once.
+STRETCH, SLICE = 1 << 12, 1 << 10
+
 SIGNAL = "key long, ch int, n long, t double, value double"
 SERIES = ("key", "ch")
 
@@ -31,22 +34,87 @@ def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
     return [table.column(c).to_numpy() for c in names]
 
 
-def series(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], by: tuple[str, ...] = SERIES, extra: Sequence[str] = ()) -> DataFrame:
-    """A whole series in one group. kernel: (time, channel) array to an array of the same channels and at most as many rows,
-    or a tuple of such (value and the columns `extra`). Rows come in any order; a series' samples are (n) by (ch) and complete."""
+def _samples(df: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """One row a sample of all channels (lists in order of ch), made in stretches of time: what one task then sorts is a
+    fraction of the long form."""
+    if "ch" in by:
+        return df.select("key", "ch", "n", "t", "value")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None  # rows of the last sample, which may go on in the next batch
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([rest, table]) if rest is not None else table
+            key, n = _columns(table, "key", "n")
+            starts = np.flatnonzero(np.concatenate(([True], (np.diff(key) != 0) | (np.diff(n) != 0)))) if len(n) else np.zeros(0, int)
+            if len(starts) > 1:
+                yield from packed(table.slice(0, starts[-1]), starts)
+            rest = table.slice(starts[-1]) if len(starts) else None
+        if rest is not None:
+            yield from packed(rest, np.array([0, rest.num_rows]))
+
+    def packed(table: pa.Table, offsets: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, n = _columns(table, "key", "n")
+        lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), table.column(c).combine_chunks()) for c in ("ch", "t", "value")]
+        yield pa.RecordBatch.from_arrays([pa.array(key[offsets[:-1]]), pa.array(n[offsets[:-1]]), *lists], names=["key", "n", "ch", "t", "value"])
+
+    rows = df.select("key", F.col("n").cast("long").alias("n"), F.col("ch").cast("int").alias("ch"), F.col("t").cast("double").alias("t"), F.col("value").cast("double").alias("value"))
+    rows = rows.repartition("key", F.floor(F.col("n") / STRETCH)).sortWithinPartitions("key", "n", "ch")
+    return rows.mapInArrow(pack, "key long, n long, ch array<int>, t array<double>, value array<double>")
+
+
+def series(df: DataFrame, make: Callable[[int], tuple[Callable[[np.ndarray], np.ndarray | tuple], int]], by: tuple[str, ...] = SERIES, extra: Sequence[str] = ()) -> DataFrame:
+    """Series whose samples need those before them. make(channels) starts a series: a function from its next samples
+    (time, channel) to as many results (or to a tuple: value and the columns `extra`), which keeps its own state, and the
+    step of which it takes whole multiples, but at the end. So a task holds a few batches, however long a series is. Rows
+    come in any order; a series' samples are (n) by (ch) and complete."""
+    names = ["key", "ch", "n", "t", "value"]
     schema = SIGNAL + "".join(f", {c} double" for c in extra)
 
-    def run(table: pa.Table) -> pa.Table:
-        key, ch, n, t, v = _columns(table, "key", "ch", "n", "t", "value")
-        order = np.lexsort((ch, n))
-        m = len(np.unique(ch))
-        got = kernel(v[order].reshape(-1, m).astype(float)) if len(v) else v.reshape(0, 1)
-        got = got if isinstance(got, tuple) else (got,)
-        keep = order[: got[0].size]
-        columns = [pa.array(key[keep]), pa.array(ch[keep].astype(np.int32)), pa.array(n[keep]), pa.array(t[keep]), *(pa.array(np.asarray(x, float).reshape(-1)) for x in got)]
-        return pa.table(columns, names=["key", "ch", "n", "t", "value", *extra])
-
-    return df.select("key", "ch", "n", "t", "value").groupBy(*by).applyInArrow(run, schema)
+    def flat(batch: pa.RecordBatch) -> Iterator[list[np.ndarray]]:
+        for at in range(0, batch.num_rows, SLICE):
+            own = batch.slice(at, SLICE)
+            columns = [own.column(own.schema.get_field_index(c)) for c in names]
+            if "ch" not in by:
+                size = columns[1].value_lengths().to_numpy()
+                columns = [np.repeat(x.to_numpy(), size) if i in (0, 2) else x.flatten() for i, x in enumerate(columns)]
+            yield [x if isinstance(x, np.ndarray) else x.to_numpy(zero_copy_only=False) for x in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kernel, channels, step = None, None, None, 1
+
+        def results(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            if not len(rows[0]):
+                return
+            if (rows[1].reshape(-1, len(channels)) != channels).any():
+                raise ValueError("a series' samples must have the same channels")
+            got = kernel(rows[4].reshape(-1, len(channels)).astype(float))
+            got = got if isinstance(got, tuple) else (got,)
+            columns = [pa.array(rows[0]), pa.array(rows[1].astype(np.int32)), pa.array(rows[2]), pa.array(rows[3]), *(pa.array(np.asarray(x, float).reshape(-1)) for x in got)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, *extra])
+
+        for rows in (x for batch in batches for x in flat(batch)):
+            new = np.zeros(len(rows[0]), bool)
+            for c in by:
+                new[1:] |= np.diff(rows[names.index(c)]) != 0
+            cuts = [0, *np.flatnonzero(new), len(new)]
+            for a, z in zip(cuts, cuts[1:], strict=False):
+                part = [x[a:z] for x in rows]
+                if held is not None and any(held[names.index(c)][0] != part[names.index(c)][0] for c in by):
+                    yield from results([x[1:] for x in held])
+                    held = None
+                if held is None:
+                    channels = part[1][: np.searchsorted(part[2], part[2][0], "right")]
+                    kernel, step = make(len(channels))
+                    held = [x[:1] for x in part]  # the first row stands for the series; the rest wait for a whole step
+                held = [np.concatenate(x) for x in zip(held, part, strict=True)]
+                ready = (len(held[0]) - 1) // (step * len(channels)) * step * len(channels)
+                yield from results([x[1 : 1 + ready] for x in held])
+                held = [np.concatenate([x[:1], x[1 + ready :]]) for x in held]
+        if held is not None:
+            yield from results([x[1:] for x in held])
+
+    return _samples(df, by).repartition(*by).sortWithinPartitions(*by, "n").mapInArrow(run, schema)
 
 
 def blocked(df: DataFrame, halo: int, kernel: Callable[[np.ndarray, bool], np.ndarray], outputs: int = 0, block: int = BLOCK) -> DataFrame:
@@ -288,7 +356,12 @@ def filterbank_design(df: DataFrame, fs: float, filters: Sequence[dict], min_pha
 
 def lattice_notch(df: DataFrame, fs: float, chunk: int | None = None, **settings) -> DataFrame:
     """Adds `freq`. With a chunk length the coefficient moves once a chunk, from its last samples."""
-    return series(df, lambda x: kernels.lattice_notch(x, fs, chunk=chunk, **settings), extra=["freq"])
+
+    def make(channels: int):
+        state = kernels.Lattice(channels, fs, **settings)
+        return lambda x: state.run(x, chunk), chunk or 1
+
+    return series(df, make, extra=["freq"])
 
 
 def line_canceller(df: DataFrame, fs: float, **settings) -> DataFrame:
@@ -299,4 +372,9 @@ def line_canceller(df: DataFrame, fs: float, **settings) -> DataFrame:
     if settings.get("method", "notch") == "notch" and not settings.get("track", 0.5):
         mu = 2 / (settings.get("adapt", 0.1) * fs)
         return sos(df, design.lnc_sos(2 * np.pi * settings.get("line", 60.0) / fs, mu, settings.get("harmonics", 1)), settled=False)
-    return series(df, lambda x: kernels.line_canceller(x, fs, **settings), by=("key",))
+
+    def make(channels: int):
+        state = kernels.LineCanceller(channels, fs, **settings)
+        return state.run, state.tracker.window
+
+    return series(df, make, by=("key",))
