@@ -26,7 +26,7 @@ def three(spark):
     return x, df.orderBy(F.rand(1))
 
 
-@pytest.mark.parametrize("settings", [{"line": 12}, {"line": 7, "deviation": None}])
+@pytest.mark.parametrize("settings", [{"line": 12}, {"line": 12, "harmonics": 2, "method": "subtract"}, {"line": 7, "deviation": None}])
 def test_cancellers_in_pieces_give_what_a_whole_series_gives(three, settings):
     x, df = three
     got = matrix(L.line_canceller(df, 100.0, **settings))
