@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 
@@ -14,18 +16,15 @@ def lfilter_zi(b, a) -> np.ndarray:
     return np.linalg.solve(np.eye(n - 1) - companion, b[1:] - a[1:] * b[0])
 
 
-def lfilter(b, a, x: np.ndarray, state: np.ndarray | None = None, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """Direct-form filter in blocks of matrix products; state has one column a channel, None for rest."""
-    n = max(len(b), len(a))
-    b, a = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
-    order = n - 1
-    if order == 0:
-        return b[0] * x, np.zeros((0, x.shape[1]))
+@lru_cache(maxsize=64)
+def _block_form(b: tuple, a: tuple, size: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Matrices of a block of `size` samples: powers of the step, and what the output takes from the state and from the
+    input, and the state from the input."""
+    b, a = np.array(b), np.array(a)
+    order = len(b) - 1
     step = np.eye(order, k=1)
     step[:, 0] -= a[1:]
     into = b[1:] - a[1:] * b[0]
-    state = np.zeros((order, x.shape[1])) if state is None else state
-    size = min(block, max(1, len(x)))
     powers = [np.eye(order)]
     for _ in range(size):
         powers.append(powers[-1] @ step)
@@ -34,6 +33,19 @@ def lfilter(b, a, x: np.ndarray, state: np.ndarray | None = None, block: int = 1
     lag = np.arange(size)[:, None] - np.arange(size)[None, :]
     forced = np.where(lag >= 0, impulse[np.maximum(lag, 0)], 0.0)
     drive = np.array([p @ into for p in powers[:size]])[::-1].T
+    return powers, observe, forced, drive
+
+
+def lfilter(b, a, x: np.ndarray, state: np.ndarray | None = None, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """Direct-form filter in blocks of matrix products; state has one column a channel, None for rest."""
+    n = max(len(b), len(a))
+    b, a = np.pad(b, (0, n - len(b))) / a[0], np.pad(a, (0, n - len(a))) / a[0]
+    order = n - 1
+    if order == 0:
+        return b[0] * x, np.zeros((0, x.shape[1]))
+    state = np.zeros((order, x.shape[1])) if state is None else state
+    size = min(block, max(1, len(x)))
+    powers, observe, forced, drive = _block_form(tuple(b.tolist()), tuple(a.tolist()), size)
     out = np.empty(x.shape, float)
     for at in range(0, len(x), size):
         own = x[at : at + size]

@@ -171,39 +171,91 @@ def _weighted_lags(taps: Sequence[float], w, before):
     return out
 
 
-def _end_state(sections: np.ndarray, x: np.ndarray, states=None) -> np.ndarray:
-    """The cascade's states after x, as one vector; from rest without states."""
-    _, z = kernels.sosfilt(sections, x[:, None], settled=False, states=states)
-    return np.concatenate([s[:, 0] for s in z])
+def _as_states(vectors: np.ndarray, sections: np.ndarray) -> list[np.ndarray]:
+    """Each section's states; vectors: one column a series."""
+    return [vectors[2 * i : 2 * i + 2] for i in range(len(sections))]
+
+
+def _padded(sections: np.ndarray, x: np.ndarray, starts: np.ndarray, lengths: np.ndarray, states: np.ndarray) -> np.ndarray:
+    """Many short series, one after another in x, each from its column of states: those of like length side by side."""
+    out = np.empty(len(x))
+    kind = np.ceil(np.log2(lengths)).astype(int)
+    for k in np.unique(kind):
+        own = np.flatnonzero(kind == k)
+        size = -(-lengths[own].max() // 16) * 16
+        at = np.arange(size)[:, None]
+        inside = at < lengths[own]
+        place = (starts[own] + at)[inside]
+        side = np.zeros(inside.shape)
+        side[inside] = x[place]
+        out[place] = kernels.sosfilt(sections, side, settled=False, states=_as_states(states[:, own], sections))[0][inside]
+    return out
 
 
-def _as_states(vector: np.ndarray, sections: np.ndarray) -> list[np.ndarray]:
-    return [vector[2 * i : 2 * i + 2, None] for i in range(len(sections))]
+def _runs(batch: pa.RecordBatch, last: tuple | None) -> tuple[np.ndarray, np.ndarray, bool, tuple]:
+    """Of rows in order of (key, ch, __b): where each block starts and how long it is here, whether the first one goes on
+    from `last`, the batch before's last block, and this one's."""
+    ids = [batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "ch", "__b")]
+    new = np.zeros(batch.num_rows, bool)
+    for x in ids:
+        new[1:] |= np.diff(x) != 0
+    starts = np.concatenate(([0], np.flatnonzero(new)))
+    return starts, np.diff(np.append(starts, batch.num_rows)), last == tuple(x[0] for x in ids), tuple(x[-1] for x in ids)
 
 
 def sos(df: DataFrame, sections, settled: bool = True, block: int = BLOCK) -> DataFrame:
-    """A cascade of second-order sections; settled: it starts as if the first sample had stood there for ever."""
+    """A cascade of second-order sections; settled: it starts as if the first sample had stood there for ever. A series' n
+    count on without gaps. The rows are dealt out once, by blocks, and read in order: Python gets batches of many short
+    series or pieces of long ones, and `df` is computed once."""
     if sections is None:
         return df
     sections = np.atleast_2d(np.asarray(sections, float))
-    rows = df.select("key", "ch", "n", "t", "value").withColumn("__b", F.floor(F.col("n") / block))
-    # Only series that go on beyond one block have states to carry.
-    long_series = df.where(F.col("n") >= block).select("key", "ch").distinct()
+    by = ["key", "ch", "__b"]
+    rows = df.select("key", F.col("ch").cast("int").alias("ch"), F.col("n").cast("long").alias("n"), "t", F.col("value").cast("double").alias("value"))
+    rows = rows.withColumn("__b", F.floor(F.col("n") / block)).repartition(*by)
+    # The partition's number, which each reader keeps, holds filters back: pushed below the shuffle, they would make it
+    # another one for each reader, and what made the rows would run for each.
+    rows = rows.withColumn("__p", F.spark_partition_id())
+    column = lambda batch, c: batch.column(batch.schema.get_field_index(c))
+
+    def before_it(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([column(batch, "key"), column(batch, "ch"), pa.array(column(batch, "__b").to_numpy() - 1)], names=by)
 
-    def summary(key, table):
-        own_key, ch, b = (k.as_py() for k in key)
-        n, v = _columns(table, "n", "value")
-        x = v[np.argsort(n, kind="stable")].astype(float)
-        return pa.table({"key": [own_key], "ch": pa.array([ch], pa.int32()), "block": [b], "first": [x[0]], "state": [_end_state(sections, x).tolist()]})
+    # Blocks that another one follows have states to carry; mostly there are none, and then Spark leaves the two joins out.
+    followed = rows.where((F.col("n") >= block) & (F.col("n") % block == 0)).mapInArrow(before_it, "key long, ch int, __b long")
+
+    def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first, z = None, 0.0, None
+
+        def row() -> pa.RecordBatch:
+            key, ch, b = ([x] for x in last)
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(ch, pa.int32()), pa.array(b, pa.int64()), pa.array([first]), pa.array([np.concatenate(z)[:, 0].tolist()])], names=["key", "ch", "block", "first", "state"])
 
-    ends = rows.join(long_series, list(SERIES), "left_semi").groupBy("key", "ch", "__b").applyInArrow(summary, "key long, ch int, block long, first double, state array<double>")
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, lengths, going_on, end = _runs(batch, last)
+            v = column(batch, "value").to_numpy(zero_copy_only=False)
+            ids = [column(batch, c).to_numpy() for c in by]
+            for i, (at, size) in enumerate(zip(starts, lengths, strict=True)):
+                if i or not going_on:
+                    if last is not None:
+                        yield row()
+                    last, first, z = tuple(x[at] for x in ids), float(v[at]), None
+                z = kernels.sosfilt(sections, v[at : at + size, None], settled=False, states=z)[1]
+            last = end
+        if last is not None:
+            yield row()
+
+    ends = rows.join(followed, by, "left_semi").select(*rows.columns).sortWithinPartitions(*by, "n").mapInArrow(summary, "key long, ch int, block long, first double, state array<double>")
 
     def carry(table: pa.Table) -> pa.Table:
         """The state before each block but the first: the one before it, moved through an empty block, plus the block's own."""
         order = np.argsort(table.column("block").to_numpy())
         first, states = table.column("first").to_numpy(), table.column("state").to_pylist()
         unit = np.eye(2 * len(sections))
-        _, z = kernels.sosfilt(sections, np.zeros((block, len(unit))), settled=False, states=[unit[2 * i : 2 * i + 2] for i in range(len(sections))])
+        _, z = kernels.sosfilt(sections, np.zeros((block, len(unit))), settled=False, states=_as_states(unit, sections))
         step = np.concatenate(z)
         at = _settled(sections, first[order[0]]) if settled else np.zeros(2 * len(sections))
         out = []
@@ -216,21 +268,30 @@ def sos(df: DataFrame, sections, settled: bool = True, block: int = BLOCK) -> Da
 
     before = ends.groupBy(*SERIES).applyInArrow(carry, "key long, ch int, block long, state array<double>").withColumnRenamed("block", "__b")
 
-    def run(key, table, held):
-        own_key, ch, b = (k.as_py() for k in key)
-        n, t, v = _columns(table, "n", "t", "value")
-        order = np.argsort(n, kind="stable")
-        x = v[order].astype(float)[:, None]
-        if len(x):
-            if b and held.num_rows:
-                y = kernels.sosfilt(sections, x, settled=False, states=_as_states(np.array(held.column("state")[0].as_py()), sections))[0]
-            else:
-                y = kernels.sosfilt(sections, x, settled=settled)[0]
-        else:
-            y = x
-        return pa.table([pa.array(np.full(len(x), own_key)), pa.array(np.full(len(x), ch, np.int32)), pa.array(n[order]), pa.array(t[order]), pa.array(y[:, 0])], names=["key", "ch", "n", "t", "value"])
-
-    return rows.groupBy("key", "ch", "__b").cogroup(before.groupBy("key", "ch", "__b")).applyInArrow(run, SIGNAL)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, z = None, None
+        start = _settled(sections, 1.0) if settled else np.zeros(2 * len(sections))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            starts, lengths, going_on, last = _runs(batch, last)
+            x, held = column(batch, "value").to_numpy(zero_copy_only=False), column(batch, "state")
+            states = np.outer(start, x[starts]) if settled else np.zeros((len(start), len(starts)))
+            if held.null_count < len(held):
+                for i, vector in enumerate(held.take(pa.array(starts)).to_pylist()):
+                    if vector is not None:
+                        states[:, i] = vector
+            if going_on:
+                states[:, 0] = z
+            # The last block may go on in the next batch, so it is filtered by itself, for its exact end.
+            at = starts[-1]
+            end, z = kernels.sosfilt(sections, x[at:, None], settled=False, states=_as_states(states[:, -1:], sections))
+            y, z = np.concatenate([_padded(sections, x[:at], starts[:-1], lengths[:-1], states), end[:, 0]]), np.concatenate(z)[:, 0]
+            yield pa.RecordBatch.from_arrays([*(column(batch, c) for c in ("key", "ch", "n", "t")), pa.array(y)], names=["key", "ch", "n", "t", "value"])
+
+    # A state goes with its block's first sample.
+    held = rows.join(before, by, "left").select("key", "ch", "n", F.col("t").cast("double").alias("t"), "value", "__b", "__p", F.when(F.col("n") % block == 0, F.col("state")).alias("state"))
+    return held.sortWithinPartitions(*by, "n").mapInArrow(run, SIGNAL)
 
 
 def _settled(sections: np.ndarray, level: float) -> np.ndarray:
